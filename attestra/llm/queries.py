@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import langid as _langid
+from . import license as _license
 from . import mixing as _mixing
 from . import neardup as _neardup
 from .common import table
@@ -18,17 +20,29 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = _langid.identify(documents, _langid.train(documents))
+    return found.select("doc_id", _langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("set_digest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
+    "op9_licenses": op9_licenses,
     "op10_neardup": op10_neardup,
 }
 
