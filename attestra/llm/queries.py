@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import decontaminate as _decontaminate
 from . import langid as _langid
 from . import license as _license
+from . import media as _media
 from . import mixing as _mixing
 from . import neardup as _neardup
+from . import tokens as _tokens
 from .common import table
 
 
@@ -30,6 +32,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens.context_limits(_tokens.length_histogram(table(spark, sf_dir, "documents")))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _media.text_media(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _license.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -42,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
+    "op8_media": op8_media,
     "op9_licenses": op9_licenses,
     "op10_neardup": op10_neardup,
 }
