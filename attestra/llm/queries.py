@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as _decontaminate
 from . import langid as _langid
 from . import license as _license
+from . import lm as _lm
 from . import media as _media
 from . import mixing as _mixing
 from . import neardup as _neardup
@@ -22,6 +23,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = _langid.identify(documents, _langid.train(documents))
@@ -50,6 +55,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_lm_score": op2_lm_score,
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,

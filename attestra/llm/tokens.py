@@ -64,7 +64,7 @@ def _lengths(shared: _Shared):
         encode, found = _encoder(shared).encode_ordinary, Counter()
         for batch in batches:
             found.update(len(encode(t)) if t else 0 for t in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["n_tokens", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "docs"])
 
     return run
 
