@@ -14,6 +14,7 @@ from . import lm as _lm
 from . import media as _media
 from . import mixing as _mixing
 from . import neardup as _neardup
+from . import quality as _quality
 from . import tokens as _tokens
 from .common import table
 
@@ -41,6 +42,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.context_limits(_tokens.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _media.text_media(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
+    "op7_quality": op7_quality,
     "op8_media": op8_media,
     "op9_licenses": op9_licenses,
     "op10_neardup": op10_neardup,
