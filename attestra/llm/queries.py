@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat as _chat
 from . import decontaminate as _decontaminate
 from . import langid as _langid
 from . import license as _license
@@ -42,6 +43,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.context_limits(_tokens.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = _chat.calls_of(table(spark, sf_dir, "conversations"))
+    linked = _chat.link_tool_calls(calls, results, _chat.reply_schema(calls))
+    return linked.withColumn("errors", F.array_join("errors", ";"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
+    "op6_chat": op6_chat,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
     "op9_licenses": op9_licenses,
@@ -114,4 +122,18 @@ link AS (SELECT a, b FROM met JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id, min(reach.b) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op6_chat": r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, min(text) AS text, count(*) AS n_calls FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n_results FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+lev AS (SELECT conv_id, turn, 0 AS level FROM c WHERE (conv_id, turn - 2) NOT IN (SELECT (conv_id, turn) FROM c)
+        UNION ALL SELECT c.conv_id, c.turn, lev.level + 1 FROM lev JOIN c ON c.conv_id = lev.conv_id AND c.turn = lev.turn + 2),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS key_turn, c.turn AS c_turn, c.text, c.n_calls, r.n_results, r.content, r.turn AS r_turn
+      FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn)
+SELECT j.conv_id, 't' || CAST(key_turn AS VARCHAR) AS call_id, CAST(coalesce(c_turn, r_turn + 1) AS BIGINT) AS turn, CASE WHEN c_turn IS NOT NULL THEN 'reply' END AS name,
+       CASE WHEN c_turn IS NOT NULL THEN CAST(lev.level AS BIGINT) END AS level, CAST(coalesce(n_calls, 0) AS BIGINT) AS n_calls, CAST(coalesce(n_results, 0) AS BIGINT) AS n_results,
+       CAST(CASE WHEN c_turn IS NOT NULL AND lev.level = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_missing,
+       CASE WHEN c_turn IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       CASE WHEN c_turn IS NOT NULL AND text IS NULL THEN 'text: missing' ELSE '' END AS errors, c_turn IS NOT NULL AND text IS NOT NULL AS valid,
+       CASE WHEN c_turn IS NOT NULL THEN '{"arguments":{' || coalesce('"text":' || CAST(to_json(text) AS VARCHAR) || ',', '') || '"turn":' || CAST(c_turn AS VARCHAR) || '},"id":"t' || CAST(c_turn AS VARCHAR) || '","name":"reply"' || coalesce(',"result":' || CAST(to_json(content) AS VARCHAR), '') || '}' END AS message
+FROM j LEFT JOIN lev ON lev.conv_id = j.conv_id AND lev.turn = j.c_turn""",
 }
