@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +175,12 @@ def identify(documents: DataFrame, model: Model | None, text: str = "text", keep
 
 def in_known_language(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
     """The documents, columns as they were, whose text is in a language of the corpus with a score of ``least``."""
-    model = train(documents, doc_id, text, lang)
-    whole = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("doc"), F.col(text).alias("own_text"))
-    return identify(whole, model, "own_text", ["doc"]).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc.*")
+    shared = documents.sparkSession.sparkContext.broadcast(train(documents, doc_id, text, lang))
+
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        # only the texts cross to Python; the other columns stay where they are
+        found = next(_predict(shared)(iter([pa.RecordBatch.from_arrays([texts], ["t"])])))
+        return pa.compute.and_(pa.compute.not_equal(found.column("lang_pred"), "und"), pa.compute.greater_equal(found.column("score"), least))
+
+    return documents.where(known(F.col(text).cast("binary")))
