@@ -1,20 +1,24 @@
 """Near-duplicate groups by MinHash with tensored banding.
 
-Instead of hashing every table's key anew, a small collection of half-keys is computed (10 of two minhashes each, 20
-minhash functions in all) and the tables' keys are formed by combining them in pairs: 45 tables of four minhashes
-from the work of five. Two sets of similarity 0.8 share at least one key unless at most one of ten half-keys agrees
-(probability 0.0007); at 0.9 it is 0.000003.
+Instead of hashing every table's key anew, a small collection of half-keys is computed (14 of three minhashes each, 42
+minhash functions in all) and the tables' keys are formed by combining them in pairs: 91 tables of six minhashes from
+the work of seven. Two sets of similarity 0.8 share at least one key unless at most one of fourteen half-keys agrees
+(probability 0.0007); at 0.9 it is 0.0000001.
 
 1. An Arrow stage turns each text into its set of word shingles (64-bit), the set's 128-bit digest and half-keys.
 2. Documents with equal sets are one node from here on; a group of copies costs one row however large it is.
-3. Keys are formed natively. In each bucket of two nodes or more, every node is paired with the bucket's most popular
-   node (the one whose buckets are fullest, in practice the text that the others were made from): linear, not all
-   pairs. Pairs whose set sizes rule out the similarity are dropped; the rest are verified on their full sets.
-4. Components of the links are found. A bucket that still holds several components may hide a link between them, so
-   its pairs across components are verified too, in blocks with the components merged after each; pairs inside a
-   component need no test. So no link between two texts that share a key is lost.
-
-Scale: what is shuffled by key is 45 rows of 24 bytes a distinct text. Texts are shuffled once to fetch those that
+3. Keys are formed natively. In each small bucket every node is verified against the bucket's most popular node; if
+   the bucket still holds several components, its pairs across them are verified too.
+4. Large buckets are never paired with themselves. They are merged into families around common popular nodes, and a
+   family's consensus C is formed: the shingles that more than half of its members have. Every member is verified
+   against the one closest to C. For two members x and y that the similarity asks to share at least T shingles,
+   |x & y| <= min(|x & C|, |y & C|) + |(x - C) & (y - C)|, so each member emits the necessary prefix of its shingles
+   outside C, rarest first; members that share one form the next round's families, at most half as large. Members
+   whose overlaps with C leave the similarity open are verified directly, unless in one component already.
+
+So no link between two texts that share a key is lost. Members of one component need no test.
+
+Scale: what is shuffled by key is 91 rows of 24 bytes a distinct text. Texts are shuffled once to fetch those that
 occur in a pair, and again for pairs only. Hot buckets, groups and components appear in grouped aggregates
 (pre-aggregated) and joins that adaptive execution splits; nothing is collected but counts.
 """
@@ -33,10 +37,12 @@ from pyspark.sql import functions as F
 from .common import cut
 from .graph import components
 
-HALVES, ROWS = 10, 2
+HALVES, ROWS = 14, 3
 SHINGLE, PERCENT = 5, 80
-#: Pairs across components that are verified in one block.
-BLOCK_PAIRS = 20_000_000
+#: Buckets of at most so many nodes are verified pair by pair (across components); larger ones are refined.
+SMALL = 24
+#: Set sizes are classed in steps of this ratio when the least overlap with a partner is bounded.
+STEP = 1.05
 
 
 class _Hashes(dict):
@@ -121,13 +127,111 @@ def _similar(k: int, percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose full sets are similar enough, as edges (u, v)."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            sets = [shingle_set(t, k, hashes).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["node", "tokens"])
+
+    return run
+
+
+def _texts(asked: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, text) of the nodes asked for."""
     rows = nodes.join(asked, "node").select("node", F.col("row.id").alias("r_id"), F.col("row.h").alias("r_h"))
-    texts = documents.join(rows, documents["id"].eqNullSafe(rows["r_id"]) & (documents["h"] == rows["r_h"])).select("node", "text").dropDuplicates(["node"])
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return met.select("a", "b", "ta", "tb").mapInArrow(_similar(k, percent), "u binary, v binary")
+    return documents.join(rows, documents["id"].eqNullSafe(rows["r_id"]) & (documents["h"] == rows["r_h"])).select("node", "text").dropDuplicates(["node"])
+
+
+class _Links:
+    """The links found so far, the pairs tested, and the components' roots."""
+
+    def __init__(self, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> None:
+        self.nodes, self.documents, self.k, self.percent = nodes, documents, k, percent
+        self.edges = self.tested = self.roots = None
+
+    def test(self, pairs: DataFrame) -> None:
+        """Verifies the pairs (a, b) that are neither tested nor within one component."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.roots is not None:
+            pairs = self.across(pairs).join(self.tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        if self.roots is not None and pairs.isEmpty():
+            return
+        texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), self.nodes, self.documents)
+        met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        found = cut(met.select("a", "b", "ta", "tb").mapInArrow(_similar(self.k, self.percent), "u binary, v binary"))
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        self.edges = found if self.edges is None else self.edges.unionByName(found)
+        self.roots = components(self.edges)
+
+    def across(self, pairs: DataFrame) -> DataFrame:
+        side = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Buckets (key, node, n) of two members or more, with their number."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
+
+
+def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in small buckets (key, node, n, root)."""
+    left = buckets.select("key", F.col("node").alias("a"), "n", F.col("root").alias("ra"))
+    right = left.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("ra").alias("rb"))
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("n", "m", percent)).select("a", "b")
+
+
+def _families(large: DataFrame, centre: DataFrame) -> DataFrame:
+    """Large buckets merged: each bucket goes to the most popular centre that its own centre shares a bucket with,
+    twice over. (key, node, n) with the family as key."""
+    best = large.join(centre, "key").groupBy("node").agg(F.max("c").alias("hub")).select("node", "hub")
+    step = lambda rows: rows.join(best.select(F.col("node").alias("at"), F.col("hub.node").alias("to")), "at").select("key", F.col("to").alias("at"))
+    hubs = step(step(large.select("key").distinct().join(centre, "key").select("key", F.col("c.node").alias("at"))))
+    return large.join(hubs, "key").select(F.xxhash64("at").alias("key"), "node", "n").distinct()
+
+
+def _refine(families: DataFrame, sets: DataFrame, links: _Links) -> DataFrame | None:
+    """One round over families (key, node, n): verifies what the consensus leaves open and returns the next round's."""
+    percent = links.percent
+    rows = families.join(sets, "node").select("key", "node", "n", F.explode("tokens").alias("token"))
+    size = families.groupBy("key").agg(F.count("*").alias("m"))
+    share = cut(rows.groupBy("key", "token").agg(F.count("*").alias("f")).join(size, "key").select("key", "token", "f", (F.col("f") * 2 > F.col("m")).alias("common")))
+    own = rows.join(share, ["key", "token"]).groupBy("key", "node", "n").agg(F.count_if("common").alias("overlap"), F.array_sort(F.collect_list(F.when(~F.col("common"), F.struct("f", "token")))).alias("rest"))
+    own = cut(own)
+    centre = own.groupBy("key").agg(F.max(F.struct(2 * F.col("overlap") - F.col("n"), "n", "node")).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
+    links.test(own.join(centre, "key").where((F.col("node") != F.col("b")) & _close("n", "m", percent)).select(F.col("node").alias("a"), "b"))
+
+    size_class = F.floor(F.log("n") / F.lit(float(np.log(STEP)))).cast("int")
+    classed = own.withColumn("own", size_class)
+    classes = classed.groupBy("key").agg(F.collect_set("own").alias("classes"))
+    at = classed.join(classes, "key").select("*", F.explode("classes").alias("other"))
+    step = F.pow(F.lit(STEP), F.col("other"))
+    at = at.where((step * STEP * 100 > F.col("n") * percent - 100) & (step * percent < F.col("n") * 100 + 100))
+    least = F.greatest(F.floor(step), F.col("n") * percent / 100)
+    needed = F.ceil((F.col("n") + least) * percent / (100 + percent) - 1e-6)
+    at = cut(at.withColumn("short", needed - F.col("overlap")))
+    take = F.size("rest") - F.greatest(F.col("short"), F.lit(1)) + 1
+    token = at.withColumn("take", take.cast("int")).where("take > 0").select("key", "node", "n", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.slice("rest", F.lit(1), F.col("take"))).alias("t")).where("t.f > 1")
+    buckets = cut(_several(token.select(F.xxhash64("key", "low", "high", "t.token").alias("key"), "node", "n").distinct()))
+    links.test(_pairs(links.placed(buckets.where(F.col("members") <= SMALL)), percent))
+
+    near = links.placed(at.where("short <= 0").select("key", "node", "n", "own", "other"))
+    of_centre = links.placed(centre.select("key", F.col("b").alias("node"))).select("key", F.col("root").alias("main"))
+    left = near.join(of_centre, "key").where("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.col("own").alias("o1"), F.col("other").alias("o2"))
+    right = near.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("r2"), F.col("own").alias("o2"), F.col("other").alias("o1"))
+    links.test(left.join(right, ["key", "o1", "o2"]).where((F.col("r1") != F.col("r2")) & _close("n1", "n2", percent)).select("a", "b"))
+
+    large = links.placed(buckets.where(F.col("members") > SMALL))
+    sign = large.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"))
+    once = sign.where("r1 != r2").groupBy("c", "sign").agg(F.min("key").alias("key"))  # buckets of the same members once
+    following = cut(large.join(once.select("key"), "key", "left_semi").select("key", "node", "n"))
+    return None if following.isEmpty() else following
 
 
 def _close(n: str, m: str, percent: int):
@@ -151,32 +255,20 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     tables = F.array(*[F.xxhash64(F.lit(i * HALVES + j), F.get("halves", F.lit(i)), F.get("halves", F.lit(j))) for i, j in combinations(range(HALVES), 2)])
     keys = nodes.select("node", "n", F.explode(tables).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(keys.join(shared, "key"))
-    popular = shared.groupBy("node").agg(F.sum("members").alias("fame"))
-    centre = shared.join(popular, "node").groupBy("key").agg(F.max(F.struct("fame", "n", "node")).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
-    star = shared.join(centre, "key").where((F.col("node") != F.col("b")) & _close("n", "m", percent)).select(F.col("node").alias("a"), "b").distinct()
-    links = cut(_linked(cut(star), nodes, own, shingle, percent))
-    roots = cut(components(links))
-
-    def placed() -> DataFrame:
-        return shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-
-    # a bucket with several components: its pairs across them, in blocks of a bounded number
-    of_root = placed().groupBy("key", "root").agg(F.count("*").alias("c"))
-    open_ = cut(of_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("roots")).where("roots > 1"))
-    across = open_.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0
-    blocks = max(1, -(-int(across) // BLOCK_PAIRS)) if across else 0
-    for block in range(blocks):
-        member = cut(placed().join(open_.select("key"), "key", "left_semi"))
-        left = member.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block).select("key", F.col("node").alias("a"), "n", F.col("root").alias("ra"))
-        right = member.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-        more = left.join(right, "key").where((F.col("ra") != F.col("rb")) & _close("n", "m", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut(more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        found = cut(_linked(more, nodes, own, shingle, percent))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = cut(components(links))
+    links = _Links(nodes, own, shingle, percent)
+    members = cut(_several(keys))
+    popular = members.groupBy("node").agg(F.sum("members").alias("fame"))
+    centre = cut(members.join(popular, "node").groupBy("key").agg(F.max(F.struct("fame", "n", "node")).alias("c")))
+    small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
+    with_centre = small.join(centre, "key").where((F.col("node") != F.col("c.node")) & _close("n", "c.n", percent))
+    links.test(with_centre.select(F.col("node").alias("a"), F.col("c.node").alias("b")))
+    links.test(_pairs(links.placed(small.where("members > 2")), percent))
+    families = None if large.isEmpty() else cut(_families(large, centre))
+    if families is not None:
+        sets = cut(_texts(families.select("node").distinct(), nodes, own).mapInArrow(_sets(shingle), "node binary, tokens array<long>"))
+        while families is not None:
+            families = _refine(families, sets, links)
+    roots = links.roots
 
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
