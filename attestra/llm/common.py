@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has shuffle files of finished steps removed now, not when the driver happens to collect its garbage.
+
+    After ``cut`` no plan needs them; between the many steps of an iterative operator they would add up on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -10,7 +10,7 @@ Training sees every training document. Each partition runs stochastic gradient s
 start, against noise drawn from the class frequencies, and the partitions' parameters are averaged by tokens (one
 round by default). Only parameters and class counts come to the driver, whose size is fixed by CLASSES and WIDTH.
 
-Counts are exact over the whole open vocabulary. The ``FREQUENT`` most frequent tokens (a documented bound) are
+Counts are exact over the whole open vocabulary. The most frequent tokens (at most ``FREQUENT``, a documented bound; found by a histogram of the counts) are
 broadcast with their counts; every other token of a text is joined to the counts by a shuffle. Frequent tokens never
 enter that shuffle, so it has no hot key.
 """
@@ -238,7 +238,16 @@ def train(documents: DataFrame, counts: DataFrame, text: str = "text", rounds: i
     """Vocabulary, averaged model, and each group's smoothed total (its tokens, kinds and one for the unseen)."""
     words = counts.where(F.octet_length("token") > 0)
     single = CLASSES - 1 - GROUPS
-    frequent = [(bytes(r["token"]), r["n"]) for r in words.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()]
+    # counts in steps of a 64th of a doubling; as many whole steps from the top as hold at most FREQUENT tokens
+    step_of = F.floor(F.log2("n") * 64).cast("int")
+    steps = words.groupBy(step_of.alias("s")).agg(F.count("*").alias("c")).collect()
+    least, held = None, 0
+    for r in sorted(steps, key=lambda r: -r["s"]):
+        if (held := held + r["c"]) > FREQUENT:
+            break
+        least = r["s"]
+    rows = words.where(step_of >= least).collect() if least is not None else []
+    frequent = sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
     vocabulary = Vocabulary(frequent, single)
     group = F.pmod(F.crc32(F.substring("token", -2, 2)), F.lit(GROUPS))
     totals, kinds = np.zeros(GROUPS), np.zeros(GROUPS)

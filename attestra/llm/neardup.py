@@ -18,7 +18,7 @@ the work of seven. Two sets of similarity 0.8 share at least one key unless at m
 
 So no link between two texts that share a key is lost. Members of one component need no test.
 
-Scale: what is shuffled by key is 91 rows of 24 bytes a distinct text. Texts are shuffled once to fetch those that
+Scale: what is shuffled by key is 91 rows of two numbers a distinct text, twice. Texts are shuffled once to fetch those that
 occur in a pair, and again for pairs only. Hot buckets, groups and components appear in grouped aggregates
 (pre-aggregated) and joins that adaptive execution splits; nothing is collected but counts.
 """
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .graph import components
 
 HALVES, ROWS = 14, 3
@@ -161,10 +161,11 @@ class _Links:
             return
         texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), self.nodes, self.documents)
         met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        found = cut(met.select("a", "b", "ta", "tb").mapInArrow(_similar(self.k, self.percent), "u binary, v binary"))
+        found = cut(met.select("a", "b", "ta", "tb").mapInArrow(_similar(self.k, self.percent), "u long, v long"))
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         self.edges = found if self.edges is None else self.edges.unionByName(found)
         self.roots = components(self.edges)
+        release(self.documents.sparkSession)
 
     def across(self, pairs: DataFrame) -> DataFrame:
         side = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -252,11 +253,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     id_type = own.schema["id"].dataType.simpleString()
     signed = cut(own.mapInArrow(_signatures(shingle), f"id {id_type}, h long, node binary, n long, halves array<long>"))
     nodes = cut(signed.where("node is not null").groupBy("node", "n", "halves").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "h")).alias("row")))
+    # from here on a node is a number: the checkpoint fixes rows and order, so every reading numbers them alike
+    nodes = nodes.withColumnRenamed("node", "digest").withColumn("node", F.monotonically_increasing_id())
 
     tables = F.array(*[F.xxhash64(F.lit(i * HALVES + j), F.get("halves", F.lit(i)), F.get("halves", F.lit(j))) for i, j in combinations(range(HALVES), 2)])
     keys = nodes.select("node", "n", F.explode(tables).alias("key"))
     links = _Links(nodes, own, shingle, percent)
     members = cut(_several(keys))
+    release(documents.sparkSession)
     popular = members.groupBy("node").agg(F.sum("members").alias("fame"))
     centre = cut(members.join(popular, "node").groupBy("key").agg(F.max(F.struct("fame", "n", "node")).alias("c")))
     small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
@@ -265,14 +269,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     links.test(_pairs(links.placed(small.where("members > 2")), percent))
     families = None if large.isEmpty() else cut(_families(large, centre))
     if families is not None:
-        sets = cut(_texts(families.select("node").distinct(), nodes, own).mapInArrow(_sets(shingle), "node binary, tokens array<long>"))
+        sets = cut(_texts(families.select("node").distinct(), nodes, own).mapInArrow(_sets(shingle), "node long, tokens array<long>"))
         while families is not None:
             families = _refine(families, sets, links)
     roots = links.roots
 
-    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
+    named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "least_id")
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    of_node = named.join(least, "root").select("node", "component")
+    of_node = named.join(least, "root").select(F.col("digest").alias("node"), "component")
     out = signed.join(of_node, "node", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.col("node").alias("set_digest"))
