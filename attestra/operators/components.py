@@ -1,0 +1,30 @@
+"""Connected components of an edge table by repeated least neighbour and pointer jumping."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) for all nodes of (u, v); root is the least node that can be reached."""
+    both = _kept(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    roots = _kept(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")))
+    while True:
+        around = both.join(roots, both["v"] == roots["node"]).groupBy("u").agg(F.min("root").alias("near"))
+        nearer = roots.join(around, roots["node"] == around["u"], "left").select("node", F.least("root", "near").alias("root"))
+        jump = roots.select(F.col("node").alias("at"), F.col("root").alias("far"))
+        new = _kept(nearer.join(jump, nearer["root"] == jump["at"], "left").select("node", F.least("root", "far").alias("root")))
+        moved = new.join(roots.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
+        roots = new
+        if moved:
+            return roots
