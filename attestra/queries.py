@@ -46,7 +46,7 @@ def text_forms(spark, sf_dir):
 _Q = "CAST(l_quantity AS INT)"
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 4 THEN NULL ELSE CAST(q AS DOUBLE) END AS percent, CASE l_linenumber % 5 WHEN 0 THEN 2.0 * q WHEN 2 THEN CASE WHEN q >= 5 THEN 2.0 * q END END AS proof, CASE l_linenumber % 5 WHEN 4 THEN NULL ELSE l_linenumber % 5 = 2 END AS derived
+@query(f"""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 4 THEN NULL ELSE CAST(q AS DOUBLE) END AS percent, CAST(CASE WHEN l_linenumber % 5 IN (0, 2) AND q >= 5 THEN 2 * q END AS DOUBLE) AS proof, CASE l_linenumber % 5 WHEN 4 THEN NULL ELSE l_linenumber % 5 = 2 END AS derived
 FROM (SELECT *, {_Q} AS q FROM lineitem) WHERE NOT (l_linenumber % 5 = 2 AND q < 5)""")
 def alcohol_statements(spark, sf_dir):
     q = F.col("l_quantity").cast("int")
@@ -57,12 +57,13 @@ def alcohol_statements(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", N.parse_alcohol(text).alias("a")).select("l_orderkey", "l_linenumber", "a.percent", "a.proof", "a.derived")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN [p_size * 10.0] WHEN 1 THEN [round(p_size * 29.5735295625, 2), round(p_size * 30.0, 2)] WHEN 2 THEN [1000.0 + p_size * 10] ELSE [] END AS ml,
-CASE p_partkey % 4 WHEN 0 THEN list_contains([50, 100, 200, 250, 350, 500, 570, 700, 720, 750, 900, 331, 355, 375, 475, 710, 945, 187], p_size * 10) OR p_size * 10 IN (330 - 330) WHEN 1 THEN NULL ELSE NULL END AS fills
+@query("""SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN [p_size * 10.0] WHEN 1 THEN [round(CAST(p_size AS DOUBLE) * 29.5735295625, 2), CAST(p_size * 30 AS DOUBLE)] ELSE [] END AS DOUBLE[]) AS ml,
+CASE p_partkey % 4 WHEN 0 THEN list_contains([50, 100, 200, 250, 350, 500, 570, 700, 720, 750, 900, 331, 355, 375, 475, 710, 945, 187], p_size * 10) END AS fills
 FROM (SELECT p_partkey, p_size FROM part) WHERE p_partkey % 4 <> 3 AND p_size < 45""")
 def volume_statements(spark, sf_dir):
     n = F.col("p_size").cast("string")
     kind = F.col("p_partkey") % 4
+    # 1,010 litres is a thousand and ten of them, which no label states
     text = F.when(kind == 0, F.concat(n, F.lit("0 mL"))).when(kind == 1, F.concat(n, F.lit(" FL. OZ. ("), (F.col("p_size") * 30).cast("string"), F.lit("ml)"))).otherwise(F.concat(F.lit("CONTENTS 1,"), F.lpad((F.col("p_size") * 10).cast("string"), 3, "0"), F.lit(" Litre")))
     rows = _t(spark, sf_dir, "part").where((kind != 3) & (F.col("p_size") < 45))
     v = N.parse_volumes(text)
@@ -109,7 +110,7 @@ def warning_reports(spark, sf_dir):
 _ML = "CASE p_partkey % 4 WHEN 0 THEN 750.0 WHEN 1 THEN 1750.0 WHEN 2 THEN 354.88 ELSE 500.0 END"
 
 
-@query(f"SELECT p_partkey AS item_id, CAST(5 + p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS alcohol_percent, [CASE WHEN p_partkey % 11 = 0 THEN 700.0 ELSE {_ML} END] AS net_contents_ml, p_partkey % 13 <> 0 AS warning_present, upper(p_name) AS largest_text FROM part")
+@query(f"SELECT p_partkey AS item_id, CAST(5 + p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS alcohol_percent, [CAST(CASE WHEN p_partkey % 11 = 0 THEN 700.0 ELSE {_ML} END AS DOUBLE)] AS net_contents_ml, p_partkey % 13 <> 0 AS warning_present, upper(p_name) AS largest_text FROM part")
 def label_extracts(spark, sf_dir):
     return extract(fixtures.label_lines(spark, sf_dir)).select("item_id", "alcohol_percent", "net_contents_ml", "warning_present", "largest_text")
 
@@ -239,9 +240,9 @@ def registry_classes(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", registry.registry_class(F.col("text")).alias("kind"))
 
 
-@query("""SELECT l_orderkey AS item_id, l_linenumber % 2 AS image_index, count(*) AS line_count, avg(l_discount * 10) AS mean_confidence, sum(CASE WHEN l_discount * 10 >= 0.5 THEN l_discount * 10 ELSE 0 END) AS read_score, avg(l_discount * 10) >= 0.6 AS readable, avg(l_discount * 10) < 0.8 OR count(*) < 3 AS retry FROM lineitem GROUP BY ALL""")
+@query("""SELECT l_orderkey AS item_id, l_linenumber % 2 AS image_index, count(*) AS line_count, avg(CAST((CAST(l_quantity AS INT) % 8) / 8.0 AS DOUBLE)) AS mean_confidence, sum(CAST(CASE WHEN (CAST(l_quantity AS INT) % 8) / 8.0 >= 0.5 THEN (CAST(l_quantity AS INT) % 8) / 8.0 ELSE 0 END AS DOUBLE)) AS read_score, avg((CAST(l_quantity AS INT) % 8) / 8.0) >= 0.6 AS readable, avg((CAST(l_quantity AS INT) % 8) / 8.0) < 0.8 OR count(*) < 3 AS retry FROM lineitem GROUP BY ALL""")
 def image_read_quality(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), (F.col("l_linenumber") % 2).alias("image_index"), F.lit("x").alias("text"), (F.col("l_discount") * 10).alias("confidence"))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), (F.col("l_linenumber") % 2).alias("image_index"), F.lit("x").alias("text"), ((F.col("l_quantity").cast("int") % 8) / 8.0).alias("confidence"))
     return registry.image_quality(rows)
 
 
