@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,10 +45,17 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+_cuts = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
+    """The same rows with their lineage cut by a reliable checkpoint in the shared folder. Every fourth time the
+    shuffle files of what lies behind are released."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if not next(_cuts) % 4:
+        release(df.sparkSession)
+    return kept
 
 
 def release(spark: SparkSession) -> None:
