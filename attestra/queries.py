@@ -58,7 +58,7 @@ def alcohol_statements(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN [p_size * 10.0] WHEN 1 THEN [round(CAST(p_size AS DOUBLE) * 29.5735295625, 2), CAST(p_size * 30 AS DOUBLE)] ELSE [] END AS DOUBLE[]) AS ml,
-CASE p_partkey % 4 WHEN 0 THEN list_contains([50, 100, 200, 250, 350, 500, 570, 700, 720, 750, 900, 331, 355, 375, 475, 710, 945, 187], p_size * 10) END AS fills
+CASE p_partkey % 4 WHEN 0 THEN len(list_filter([50, 100, 200, 250, 350, 500, 570, 700, 720, 750, 900, 331, 355, 375, 475, 710, 945, 187], lambda s: abs(p_size * 10 - s) <= greatest(0.005 * s, 0.5))) > 0 END AS fills
 FROM (SELECT p_partkey, p_size FROM part) WHERE p_partkey % 4 <> 3 AND p_size < 45""")
 def volume_statements(spark, sf_dir):
     n = F.col("p_size").cast("string")
