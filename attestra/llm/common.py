@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,32 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a table written in the shared folder of the checkpoints.
+
+    Unlike ``cut`` it computes the rows once, packs small files into one task when they are read, and lets the
+    optimizer see how large they are. ``discard`` removes it.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not next(_cuts) % 4:
+        release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that ``stored`` wrote and that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            sc = t.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Has shuffle files of finished steps removed now, not when the driver happens to collect its garbage.
 

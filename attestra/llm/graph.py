@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum (pre-aggregated before the shuffle) and a join back, which adaptive execution splits if
-one node holds a large share of the edges. Every round is checkpointed; only two numbers a round reach the driver.
+one node holds a large share of the edges. Every round is a written table; only two numbers a round reach the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops, repeated and reversed edges change nothing. No edges, no rows.
     """
-    now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,9 +26,24 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         joined = large.join(least, large["u"] == least["c"])
         small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        now = cut(small)
+        before, now = now, stored(small)
+        discard(before)
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == seen:
             break
         seen = sign
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, root) once more edges are there, from a stored table of those before.
+
+    The edges are contracted to the roots of their ends, so only what they join is worked on, not all components.
+    """
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = edges.join(end("u"), "u", "left").join(end("v"), "v", "left")
+    between = ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    moved = components(between)
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return old.unionByName(moved.join(roots, "node", "left_anti"))

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
-from .graph import components
+from .common import discard, release, stored
+from .graph import components, joined_components
 
 HALVES, ROWS = 14, 3
 SHINGLE, PERCENT = 5, 80
@@ -140,31 +140,32 @@ def _sets(k: int):
 
 def _texts(asked: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """(node, text) of the nodes asked for."""
-    rows = nodes.join(asked, "node").select("node", F.col("row.id").alias("r_id"), F.col("row.h").alias("r_h"))
+    rows = stored(nodes.join(asked, "node").select("node", F.col("row.id").alias("r_id"), F.col("row.h").alias("r_h")))
     return documents.join(rows, documents["id"].eqNullSafe(rows["r_id"]) & (documents["h"] == rows["r_h"])).select("node", "text").dropDuplicates(["node"])
 
 
 class _Links:
-    """The links found so far, the pairs tested, and the components' roots."""
+    """The pairs tested so far and the roots of the components that their links make."""
 
     def __init__(self, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> None:
         self.nodes, self.documents, self.k, self.percent = nodes, documents, k, percent
-        self.edges = self.tested = self.roots = None
+        self.tested = self.roots = None
 
     def test(self, pairs: DataFrame) -> None:
         """Verifies the pairs (a, b) that are neither tested nor within one component."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.roots is not None:
             pairs = self.across(pairs).join(self.tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = stored(pairs)
         if self.roots is not None and pairs.isEmpty():
+            discard(pairs)
             return
         texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), self.nodes, self.documents)
         met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        found = cut(met.select("a", "b", "ta", "tb").mapInArrow(_similar(self.k, self.percent), "u long, v long"))
+        found = stored(met.select("a", "b", "ta", "tb").mapInArrow(_similar(self.k, self.percent), "u long, v long"))
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.edges = found if self.edges is None else self.edges.unionByName(found)
-        self.roots = components(self.edges)
+        before, self.roots = self.roots, stored(components(found) if self.roots is None else joined_components(self.roots, found))
+        discard(found, before)
         release(self.documents.sparkSession)
 
     def across(self, pairs: DataFrame) -> DataFrame:
@@ -202,9 +203,9 @@ def _refine(families: DataFrame, sets: DataFrame, links: _Links) -> DataFrame |
     percent = links.percent
     rows = families.join(sets, "node").select("key", "node", "n", F.explode("tokens").alias("token"))
     size = families.groupBy("key").agg(F.count("*").alias("m"))
-    share = cut(rows.groupBy("key", "token").agg(F.count("*").alias("f")).join(size, "key").select("key", "token", "f", (F.col("f") * 2 > F.col("m")).alias("common")))
+    share = stored(rows.groupBy("key", "token").agg(F.count("*").alias("f")).join(size, "key").select("key", "token", "f", (F.col("f") * 2 > F.col("m")).alias("common")))
     own = rows.join(share, ["key", "token"]).groupBy("key", "node", "n").agg(F.count_if("common").alias("overlap"), F.array_sort(F.collect_list(F.when(~F.col("common"), F.struct("f", "token")))).alias("rest"))
-    own = cut(own)
+    own = stored(own)
     centre = own.groupBy("key").agg(F.max(F.struct(2 * F.col("overlap") - F.col("n"), "n", "node")).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
     links.test(own.join(centre, "key").where((F.col("node") != F.col("b")) & _close("n", "m", percent)).select(F.col("node").alias("a"), "b"))
 
@@ -216,10 +217,10 @@ def _refine(families: DataFrame, sets: DataFrame, links: _Links) -> DataFrame |
     at = at.where((step * STEP * 100 > F.col("n") * percent - 100) & (step * percent < F.col("n") * 100 + 100))
     least = F.greatest(F.floor(step), F.col("n") * percent / 100)
     needed = F.ceil((F.col("n") + least) * percent / (100 + percent) - 1e-6)
-    at = cut(at.withColumn("short", needed - F.col("overlap")))
+    at = stored(at.withColumn("short", needed - F.col("overlap")))
     take = F.size("rest") - F.greatest(F.col("short"), F.lit(1)) + 1
     token = at.withColumn("take", take.cast("int")).where("take > 0").select("key", "node", "n", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.slice("rest", F.lit(1), F.col("take"))).alias("t")).where("t.f > 1")
-    buckets = cut(_several(token.select(F.xxhash64("key", "low", "high", "t.token").alias("key"), "node", "n").distinct()))
+    buckets = stored(_several(token.select(F.xxhash64("key", "low", "high", "t.token").alias("key"), "node", "n").distinct()))
     links.test(_pairs(links.placed(buckets.where(F.col("members") <= SMALL)), percent))
 
     near = links.placed(at.where("short <= 0").select("key", "node", "n", "own", "other"))
@@ -231,7 +232,7 @@ def _refine(families: DataFrame, sets: DataFrame, links: _Links) -> DataFrame |
     large = links.placed(buckets.where(F.col("members") > SMALL))
     sign = large.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"))
     once = sign.where("r1 != r2").groupBy("c", "sign").agg(F.min("key").alias("key"))  # buckets of the same members once
-    following = cut(large.join(once.select("key"), "key", "left_semi").select("key", "node", "n"))
+    following = stored(large.join(once.select("key"), "key", "left_semi").select("key", "node", "n"))
     return None if following.isEmpty() else following
 
 
@@ -251,25 +252,25 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     own = documents.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
-    signed = cut(own.mapInArrow(_signatures(shingle), f"id {id_type}, h long, node binary, n long, halves array<long>"))
-    nodes = cut(signed.where("node is not null").groupBy("node", "n", "halves").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "h")).alias("row")))
-    # from here on a node is a number: the checkpoint fixes rows and order, so every reading numbers them alike
-    nodes = nodes.withColumnRenamed("node", "digest").withColumn("node", F.monotonically_increasing_id())
+    signed = stored(own.mapInArrow(_signatures(shingle), f"id {id_type}, h long, node binary, n long, halves array<long>"))
+    nodes = signed.where("node is not null").groupBy("node", "n", "halves").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "h")).alias("row"))
+    # from here on a node is a number, fixed once it is written
+    nodes = stored(nodes.withColumnRenamed("node", "digest").withColumn("node", F.monotonically_increasing_id()))
 
     tables = F.array(*[F.xxhash64(F.lit(i * HALVES + j), F.get("halves", F.lit(i)), F.get("halves", F.lit(j))) for i, j in combinations(range(HALVES), 2)])
     keys = nodes.select("node", "n", F.explode(tables).alias("key"))
     links = _Links(nodes, own, shingle, percent)
-    members = cut(_several(keys))
+    members = stored(_several(keys))
     release(documents.sparkSession)
     popular = members.groupBy("node").agg(F.sum("members").alias("fame"))
-    centre = cut(members.join(popular, "node").groupBy("key").agg(F.max(F.struct("fame", "n", "node")).alias("c")))
+    centre = stored(members.join(popular, "node").groupBy("key").agg(F.max(F.struct("fame", "n", "node")).alias("c")))
     small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
     with_centre = small.join(centre, "key").where((F.col("node") != F.col("c.node")) & _close("n", "c.n", percent))
     links.test(with_centre.select(F.col("node").alias("a"), F.col("c.node").alias("b")))
     links.test(_pairs(links.placed(small.where("members > 2")), percent))
-    families = None if large.isEmpty() else cut(_families(large, centre))
+    families = None if large.isEmpty() else stored(_families(large, centre))
     if families is not None:
-        sets = cut(_texts(families.select("node").distinct(), nodes, own).mapInArrow(_sets(shingle), "node long, tokens array<long>"))
+        sets = stored(_texts(families.select("node").distinct(), nodes, own).mapInArrow(_sets(shingle), "node long, tokens array<long>"))
         while families is not None:
             families = _refine(families, sets, links)
     roots = links.roots
