@@ -13,7 +13,7 @@ still open and is checkpointed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -29,7 +29,7 @@ def calls_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tu
 
     A user's turn t is a call ``t<t>`` of ``reply`` with arguments {text, turn}, made after the call two turns
     earlier; an assistant's turn t is the result of call ``t<t-1>``. Other roles, and rows without conversation or
-    turn, are neither.
+    turn, are neither; ``rest_of`` has them.
     """
     own = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).where("conv_id is not null and turn is not null")
     named = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
@@ -39,6 +39,58 @@ def calls_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     return calls, results
 
 
+def rest_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The rows that ``calls_of`` reads as neither: (conv_id, turn, role, content)."""
+    own = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
+    return own.where("conv_id is null or turn is null or role is null or role not in ('user', 'assistant')")
+
+
+def _quoted(c: str) -> Column:
+    return F.regexp_replace(F.to_json(F.struct(F.col(c).alias("x"))), r"^\{\"x\":|\}$", "")
+
+
+def _object(*parts: Column) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _named(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":'), value)
+
+
+def every_row(calls: DataFrame, results: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """One row a row of calls, results and ``others`` (see ``rest_of``): conv_id, turn, call_id, status, message.
+
+    status: ``call`` and ``result`` for the rows that ``link_tool_calls`` takes, ``further call`` and ``further
+    result`` for those of the same identifier that it counts only, ``orphan`` for all results without a call,
+    ``without key`` for rows without conversation or identifier (of others: or turn), ``other role`` for the rest.
+    message is canonical JSON of the row itself; arguments that are no JSON are kept as a string.
+    """
+    key = ["conv_id", "call_id"]
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+
+    def placed(rows: DataFrame, own: list[str]) -> DataFrame:
+        # equal rows are one until the end, so that no key is hot in a window
+        first = rows.where(keyed).groupBy(*key).agg(F.min(F.struct(*own)).alias("first"))
+        met = rows.groupBy(*key, *own).agg(F.count("*").alias("copies")).join(first, key, "left")
+        met = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        return met.withColumn("is_first", (F.col("copy") == 1) & F.col("first").eqNullSafe(F.struct(*own)))
+
+    arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), _quoted("arguments"))
+    message = _object(_named("arguments", F.when(F.col("arguments").isNotNull(), arguments)), _named("id", F.when(F.col("call_id").isNotNull(), _quoted("call_id"))), F.when(F.col("name").isNotNull(), _named("name", _quoted("name"))))
+    status = F.when(~keyed, "without key").when(F.col("is_first"), "call").otherwise("further call")
+    out = placed(calls, ["turn", "name", "arguments", "after"]).select("conv_id", "turn", "call_id", status.alias("status"), message.alias("message"))
+
+    known = calls.where(keyed).select(*key).distinct().withColumn("known", F.lit(True))
+    message = _object(_named("id", F.when(F.col("call_id").isNotNull(), _quoted("call_id"))), F.when(F.col("content").isNotNull(), _named("result", _quoted("content"))))
+    status = F.when(~keyed, "without key").when(F.col("known").isNull(), "orphan").when(F.col("is_first"), "result").otherwise("further result")
+    out = out.unionByName(placed(results, ["turn", "content"]).join(known, key, "left").select("conv_id", "turn", "call_id", status.alias("status"), message.alias("message")))
+    if others is None:
+        return out
+    message = _object(F.when(F.col("content").isNotNull(), _named("content", _quoted("content"))), F.when(F.col("role").isNotNull(), _named("role", _quoted("role"))))
+    status = F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), "without key").otherwise("other role")
+    return out.unionByName(others.select("conv_id", "turn", F.lit(None).cast("string").alias("call_id"), status.alias("status"), message.alias("message")))
+
+
 def topological_levels(edges: DataFrame) -> DataFrame:
     """From (conv_id, call_id, dep): a row (conv_id, call_id, level) for each call with dependencies; level is the
     longest chain below it, null on or behind a cycle. Dependencies without edges of their own are level 0."""
@@ -94,7 +146,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     JSON of id, name, arguments and result; null for orphans). Of rows with one identifier the first by turn counts,
     of equals the least text. Rows without conversation or identifier are left out. ``schemas`` (name, param, type,
     required) is a list of functions written by hand and is broadcast. Empty tables give no rows; other columns are
-    ignored.
+    ignored. ``every_row`` has what is only counted here.
     """
     key = ["conv_id", "call_id"]
     first = calls.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("n_calls"))

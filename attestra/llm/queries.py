@@ -49,6 +49,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("errors", F.array_join("errors", ";"))
 
 
+def op6_chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return _chat.every_row(*_chat.calls_of(conversations), _chat.rest_of(conversations))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_chat": op6_chat,
+    "op6_chat_rows": op6_chat_rows,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
     "op9_licenses": op9_licenses,
@@ -143,4 +149,16 @@ SELECT j.conv_id, 't' || CAST(key_turn AS VARCHAR) AS call_id, CAST(coalesce(c_t
        CASE WHEN c_turn IS NOT NULL AND text IS NULL THEN 'text: missing' ELSE '' END AS errors, c_turn IS NOT NULL AND text IS NOT NULL AS valid,
        CASE WHEN c_turn IS NOT NULL THEN '{"arguments":{' || coalesce('"text":' || CAST(to_json(text) AS VARCHAR) || ',', '') || '"turn":' || CAST(c_turn AS VARCHAR) || '},"id":"t' || CAST(c_turn AS VARCHAR) || '","name":"reply"' || coalesce(',"result":' || CAST(to_json(content) AS VARCHAR), '') || '}' END AS message
 FROM j LEFT JOIN lev ON lev.conv_id = j.conv_id AND lev.turn = j.c_turn""",
+    "op6_chat_rows": r"""
+WITH c AS (SELECT conv_id, turn, '{' || coalesce('"text":' || CAST(to_json(text) AS VARCHAR) || ',', '') || '"turn":' || CAST(turn AS VARCHAR) || '}' AS arguments FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS place FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL)
+SELECT conv_id, turn, 't' || CAST(turn AS VARCHAR) AS call_id, CASE row_number() OVER (PARTITION BY conv_id, turn ORDER BY arguments) WHEN 1 THEN 'call' ELSE 'further call' END AS status,
+       '{"arguments":' || arguments || ',"id":"t' || CAST(turn AS VARCHAR) || '","name":"reply"}' AS message FROM c
+UNION ALL
+SELECT r.conv_id, r.turn, 't' || CAST(r.turn - 1 AS VARCHAR), CASE WHEN k.turn IS NULL THEN 'orphan' WHEN place = 1 THEN 'result' ELSE 'further result' END,
+       '{"id":"t' || CAST(r.turn - 1 AS VARCHAR) || '"' || coalesce(',"result":' || CAST(to_json(text) AS VARCHAR), '') || '}'
+FROM r LEFT JOIN (SELECT DISTINCT conv_id, turn FROM c) k ON k.conv_id = r.conv_id AND k.turn = r.turn - 1
+UNION ALL
+SELECT conv_id, turn, NULL, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 'without key' ELSE 'other role' END, '{' || concat_ws(',', '"content":' || CAST(to_json(text) AS VARCHAR), '"role":' || CAST(to_json(role) AS VARCHAR)) || '}'
+FROM conversations WHERE conv_id IS NULL OR turn IS NULL OR role IS NULL OR role NOT IN ('user', 'assistant')""",
 }
