@@ -77,6 +77,13 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, doc_id: str =
     ids on different texts stay apart. A null id is kept. With an empty benchmark nothing is hit; no documents, no
     rows. Other columns of either table are ignored, whatever their names.
     """
+    docs = _found(documents, benchmark, doc_id, text, item_id, item_text, size, block_bytes)
+    docs = docs.withColumn("_one", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)))))
+    return docs.select(F.col("id").alias(doc_id), "n_words", "n_hit", "n_items", "items", "spans", "contaminated")
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+    """The spans of each distinct (id, h), h being the hash of the text, with the number of its copies."""
     own = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), words(F.col(text)).alias("w")).select(
         "id", F.xxhash64(F.coalesce("t", F.lit(""))).alias("h"), F.octet_length("t").alias("bytes"), "w", F.size("w").alias("n"))
     wins = cut(item_windows(benchmark, item_id, item_text, size))
@@ -101,15 +108,14 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, doc_id: str =
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("to"))
     step = lambda a, s: F.struct((a["hit"] + F.greatest(s["end"] - F.greatest(s["start"], a["to"]), F.lit(0))).alias("hit"), F.greatest(a["to"], s["end"]).alias("to"))
     docs = docs.withColumn("hit", F.aggregate("spans", zero, step, lambda a: a["hit"]).cast("long"))
-    docs = docs.select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_words"), F.col("hit").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("hit") > 0) & (20 * F.col("hit") >= F.col("n"))).alias("contaminated"), "copies")
-    return docs.withColumn("_one", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).drop("_one", "copies")
+    return docs.select("id", "h", F.col("n").cast("long").alias("n_words"), F.col("hit").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("hit") > 0) & (20 * F.col("hit") >= F.col("n"))).alias("contaminated"), "copies")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The documents, all columns as they were, that are not contaminated; see ``contaminated_spans``.
 
-    Rows whose id is null are matched null-safely. A document id that is contaminated once is dropped everywhere.
+    Rows are matched by id, null-safely, and text: other texts of an id, or without id, stay.
     """
-    name = str(options.get("doc_id", "doc_id"))
-    bad = contaminated_spans(documents, benchmark, **options).where("contaminated").select(F.col(name).alias("_bad")).distinct()
-    return documents.join(bad, documents[name].eqNullSafe(bad["_bad"]), "left_anti")
+    own, text = documents[str(options.get("doc_id", "doc_id"))], documents[str(options.get("text", "text"))]
+    bad = _found(documents, benchmark, **options).where("contaminated").select(F.col("id").alias("_bad_id"), F.col("h").alias("_bad_h")).distinct()
+    return documents.join(bad, own.eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_bad_h")), "left_anti")

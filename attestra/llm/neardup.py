@@ -250,10 +250,18 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     repeated rows included. A null id is never a component_id unless nothing else is reachable; ``kept`` compares
     null-safely. No documents, no rows. Other columns are ignored, whatever their names.
     """
+    out = _grouped(documents, doc_id, text, shingle, percent)
+    component = F.coalesce("first.id", "id")
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.col("node").alias("set_digest"))
+
+
+def _grouped(documents: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """One row per document row: id, h (hash of the text), n, node, and ``first``, the (id, h) of its component's row
+    of the smallest id, null ids last; null for texts without words."""
     own = documents.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
     signed = stored(own.mapInArrow(_signatures(shingle), f"id {id_type}, h long, node binary, n long, halves array<long>"))
-    nodes = signed.where("node is not null").groupBy("node", "n", "halves").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "h")).alias("row"))
+    nodes = signed.where("node is not null").groupBy("node", "n", "halves").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("row"))
     # from here on a node is a number, fixed once it is written
     nodes = stored(nodes.withColumnRenamed("node", "digest").withColumn("node", F.monotonically_increasing_id()))
 
@@ -275,25 +283,27 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             families = _refine(families, sets, links)
     roots = links.roots
 
-    named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "least_id")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    of_node = named.join(least, "root").select(F.col("digest").alias("node"), "component")
-    out = signed.join(of_node, "node", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.col("node").alias("set_digest"))
+    named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "row")
+    least = named.groupBy("root").agg(F.min("row").alias("first"))
+    of_node = named.join(least, "root").select(F.col("digest").alias("node"), "first")
+    return signed.join(of_node, "node", "left").select("id", "h", "n", "node", "first")
 
 
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns as they were, with one of each group left (the smallest id; of repeated rows, one).
+    """The documents, all columns as they were, with one of each group left (the smallest id, a null one last; of
+    repeated rows, one).
 
+    What is decided holds for rows of one id and text, so different texts of one id, or without id, are judged apart.
     Documents without words belong to no group and all stay.
     """
-    found = near_duplicates(documents, doc_id, text, shingle, percent)
-    drop = found.where(~F.col("kept")).select(F.col(doc_id).alias("_drop")).distinct()
-    left = documents.join(drop, documents[doc_id].eqNullSafe(F.col("_drop")), "left_anti")
-    again = found.where(F.col("kept") & F.col("set_digest").isNotNull()).groupBy(doc_id).agg(F.count("*").alias("c")).where("c > 1")
+    found = _grouped(documents, doc_id, text, shingle, percent).where("node is not null")
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    pick = lambda rows, name: rows.select(F.col("id").alias(f"{name}_id"), F.col("h").alias(f"{name}_h"))
+    at = lambda name: documents[doc_id].eqNullSafe(F.col(f"{name}_id")) & (F.xxhash64(documents[text]) == F.col(f"{name}_h"))
+    left = documents.join(pick(found.where(~first), "_drop").distinct(), at("_drop"), "left_anti")
+    again = found.where(first).groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1")
     if again.isEmpty():
         return left
-    again = again.select(F.col(doc_id).alias("_again"))
-    twice = left.join(again, left[doc_id].eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([doc_id])
-    return left.join(again, left[doc_id].eqNullSafe(F.col("_again")), "left_anti").unionByName(twice)
+    again = pick(again, "_again")
+    twice = left.join(again, at("_again"), "left_semi").withColumn("_text_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
+    return left.join(again, at("_again"), "left_anti").unionByName(twice)

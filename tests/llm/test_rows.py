@@ -4,7 +4,7 @@ from collections import Counter
 
 import duckdb
 
-from attestra.llm import chat, queries
+from attestra.llm import chat, decontaminate, neardup, queries
 
 TALK = [(1, 0, "system", "be kind"), (1, 1, "user", "a"), (1, 1, "user", "b"), (1, 1, "user", "b"), (1, 2, "assistant", "x"), (1, 2, "assistant", "y"), (1, 9, "assistant", "lost"), (1, 9, "assistant", "too"), (1, 3, "tool", '{"k": "é"}'), (None, 1, "user", "no talk"), (2, None, "assistant", "no turn"), (2, 1, "user", None), (2, 5, None, None)]
 
@@ -25,3 +25,27 @@ def test_arguments_that_are_no_json_stay(spark):
     results = spark.createDataFrame([(1, None, 3, "r")], "conv_id long, call_id string, turn long, content string")
     got = {r["turn"]: (r["status"], r["message"]) for r in chat.every_row(calls, results).collect()}
     assert got == {1: ("call", '{"arguments":"no json","id":"a","name":"f"}'), 2: ("without key", '{"arguments":{},"name":"f"}'), 3: ("without key", '{"result":"r"}')}
+
+
+def _text(word, n=30):
+    return " ".join(f"{word}{i}" for i in range(n))
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_one_of_each_decides_for_rows(spark):
+    rows = [(1, _text("a")), (None, _text("a") + " more"), (None, _text("b")), (None, _text("c")), (7, _text("d")), (7, _text("e")), (7, _text("a") + " less"), (7, _text("d")), (8, _text("f")), (8, _text("f") + " more"), (None, _text("g")), (None, _text("g")), (None, None), (None, ""), (7, None)]
+    got = _rows(neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")))
+    kept = [0, 2, 3, 4, 5, 10, 12, 13, 14]
+    either = [_rows(spark.createDataFrame([rows[i] for i in [*kept, j]], "doc_id long, text string")) for j in (8, 9)]
+    assert got in either
+
+
+def test_decontaminate_decides_for_rows(spark):
+    bad = _text("b", 20)
+    rows = [(None, bad), (None, _text("c")), (None, None), (4, bad), (4, _text("d")), (5, _text("e"))]
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    got = _rows(decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench))
+    assert got == _rows(spark.createDataFrame([rows[i] for i in (1, 2, 4, 5)], "doc_id long, text string"))
