@@ -39,11 +39,15 @@ def token_count(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; only where there is none, as in
-    tests, a temporary one."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; only where there is none and driver and
+    executors are one machine, as in tests, a temporary one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 _cuts = itertools.count(1)
@@ -63,12 +67,14 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows as a table written in the shared folder of the checkpoints.
 
     Unlike ``cut`` it computes the rows once, packs small files into one task when they are read, and lets the
-    optimizer see how large they are. ``discard`` removes it.
+    optimizer see how large they are. ``discard`` removes it; what is not discarded goes when the driver ends.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     if not next(_cuts) % 4:
         release(spark)
     out = spark.read.schema(df.schema).parquet(path)

@@ -7,20 +7,26 @@ the work of seven. Two sets of similarity 0.8 share at least one key unless at m
 
 1. An Arrow stage turns each text into its set of word shingles (64-bit), the set's 128-bit digest and half-keys.
 2. Documents with equal sets are one node from here on; a group of copies costs one row however large it is.
-3. Keys are formed natively. In each small bucket every node is verified against the bucket's most popular node; if
-   the bucket still holds several components, its pairs across them are verified too.
-4. Large buckets are never paired with themselves. They are merged into families around common popular nodes, and a
-   family's consensus C is formed: the shingles that more than half of its members have. Every member is verified
-   against the one closest to C. For two members x and y that the similarity asks to share at least T shingles,
-   |x & y| <= min(|x & C|, |y & C|) + |(x - C) & (y - C)|, so each member emits the necessary prefix of its shingles
-   outside C, rarest first; members that share one form the next round's families, at most half as large. Members
-   whose overlaps with C leave the similarity open are verified directly, unless in one component already.
+3. A key can be shared only where both of its half-keys are, so half-keys that occur once go before keys are formed:
+   14 rows a node are shuffled instead of 91. Buckets of the same members count once.
+4. Buckets of at most SMALL nodes are verified pair by pair. In a larger one every node is verified against the
+   bucket's hub, the node whose half-keys are the most common.
+5. Large buckets that still hold several components are merged into families around common hubs and refined with a
+   pivot C: the shingles that most of a few members have. C may be any set, it only decides how much is pruned. For
+   two members x and y that the similarity asks to share at least T shingles,
+   |x & y| <= min(|x & C|, |y & C|) + |(x - C) & (y - C)|. So two members either both have T shingles of C, which is
+   rare across components once all are verified against the member closest to C, and are verified directly; or
+   they share one of the necessary prefix of their shingles outside C, rarest first. Members that share one are a
+   bucket again, small or large, and large ones that stay open are the next round's families. A family's members
+   that share a shingle outside C are never all of it, so rounds end.
 
 So no link between two texts that share a key is lost. Members of one component need no test.
 
-Scale: what is shuffled by key is 91 rows of two numbers a distinct text, twice. Texts are shuffled once to fetch those that
-occur in a pair, and again for pairs only. Hot buckets, groups and components appear in grouped aggregates
-(pre-aggregated) and joins that adaptive execution splits; nothing is collected but counts.
+Scale: texts are hashed in one pass and joined once to the nodes that share a key, whose shingle sets are written;
+after that only sets and numbers move. Every bucket yields at most SMALL / 2 pairs a member. Hot half-keys, groups and
+components appear in grouped aggregates (pre-aggregated) and in sort-merge joins that adaptive execution splits;
+nothing is collected but counts. Joins whose two sides grow with the corpus ask for sort-merge, so that a small input
+runs the plan of a large one.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, stored
@@ -39,9 +45,11 @@ from .graph import components, joined_components
 
 HALVES, ROWS = 14, 3
 SHINGLE, PERCENT = 5, 80
-#: Buckets of at most so many nodes are verified pair by pair (across components); larger ones are refined.
+#: Buckets of at most so many nodes are verified pair by pair; larger ones through their hub and, if open, a pivot.
 SMALL = 24
-#: Set sizes are classed in steps of this ratio when the least overlap with a partner is bounded.
+#: So many members of a family vote on its pivot.
+VOTERS = 31
+#: Set sizes are classed in steps of this ratio where members rich in the pivot meet.
 STEP = 1.05
 
 
@@ -109,131 +117,133 @@ def _signatures(k: int):
     return run
 
 
-def _similar(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, of_last = _Hashes(), None, np.empty(0, np.uint64)
-        for batch in batches:
-            keep = []
-            a, b, ta, tb = batch.columns
-            texts = zip(b.to_pylist(), ta.cast(pa.binary()).to_pylist(), tb.cast(pa.binary()).to_pylist(), strict=True)
-            for node, x, y in texts:
-                if node != last:
-                    last, of_last = node, shingle_set(y, k, hashes)
-                own = shingle_set(x, k, hashes)
-                both = len(np.intersect1d(own, of_last, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(of_last) - both))
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["u", "v"])
-
-    return run
-
-
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            sets = [shingle_set(t, k, hashes).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(t, k, hashes).view(np.int64) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["node", "n", "tokens"])
 
     return run
 
 
-def _texts(asked: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(node, text) of the nodes asked for."""
-    rows = stored(nodes.join(asked, "node").select("node", F.col("row.id").alias("r_id"), F.col("row.h").alias("r_h")))
-    return documents.join(rows, documents["id"].eqNullSafe(rows["r_id"]) & (documents["h"] == rows["r_h"])).select("node", "text").dropDuplicates(["node"])
-
-
 class _Links:
-    """The pairs tested so far and the roots of the components that their links make."""
+    """Verifies pairs on full sets and keeps the roots of the components that their links make."""
 
-    def __init__(self, nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> None:
-        self.nodes, self.documents, self.k, self.percent = nodes, documents, k, percent
-        self.tested = self.roots = None
+    def __init__(self, sets: DataFrame, percent: int) -> None:
+        self.sets, self.percent, self.roots = sets, percent, None
 
     def test(self, pairs: DataFrame) -> None:
-        """Verifies the pairs (a, b) that are neither tested nor within one component."""
+        """Verifies the pairs (a, b) that do not lie within one component."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.roots is not None:
-            pairs = self.across(pairs).join(self.tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if self.roots is not None and pairs.isEmpty():
-            discard(pairs)
-            return
-        texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), self.nodes, self.documents)
-        met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        found = stored(met.select("a", "b", "ta", "tb").mapInArrow(_similar(self.k, self.percent), "u long, v long"))
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        before, self.roots = self.roots, stored(components(found) if self.roots is None else joined_components(self.roots, found))
+            side = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+            pairs = placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        of = lambda c: self.sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}")).hint("merge")
+        both = F.size(F.array_intersect("t_a", "t_b"))
+        met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", both)
+        found = stored(met.where(100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        before, self.roots = self.roots, components(found) if self.roots is None else joined_components(self.roots, found)
         discard(found, before)
-        release(self.documents.sparkSession)
-
-    def across(self, pairs: DataFrame) -> DataFrame:
-        side = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
     def placed(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Buckets (key, node, n) of two members or more, with their number."""
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
-
-
-def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in small buckets (key, node, n, root)."""
-    left = buckets.select("key", F.col("node").alias("a"), "n", F.col("root").alias("ra"))
-    right = left.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("ra").alias("rb"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("n", "m", percent)).select("a", "b")
-
-
-def _families(large: DataFrame, centre: DataFrame) -> DataFrame:
-    """Large buckets merged: each bucket goes to the most popular centre that its own centre shares a bucket with,
-    twice over. (key, node, n) with the family as key."""
-    best = large.join(centre, "key").groupBy("node").agg(F.max("c").alias("hub")).select("node", "hub")
-    step = lambda rows: rows.join(best.select(F.col("node").alias("at"), F.col("hub.node").alias("to")), "at").select("key", F.col("to").alias("at"))
-    hubs = step(step(large.select("key").distinct().join(centre, "key").select("key", F.col("c.node").alias("at"))))
-    return large.join(hubs, "key").select(F.xxhash64("at").alias("key"), "node", "n").distinct()
-
-
-def _refine(families: DataFrame, sets: DataFrame, links: _Links) -> DataFrame | None:
-    """One round over families (key, node, n): verifies what the consensus leaves open and returns the next round's."""
+def _node_keys(nodes: DataFrame) -> DataFrame:
+    """(node, n, fame, key): the keys of each node both of whose half-keys another node has too; fame is how common
+    the node's half-keys are."""
+    halves = nodes.select("node", "n", F.posexplode("halves").alias("i", "half")).select("node", "n", F.xxhash64("i", "half").alias("half"))
+    common = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
+    shared = halves.join(common.hint("merge"), "half").groupBy("node", "n").agg(F.sort_array(F.collect_list("half")).alias("halves"), F.sum("c").alias("fame"))
+    after = lambda x, i: F.transform(F.slice("halves", i + 2, F.size("halves")), lambda y: F.xxhash64(x, y))
+    return shared.where("size(halves) > 1").select("node", "n", "fame", F.explode(F.flatten(F.transform("halves", after))).alias("key"))
+
+
+def _buckets(rows: DataFrame, rank: list[str]) -> DataFrame:
+    """One row a set of several nodes that share a key: key, members, hub (of the highest ``rank``), hub_n, hub_rank."""
+    each = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.max(F.struct(*rank, "n", "node")).alias("hub"))
+    once = each.where("members > 1").groupBy("members", "sign").agg(F.min(F.struct("key", "hub")).alias("k"))
+    return once.select("k.key", "members", F.col("k.hub.node").alias("hub"), F.col("k.hub.n").alias("hub_n"), F.col(f"k.hub.{rank[0]}").alias("hub_rank"))
+
+
+def _to_verify(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of buckets (key, node, n, members, hub, hub_n): all of a small one, each with the hub of a large one."""
+    left = members.where(F.col("members") <= SMALL).select("key", F.col("node").alias("a"), "n")
+    right = left.select("key", F.col("a").alias("b"), F.col("n").alias("m"))
+    pairs = left.join(right.hint("merge"), "key").where((F.col("a") < F.col("b")) & _close("n", "m", percent)).select("a", "b")
+    stars = members.where((F.col("members") > SMALL) & (F.col("node") != F.col("hub")) & _close("n", "hub_n", percent))
+    return pairs.unionByName(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+
+def _open(members: DataFrame, links: _Links) -> DataFrame:
+    """The members of large buckets that lie in several components."""
+    large = links.placed(members.where(F.col("members") > SMALL))
+    several = large.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+    return large.join(several, "key", "left_semi")
+
+
+def _families(large: DataFrame) -> DataFrame:
+    """Large buckets merged into (key, node, n): each goes to the most popular hub that its own hub shares a bucket
+    with, twice over. Members of one bucket stay together."""
+    best = large.groupBy("node").agg(F.max(F.struct("hub_rank", "hub_n", "hub")).alias("to")).select(F.col("node").alias("at"), F.col("to.hub").alias("to"))
+    step = lambda rows: rows.join(best, "at").select("hub", F.col("to").alias("at"))
+    placed = step(step(large.select("hub", F.col("hub").alias("at")).distinct()))
+    return large.join(placed, "hub").select(F.xxhash64("at").alias("key"), "node", "n").distinct()
+
+
+def _with_pivot(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, node, n, overlap, rest): each member's overlap with its family's pivot and its shingles outside it."""
+    turn = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+    voters = families.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= VOTERS).select("key", "node")
+    votes = voters.join(sets, "node").select("key", F.explode("tokens").alias("token")).groupBy("key", "token").agg(F.count("*").alias("f"))
+    of = voters.groupBy("key").agg(F.count("*").alias("voters"))
+    pivot = votes.join(of, "key").where(2 * F.col("f") > F.col("voters")).groupBy("key").agg(F.collect_list("token").alias("pivot"))
+    met = families.join(sets.select("node", "tokens"), "node").join(pivot, "key", "left").withColumn("pivot", F.coalesce("pivot", F.array().cast("array<long>")))
+    return met.select("key", "node", "n", F.size(F.array_intersect("tokens", "pivot")).alias("overlap"), F.array_except("tokens", "pivot").alias("rest"))
+
+
+def _rich(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components of which both have enough of the pivot (key, node, n, overlap, root) to be similar."""
+    size_class = lambda c: F.floor(F.log(c) / F.lit(float(np.log(STEP)))).cast("int")
+    least, most = F.ceil(F.col("n") * percent / 100), F.least(F.floor(F.col("overlap") * (100 + percent) / percent - F.col("n")), F.floor(F.col("n") * 100 / percent))
+    able = own.withColumn("least", least).withColumn("most", most).where("most >= least")
+    main = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main")).select("key", F.col("main.root").alias("main"))
+    left = able.join(main, "key").where("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("root").alias("r1"), "least", "most", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))).alias("class"))
+    right = able.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("r2"), F.col("most").alias("most2"), size_class(F.col("n")).alias("class"))
+    return left.join(right, ["key", "class"]).where("r1 != r2 and n2 between least and most and n1 <= most2").select("a", "b")
+
+
+def _sharing(own: DataFrame, percent: int) -> DataFrame:
+    """Buckets of members across components that share a shingle outside the pivot, of those that one of them must."""
+    rest = own.select("key", "node", "n", "overlap", "root", F.size("rest").alias("rest_n"), F.explode("rest").alias("token"))
+    often = rest.groupBy("key", "token").agg(F.count("*").alias("f")).where("f > 1")
+    short = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("overlap"), F.lit(1))
+    # shingles of one member only come first in the order, and need no row
+    ordered = rest.join(often, ["key", "token"]).groupBy("key", "node", "n", "overlap", "root", "rest_n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
+    take = (F.size("t") - short + 1).cast("int")  # rest_n - short + 1, less the rest_n - size(t) in front
+    rows = ordered.withColumn("take", take).where("take > 0").select("key", "node", "n", "overlap", "root", F.explode(F.slice("t", F.lit(1), F.col("take"))).alias("t"))
+    rows = rows.select(F.xxhash64("key", "t.token").alias("key"), "node", "n", "overlap", "root")
+    several = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+    rows = rows.join(several, "key", "left_semi")
+    return rows.join(_buckets(rows, ["overlap"]), "key").select("key", "node", "n", "members", "hub", "hub_n", "hub_rank")
+
+
+def _refine(families: DataFrame, links: _Links, first: bool) -> DataFrame:
+    """One round over families (key, node, n): verifies what the pivot leaves open and returns the next round's."""
     percent = links.percent
-    rows = families.join(sets, "node").select("key", "node", "n", F.explode("tokens").alias("token"))
-    size = families.groupBy("key").agg(F.count("*").alias("m"))
-    share = stored(rows.groupBy("key", "token").agg(F.count("*").alias("f")).join(size, "key").select("key", "token", "f", (F.col("f") * 2 > F.col("m")).alias("common")))
-    own = rows.join(share, ["key", "token"]).groupBy("key", "node", "n").agg(F.count_if("common").alias("overlap"), F.array_sort(F.collect_list(F.when(~F.col("common"), F.struct("f", "token")))).alias("rest"))
-    own = stored(own)
-    centre = own.groupBy("key").agg(F.max(F.struct(2 * F.col("overlap") - F.col("n"), "n", "node")).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
-    links.test(own.join(centre, "key").where((F.col("node") != F.col("b")) & _close("n", "m", percent)).select(F.col("node").alias("a"), "b"))
-
-    size_class = F.floor(F.log("n") / F.lit(float(np.log(STEP)))).cast("int")
-    classed = own.withColumn("own", size_class)
-    classes = classed.groupBy("key").agg(F.collect_set("own").alias("classes"))
-    at = classed.join(classes, "key").select("*", F.explode("classes").alias("other"))
-    step = F.pow(F.lit(STEP), F.col("other"))
-    at = at.where((step * STEP * 100 > F.col("n") * percent - 100) & (step * percent < F.col("n") * 100 + 100))
-    least = F.greatest(F.floor(step), F.col("n") * percent / 100)
-    needed = F.ceil((F.col("n") + least) * percent / (100 + percent) - 1e-6)
-    at = stored(at.withColumn("short", needed - F.col("overlap")))
-    take = F.size("rest") - F.greatest(F.col("short"), F.lit(1)) + 1
-    token = at.withColumn("take", take.cast("int")).where("take > 0").select("key", "node", "n", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.slice("rest", F.lit(1), F.col("take"))).alias("t")).where("t.f > 1")
-    buckets = stored(_several(token.select(F.xxhash64("key", "low", "high", "t.token").alias("key"), "node", "n").distinct()))
-    links.test(_pairs(links.placed(buckets.where(F.col("members") <= SMALL)), percent))
-
-    near = links.placed(at.where("short <= 0").select("key", "node", "n", "own", "other"))
-    of_centre = links.placed(centre.select("key", F.col("b").alias("node"))).select("key", F.col("root").alias("main"))
-    left = near.join(of_centre, "key").where("root != main").select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.col("own").alias("o1"), F.col("other").alias("o2"))
-    right = near.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("r2"), F.col("own").alias("o2"), F.col("other").alias("o1"))
-    links.test(left.join(right, ["key", "o1", "o2"]).where((F.col("r1") != F.col("r2")) & _close("n1", "n2", percent)).select("a", "b"))
-
-    large = links.placed(buckets.where(F.col("members") > SMALL))
-    sign = large.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"))
-    once = sign.where("r1 != r2").groupBy("c", "sign").agg(F.min("key").alias("key"))  # buckets of the same members once
-    following = stored(large.join(once.select("key"), "key", "left_semi").select("key", "node", "n"))
-    return None if following.isEmpty() else following
+    own = stored(_with_pivot(families, links.sets))
+    if first:
+        centre = own.groupBy("key").agg(F.max(F.struct(2 * F.col("overlap") - F.col("n"), "n", "node")).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
+        links.test(own.join(centre, "key").where((F.col("node") != F.col("b")) & _close("n", "m", percent)).select(F.col("node").alias("a"), "b"))
+    placed = links.placed(own)
+    members = stored(_sharing(placed, percent))
+    links.test(_to_verify(members, percent).unionByName(_rich(placed, percent)))
+    following = stored(_open(members, links).select("key", "node", "n"))
+    discard(own, members)
+    return following
 
 
 def _close(n: str, m: str, percent: int):
@@ -265,25 +275,23 @@ def _grouped(documents: DataFrame, doc_id: str, text: str, shingle: int, percent
     # from here on a node is a number, fixed once it is written
     nodes = stored(nodes.withColumnRenamed("node", "digest").withColumn("node", F.monotonically_increasing_id()))
 
-    tables = F.array(*[F.xxhash64(F.lit(i * HALVES + j), F.get("halves", F.lit(i)), F.get("halves", F.lit(j))) for i, j in combinations(range(HALVES), 2)])
-    keys = nodes.select("node", "n", F.explode(tables).alias("key"))
-    links = _Links(nodes, own, shingle, percent)
-    members = stored(_several(keys))
+    keys = _node_keys(nodes)
+    members = stored(keys.join(_buckets(keys, ["fame"]).hint("merge"), "key").select("key", "node", "n", "members", "hub", "hub_n", "hub_rank"))
     release(documents.sparkSession)
-    popular = members.groupBy("node").agg(F.sum("members").alias("fame"))
-    centre = stored(members.join(popular, "node").groupBy("key").agg(F.max(F.struct("fame", "n", "node")).alias("c")))
-    small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
-    with_centre = small.join(centre, "key").where((F.col("node") != F.col("c.node")) & _close("n", "c.n", percent))
-    links.test(with_centre.select(F.col("node").alias("a"), F.col("c.node").alias("b")))
-    links.test(_pairs(links.placed(small.where("members > 2")), percent))
-    families = None if large.isEmpty() else stored(_families(large, centre))
-    if families is not None:
-        sets = stored(_texts(families.select("node").distinct(), nodes, own).mapInArrow(_sets(shingle), "node long, tokens array<long>"))
-        while families is not None:
-            families = _refine(families, sets, links)
-    roots = links.roots
-
-    named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "row")
+    asked = nodes.join(members.select("node").distinct(), "node").select("node", "n", F.col("row.id").alias("r_id"), F.col("row.h").alias("r_h"))
+    texts = own.join(asked, (own["h"] == asked["r_h"]) & own["id"].eqNullSafe(asked["r_id"])).select("node", "n", "text").dropDuplicates(["node"])
+    sets = stored(texts.mapInArrow(_sets(shingle), "node long, n long, tokens array<long>"))
+    links = _Links(sets, percent)
+    links.test(_to_verify(members, percent))
+    families, first = stored(_families(_open(members, links))), True
+    discard(members)
+    while not families.isEmpty():
+        following = _refine(families, links, first)
+        discard(families)
+        families, first = following, False
+    discard(families, sets)
+
+    named = nodes.join(links.roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "row")
     least = named.groupBy("root").agg(F.min("row").alias("first"))
     of_node = named.join(least, "root").select(F.col("digest").alias("node"), "first")
     return signed.join(of_node, "node", "left").select("id", "h", "n", "node", "first")
