@@ -283,8 +283,9 @@ def _grouped(documents: DataFrame, doc_id: str, text: str, shingle: int, percent
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, n long, tokens array<long>"))
     links = _Links(sets, percent)
     links.test(_to_verify(members, percent))
-    families, first = stored(_families(_open(members, links))), True
-    discard(members)
+    large = stored(_open(members, links))
+    families, first = stored(_families(large)), True
+    discard(members, large)
     while not families.isEmpty():
         following = _refine(families, links, first)
         discard(families)
