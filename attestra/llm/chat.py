@@ -1,27 +1,31 @@
 """Chat formatting: tool-call linking, in DataFrame operations only.
 
 Calls and results are reduced to one row an identifier (the first by turn; the others are counted) and hash-joined on
-(conversation, identifier), so neither side of the join has a hot key. Calls are put in topological order by peeling:
-in each round the calls whose dependencies are all placed are placed, until nothing moves; what is left lies on or
-behind a cycle. Arguments are parsed to a variant, exploded by name and joined to the schema's parameters for
-validation. Each linked call is serialised as canonical JSON: sorted keys, no blanks, nulls left out.
+(conversation, identifier), so neither side of the join has a hot key. Calls are put in topological order: chains and
+trees of calls with one dependency each by pointer doubling, calls with several by peeling (in each round the calls
+whose dependencies are all placed are placed, until nothing moves); what is left lies on or behind a cycle. Arguments
+are parsed to a variant, exploded by name and joined to the schema's parameters for validation. Each linked call is
+serialised as canonical JSON: sorted keys, no blanks; fields of the message that are null are left out, nulls within
+the arguments stay.
 
 Scale: everything is an equi-join or a pre-aggregated grouping by (conversation, identifier); no conversation is ever
-gathered in one task. Peeling takes as many rounds as the longest chain of calls; each round keeps only the edges
-still open and is checkpointed.
+gathered in one task. A chain of n calls takes log2(n) rounds. Calls with several dependencies take a round for each
+step of the longest chain of such calls. Every round is a written table, and the one before it is removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stored
 
 CALLS = "conv_id, call_id, turn, name, arguments, after"
 SCHEMA = "name string, param string, type string, required boolean"
 #: The schema of the calls that plain conversations are read as.
-REPLY = [("reply", "text", "STRING", True), ("reply", "turn", "BIGINT", True)]
+REPLY = "values ('reply', 'text', 'STRING', true), ('reply', 'turn', 'BIGINT', true) as t(name, param, type, required)"
 
 
 def calls_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -93,32 +97,75 @@ def every_row(calls: DataFrame, results: DataFrame, others: DataFrame | None = N
 
 def topological_levels(edges: DataFrame) -> DataFrame:
     """From (conv_id, call_id, dep): a row (conv_id, call_id, level) for each call with dependencies; level is the
-    longest chain below it, null on or behind a cycle. Dependencies without edges of their own are level 0."""
-    left = cut(edges.select("conv_id", "call_id", "dep").distinct())
-    levels, round_, n = [], 0, left.count()
-    while n:
-        round_ += 1
-        nodes = left.select("conv_id", "call_id").distinct()
-        levels.append(nodes.withColumn("level", F.lit(round_).cast("long")))
-        still = cut(left.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi").select("conv_id", "call_id", "dep"))
-        m = still.count()
-        if m == n:
-            levels[-1] = nodes.withColumn("level", F.lit(None).cast("long"))
+    longest chain below it, null on or behind a cycle. Dependencies without edges of their own are level 0.
+
+    Calls with one dependency form chains and trees, which pointer doubling walks down: each round, a call's pointer
+    takes over where its target points. Only calls with several dependencies, joined by their chains' ends, are
+    peeled.
+    """
+    key = ["conv_id", "call_id"]
+    edges = stored(edges.select(*key, "dep").distinct())
+    degree = stored(edges.groupBy(*key).agg(F.count("*").alias("deps"), F.min("dep").alias("dep")))
+    chains = _chain_ends(degree.where("deps = 1").select(*key, "dep"))
+    several = degree.where("deps > 1").select(*key)
+    placed = _peeled(edges.join(several, key, "left_semi"), chains, several)
+    end = chains.join(placed.select("conv_id", F.col("call_id").alias("end"), "level", F.lit(True).alias("several")), ["conv_id", "end"], "left")
+    level = F.when(~F.col("moving"), F.when(F.col("several"), F.col("level")).otherwise(0) + F.col("steps"))
+    out = stored(end.select(*key, level.alias("level")).unionByName(placed.select(*key, "level")))
+    discard(edges, degree, chains, placed)
+    return out
+
+
+def _chain_ends(pointers: DataFrame) -> DataFrame:
+    """(conv_id, call_id, end, steps, moving) from one pointer (conv_id, call_id, dep) a call: the first call down the
+    chain that has no pointer, and how far it is. As many rounds as the longest chain has binary digits: every round
+    settles some call of every chain that is still open, so if none was settled, what still moves leads into a cycle."""
+    now, moving = stored(pointers.select("conv_id", "call_id", F.col("dep").alias("end"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moving"))), None
+    while True:
+        target = now.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("next"), F.col("steps").alias("more"))
+        met = now.join(target, ["conv_id", "end"], "left")
+        step = stored(met.select("conv_id", "call_id", F.coalesce("next", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moving")))
+        discard(now)
+        now, before, moving = step, moving, step.where("moving").count()
+        if moving in (0, before):
+            return now
+
+
+def _peeled(edges: DataFrame, chains: DataFrame, several: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of the calls with ``several`` dependencies, a round for each step of the longest
+    chain of such calls. Where a dependency is the top of a chain, the edge goes to the chain's end."""
+    key = ["conv_id", "call_id"]
+    todo = stored(several.withColumn("level", F.lit(None).cast("long")))
+    if todo.isEmpty():
+        return todo
+    down = chains.select("conv_id", F.col("call_id").alias("dep"), "end", "steps", "moving")
+    down = edges.join(down, ["conv_id", "dep"], "left").select(*key, F.coalesce("end", "dep").alias("dep"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.coalesce("moving", F.lit(False)).alias("moving"))
+    down = stored(down.groupBy(*key, "dep", "moving").agg(F.max("steps").alias("steps")))
+    waits = down.join(several.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi").unionByName(down.where("moving")).distinct()
+    waits = stored(waits.select(*key, "dep", "steps"))
+    floors = stored(down.join(waits.select(*key, "dep").distinct(), [*key, "dep"], "left_anti").select(*key, "steps"))
+    placed = []
+    while not todo.isEmpty():
+        ready = stored(todo.join(waits.select(*key).distinct(), key, "left_anti").join(floors, key).groupBy(*key).agg(F.max("steps").alias("level")))
+        if ready.isEmpty():
             break
-        left, n = still, m
-        if round_ % 8 == 0:  # keep the union of rounds short
-            levels = [cut(_highest(levels))]
-    if not levels:
-        return edges.select("conv_id", "call_id", F.lit(0).cast("long").alias("level")).where("false")
-    return _highest(levels)
+        placed.append(ready)
+        of = ready.select("conv_id", F.col("call_id").alias("dep"), "level")
+        more = waits.join(of, ["conv_id", "dep"]).select(*key, (F.col("level") + F.col("steps")).alias("steps"))
+        following = [stored(todo.join(ready, key, "left_anti")), stored(waits.join(of, ["conv_id", "dep"], "left_anti").select(*key, "dep", "steps")), stored(floors.join(ready, key, "left_anti").unionByName(more))]
+        discard(todo, waits, floors)
+        todo, waits, floors = following
+        if len(placed) == 8:  # keep the union short
+            merged = stored(_union(placed))
+            discard(*placed)
+            placed = [merged]
+    out = stored(_union([*placed, todo]))
+    discard(down, todo, waits, floors, *placed)
+    return out
 
 
-def _highest(levels: list[DataFrame]) -> DataFrame:
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    top = F.max(F.coalesce("level", F.lit(1 << 62)))
-    return out.groupBy("conv_id", "call_id").agg(F.when(top < 1 << 62, top).alias("level"))
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -150,7 +197,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     """
     key = ["conv_id", "call_id"]
     first = calls.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("n_calls"))
-    own = cut(first.select(*key, "c.*", "n_calls"))
+    own = stored(first.select(*key, "c.*", "n_calls"))
     answers = results.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     edges = own.select(*key, F.explode("after").alias("dep")).where("dep is not null").distinct()
     known = edges.join(own.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi")
@@ -170,5 +217,6 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         F.coalesce("n_missing", F.lit(0)).alias("n_missing"), status.alias("status"), F.coalesce("errors", none).alias("errors"), (called & F.col("errors").isNull()).alias("valid"), message.alias("message"))
 
 
-def reply_schema(calls: DataFrame) -> DataFrame:
-    return calls.sparkSession.createDataFrame(REPLY, SCHEMA)
+def reply_schema(spark: SparkSession) -> DataFrame:
+    """The schema rows of ``reply``, the function that ``calls_of`` reads plain conversations as calls of."""
+    return spark.sql(f"select * from {REPLY}")

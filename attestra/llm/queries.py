@@ -45,7 +45,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = _chat.calls_of(table(spark, sf_dir, "conversations"))
-    linked = _chat.link_tool_calls(calls, results, _chat.reply_schema(calls))
+    linked = _chat.link_tool_calls(calls, results, _chat.reply_schema(spark))
     return linked.withColumn("errors", F.array_join("errors", ";"))
 
 
