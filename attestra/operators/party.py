@@ -1,74 +1,94 @@
-"""Registered names and addresses, taken apart."""
+"""Registered names and addresses, taken apart by array functions.
 
-from __future__ import annotations
+A line is cut at its commas, each token is described (is it a street, a ZIP code, a state, a corporate form?), and the
+descriptions decide at which positions names end and the address stands. Names and address are then taken from there.
+"""
 
-import re
+from __future__ import annotations
 
-import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_type
-
-from ..functions.text import FORMS, RESPONSIBLE, STATES, py_fold, py_key
-
-_ARROW = pa.struct([("names", pa.list_(pa.string())), ("city", pa.string()), ("state", pa.string()), ("zip_code", pa.string()), ("state_forms", pa.list_(pa.string()))])
-# Words that end a street, the marker of a label's own name, and ZIP codes.
-STREET_WORDS = "road rd street st avenue ave boulevard blvd drive dr lane ln way highway hwy route rte court ct place pl parkway pkwy circle cir trail trl terrace ter plaza square sq"
-_STREET = re.compile(rf"^\s*(?:\d|p\.?\s*o\.?\s*box\b)|\b(?:{'|'.join(STREET_WORDS.split())})\.?\s*$", re.I)
-_OWN_NAME = re.compile(r"\(\s*used on label\s*\)", re.I)
-_ZIP = re.compile(r"\d{5}(?:-\d{4})?\Z")
-_EDGE = " \t\xa0�"
-_BY_STATE = {name: code for code, name in STATES.items()}
-_PREFIX = re.compile(RESPONSIBLE)
-
-
-def py_fold_company(s: str) -> str:
-    return " ".join(w for w in py_key(_PREFIX.sub("", s)).split() if w not in FORMS and w != "the")
-
-
-def state_of(token: str) -> str | None:
-    t = token.strip()
-    return t.upper() if len(t) == 2 and t.upper() in STATES else _BY_STATE.get(py_fold(t))
-
-
-def split_party(line: str) -> dict:
-    """Names to try (the label's own first), city, state and ZIP of a comma-separated registration line."""
-    parts = [p for p in (x.strip(_EDGE) for x in line.split(",")) if p]
-    own = [_OWN_NAME.sub("", p).strip(_EDGE) for p in parts if _OWN_NAME.search(p)]
-    parts = [p for p in parts if not _OWN_NAME.search(p)]
-    address: dict = {"city": None, "state": None, "zip_code": None}
-    at = next((i for i, p in enumerate(parts) if _STREET.search(p) and not _ZIP.match(p)), None)
-    if at is not None:
-        names, tail = parts[:at], parts[at + 1 :]
-        address["city"], address["state"] = (tail + [None, None])[:2]
-        rest = tail[2:]
-        if rest and _ZIP.match(rest[0]):
-            address["zip_code"] = rest.pop(0)
-        names = names + rest
-    elif len(parts) > 3 and _ZIP.match(parts[-1]) and state_of(parts[-2]):
-        names = parts[:-3]
-        address = dict(zip(("city", "state", "zip_code"), parts[-3:], strict=True))
-    elif len(parts) > 2 and state_of(parts[-1]):
-        names = parts[:-2]
-        address |= dict(zip(("city", "state"), parts[-2:], strict=True))
-    elif len(parts) == 2 and len(parts[-1]) == 2 and state_of(parts[-1]):
-        names, address["state"] = parts[:-1], parts[-1]
-    else:
-        names = parts
-    whole: list[str] = []
-    for n in names:  # a corporate form after a comma belongs to the name before it
-        if whole and (py_key(n) in FORMS or py_key(n) == "the"):
-            whole[-1] += ", " + n
-        else:
-            whole.append(n)
-    tried = {}
-    for n in own[-1:] + whole:
-        if n and (k := py_fold_company(n)):
-            tried.setdefault(k, n)
-    code = state_of(address["state"]) if address["state"] else None
-    forms = [code.lower(), STATES[code]] if code else [py_fold(address["state"])] if address["state"] else []
-    return {"names": list(tried.values()), **address, "state": code or address["state"], "state_forms": forms}
-
-
-@F.arrow_udf(from_arrow_type(_ARROW))
-def registered_party(v: pa.Array) -> pa.Array:
-    return pa.array([None if s is None else split_party(s) for s in v.to_pylist()], _ARROW)
+
+from ..functions.text import FORMS, RESPONSIBLE, STATES, fold_each, key, let
+
+# Words that end a street.
+STREET_WORDS = [
+    "road", "rd", "street", "st", "avenue", "ave", "boulevard", "blvd", "drive", "dr", "lane", "ln", "way", "highway", "hwy", "route", "rte",
+    "court", "ct", "place", "pl", "parkway", "pkwy", "circle", "cir", "trail", "trl", "terrace", "ter", "plaza", "square", "sq",
+]
+# How a street begins, the marker of a label's own name, ZIP codes, and what is trimmed from tokens.
+STREET = rf"(?i)^\s*(?:\d|p\.?\s*o\.?\s*box\b)|\b(?:{'|'.join(STREET_WORDS)})\.?\s*$"
+OWN_NAME = r"(?i)\(\s*used on label\s*\)"
+ZIP = r"^\d{5}(?:-\d{4})?$"
+EDGE = " \t �"
+
+_KIND = "struct<names:array<string>,city:string,state:string,zip_code:string,state_forms:array<string>>"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(EDGE))
+
+
+def _state(token: Column, folded: Column) -> Column:
+    by_name = F.create_map(*[F.lit(x) for code, name in STATES.items() for x in (name, code)])
+    return F.when((F.length(token) == 2) & F.upper(token).isin(list(STATES)), F.upper(token)).otherwise(F.try_element_at(by_name, folded))
+
+
+def _described(parts: Column) -> Column:
+    """Array of (t, f, code, zip, street, form, own, company) for the tokens of a line."""
+    bare = F.transform(parts, lambda t: _trimmed(F.regexp_replace(t, OWN_NAME, "")))
+    drop = F.array(*[F.lit(w) for w in [*FORMS, "the"]])
+    company = lambda f: F.array_join(F.filter(F.split(key(f, f), " "), lambda w: (w != "") & ~F.array_contains(drop, w)), " ")
+    names = fold_each(F.transform(bare, lambda t: F.regexp_replace(t, RESPONSIBLE, "")))
+    all_ = F.arrays_zip(parts.alias("whole"), bare.alias("t"), fold_each(bare).alias("f"), names.alias("n"))
+    return F.transform(all_, lambda x: F.struct(
+        x["t"].alias("t"), x["f"].alias("f"), _state(x["t"], x["f"]).alias("code"), x["t"].rlike(ZIP).alias("zip"), (x["t"].rlike(STREET) & ~x["t"].rlike(ZIP)).alias("street"),
+        F.array_contains(drop, key(x["f"], x["f"])).alias("form"), x["whole"].rlike(OWN_NAME).alias("own"), company(x["n"]).alias("company")))
+
+
+def _layout(parts: Column) -> Column:
+    """Positions (from 1, or null): where names end, of city, state and ZIP, and from where on more names follow."""
+    n = F.size(parts)
+    at = lambda i, what: F.coalesce(F.get(parts, i - 1)[what], F.lit(False))
+    is_state = lambda i: F.get(parts, i - 1)["code"].isNotNull()
+    none = F.lit(None).cast("int")
+    place = lambda end, city, state, zip_, more: F.struct(end.cast("int").alias("end"), city.alias("city"), state.alias("state"), zip_.alias("zip"), more.cast("int").alias("more"))
+    s = F.array_position(F.transform(parts, lambda x: x["street"]), F.lit(True)).cast("int")
+    zip_there = at(s + 3, "zip")
+    return F.when(s > 0, place(s - 1, s + 1, s + 2, F.when(zip_there, s + 3), s + F.when(zip_there, 4).otherwise(3))).when(
+        (n > 3) & at(n, "zip") & is_state(n - 1), place(n - 3, n - 2, n - 1, n, n + 1)).when(
+        (n > 2) & is_state(n), place(n - 2, n - 1, n, none, n + 1)).when(
+        (n == 2) & is_state(n) & (F.length(F.get(parts, n - 1)["t"]) == 2), place(n - 1, none, n, none, n + 1)).otherwise(place(n, none, none, none, n + 1))
+
+
+def _names(parts: Column, of: Column, own: Column) -> Column:
+    """Names to try: the label's own, then the others; a corporate form after a comma belongs to the name before it,
+    and of names that are one company the first counts."""
+    count = F.size(parts)
+    rest = F.concat(F.slice(parts, F.lit(1), F.greatest(of["end"], F.lit(0))), F.slice(parts, F.least(of["more"], count + 1), F.greatest(count - of["more"] + 1, F.lit(0))))
+    name = lambda n, company: F.array(F.struct(n.alias("n"), company.alias("company")))
+    none = F.array().cast("array<struct<n:string,company:string>>")
+
+    def put(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        return F.when((F.size(done) > 0) & x["form"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), name(F.concat(last["n"], F.lit(", "), x["t"]), last["company"]))).otherwise(F.concat(done, name(x["t"], x["company"])))
+
+    marked = F.transform(F.slice(own, F.greatest(F.size(own), F.lit(1)), F.lit(1)), lambda x: F.struct(x["t"].alias("n"), x["company"].alias("company")))
+    named = F.filter(F.concat(marked, F.aggregate(rest, none, put)), lambda x: (x["n"] != "") & (x["company"] != ""))
+    return let(named, lambda every: F.transform(F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: y["company"]), x["company"]) == i + 1), lambda x: x["n"]))
+
+
+def registered_party(line: Column | str) -> Column:
+    """Of a comma-separated registration line: names (the label's own first), city, state (its code where it is known),
+    zip_code and state_forms (code and name of the state, folded). Null for null."""
+    line = F.col(line) if isinstance(line, str) else line
+    tokens = _described(F.filter(F.transform(F.split(line, ","), _trimmed), lambda t: t != ""))
+    names = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
+
+    def whole(every: Column) -> Column:
+        own = F.filter(every, lambda x: x["own"])
+        return let(F.filter(every, lambda x: ~x["own"]), lambda parts: let(_layout(parts), lambda of: let(F.get(parts, of["state"] - 1), lambda state: F.struct(
+            _names(parts, of, own).alias("names"), F.get(parts, of["city"] - 1)["t"].alias("city"), F.coalesce(state["code"], state["t"]).alias("state"), F.get(parts, of["zip"] - 1)["t"].alias("zip_code"),
+            F.when(state["code"].isNotNull(), F.array(F.lower(state["code"]), F.element_at(names, state["code"]))).when(state["t"].isNotNull(), F.array(state["f"])).otherwise(F.array().cast("array<string>")).alias("state_forms")))))
+
+    return F.when(line.isNotNull(), let(tokens, whole)).cast(_KIND)

@@ -1,11 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import numbers as N
 from attestra.functions import text as T
 from attestra.functions.countries import country_named
-from attestra.functions.fuzzy import lcs, partial_ratio, ratio, score
-from attestra.operators.party import split_party
+from attestra.functions.fuzzy import lcs, partial_ratio, partial_ratios, ratio, ratios, score
+from attestra.operators.party import registered_party
 from attestra.operators.warning import STATEMENT, difference, slip, word_diff
 
 
@@ -61,6 +63,37 @@ def test_similarity():
     assert score("", "x") == 0 and score("old tom", "old tom aged 4 years") == 97
 
 
+def test_lanes_give_what_single_pairs_give():
+    rng = random.Random(7)
+    some = lambda: "".join(rng.choices("abcé ", k=rng.choice([0, 1, 2, 7, 20, 63, 64, 65, 80])))
+    a, b = [some() for _ in range(400)], [some() for _ in range(400)]
+
+    def table(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = [0, *_next(row, c, y)]
+        return row[-1]
+
+    def _next(row, c, y):
+        out, left = [], 0
+        for j, d in enumerate(y):
+            left = row[j] + 1 if c == d else max(left, row[j + 1])
+            out.append(left)
+        return out
+
+    def best(x, y):
+        x, y = sorted((x, y), key=len)
+        if not x:
+            return 0.0 if y else 100.0
+        sides = [(x, y), (y, x)] if len(x) == len(y) else [(x, y)]
+        cuts = [(s, t[max(i, 0) : i + len(s)]) for s, t in sides for i in range(1 - len(s), len(t))]
+        return max(200 * table(s, w) / (len(s) + len(w)) for s, w in cuts)
+
+    for x, y, whole, part in zip(a[:120], b, ratios(a[:120], b[:120]), partial_ratios(a[:120], b[:120])):
+        assert whole == pytest.approx(200 * table(x, y) / (len(x) + len(y)) if x or y else 100.0)
+        assert part == pytest.approx(best(x, y))
+
+
 def test_slip(spark):
     pairs = [("surgeon", "suregon", True), ("women", "woman", True), ("women", "men", False), ("abcd", "abcde", True), ("abcd", "badc", False), ("same", "same", True)]
     assert [slip(a, b) for a, b, _ in pairs] == [x for *_, x in pairs]
@@ -68,10 +101,15 @@ def test_slip(spark):
     assert [r["v"] for r in rows] == [x for *_, x in pairs]
 
 
-def test_party():
-    p = split_party("Trade Name, Legal Name, Inc., 2957 RANDOLPH ST, Costa Mesa, CA, 92626, BRAND (Used on label)")
-    assert p["names"] == ["BRAND", "Trade Name", "Legal Name, Inc."] and (p["city"], p["state"], p["zip_code"]) == ("Costa Mesa", "CA", "92626")
-    assert split_party("Bottled by Old Tom Distillery, Bardstown, Kentucky")["state_forms"] == ["ky", "kentucky"]
+def test_party(spark):
+    lines = ["Trade Name, Legal Name, Inc., 2957 RANDOLPH ST, Costa Mesa, CA, 92626, BRAND (Used on label)", "Bottled by Old Tom Distillery, Bardstown, Kentucky", "Château Élan, LLC, One Winery Road, Braselton, GA", "A Co., A Company, CA", "Name, Québec", "", None]
+    a, b, c, d, e, empty, none = each(spark, lines, registered_party)
+    assert a["names"] == ["BRAND", "Trade Name", "Legal Name, Inc."] and (a["city"], a["state"], a["zip_code"]) == ("Costa Mesa", "CA", "92626")
+    assert b["names"] == ["Bottled by Old Tom Distillery"] and (b["city"], b["state"], b["state_forms"]) == ("Bardstown", "KY", ["ky", "kentucky"])
+    assert c["names"] == ["Château Élan, LLC"] and (c["city"], c["state"], c["zip_code"]) == ("Braselton", "GA", None)
+    assert d["names"] == ["A Co."] and (d["city"], d["state"]) == ("A Company", "CA")
+    assert e["names"] == ["Name", "Québec"] and e["state"] is None and e["state_forms"] == []
+    assert empty["names"] == [] and none is None
 
 
 def test_differences():

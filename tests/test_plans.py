@@ -1,6 +1,8 @@
+import csv
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 
 from attestra import queries
@@ -47,6 +49,31 @@ def test_csv_files(spark, tmp_path):
     assert csv_intake.template().startswith("application_id,beverage_type")
 
 
+def test_csv_cells_of_any_length_and_odd_files(spark, tmp_path):
+    long = "x" * 400_000
+    (tmp_path / "long.csv").write_text(f"brand name,class type,beverage,brand,abv\nA,{long},wine,B,12%\n")
+    (tmp_path / "none.csv").write_bytes(b"\xef\xbb\xbf")
+    (tmp_path / "head.csv").write_text("Colour,Size\n")
+    (tmp_path / "many.csv").write_text("brand,class,type\n" + "b,c,wine\n\n" * 7)
+    rows, about = csv_intake.read_applications(spark, str(tmp_path), max_rows=4)
+    by_file = {r["file"].rsplit("/", 1)[1]: r for r in about.collect()}
+    assert by_file["none.csv"]["warnings"] == ["empty file"] and by_file["none.csv"]["columns"] == []
+    assert by_file["head.csv"]["warnings"] == ["no brand name column"] and (by_file["head.csv"]["columns"], by_file["head.csv"]["unmapped"]) == (["net_contents"], ["Colour"])
+    assert by_file["many.csv"]["warnings"] == ["only the first 4 rows were read"] and by_file["long.csv"]["warnings"] == []
+    got = [r for r in rows.collect() if r["file"].endswith("long.csv")]
+    assert len(got) == 1 and got[0]["brand_name"] == "A B" and got[0]["class_type"] == long and got[0]["errors"] == ["class_type: longer than 200"]
+    assert [r["row_number"] for r in sorted(rows.collect(), key=lambda r: r["row_number"]) if r["file"].endswith("many.csv")] == [2, 4, 6, 8]
+
+
+def test_csv_that_breaks_off_keeps_what_came_before(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_intake, "MOST_CHARACTERS", 1000)
+    try:
+        told = pd.concat(csv_intake._records(iter([pd.DataFrame({"path": ["f"], "content": [b"brand,class\na,b\n" + b"c," + b"x" * 2000]})])))
+    finally:
+        csv.field_size_limit(131_072)
+    assert told["number"].tolist()[:2] == [1, 2] and "field" in told["problem"].iloc[-1]
+
+
 def test_pairing_takes_each_file_once(spark):
     rows = spark.createDataFrame([(2, None, ["x/back.png"]), (3, None, ["back.png"]), (4, "AB", [])], "row_number long, application_id string, images array<string>")
     files = spark.createDataFrame([("top/x/back.png",), ("top/y/back.png",), ("ab_1.png",), ("abc.png",)], "path string")
