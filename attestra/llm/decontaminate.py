@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, unused, words
 
 WINDOW, SHINGLE = 13, 3
 
@@ -117,5 +117,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options: object)
     Rows are matched by id, null-safely, and text: other texts of an id, or without id, stay.
     """
     own, text = documents[str(options.get("doc_id", "doc_id"))], documents[str(options.get("text", "text"))]
-    bad = _found(documents, benchmark, **options).where("contaminated").select(F.col("id").alias("_bad_id"), F.col("h").alias("_bad_h")).distinct()
-    return documents.join(bad, own.eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_bad_h")), "left_anti")
+    bad_id, bad_h = unused(documents, "_bad_id"), unused(documents, "_bad_h")
+    bad = _found(documents, benchmark, **options).where("contaminated").select(F.col("id").alias(bad_id), F.col("h").alias(bad_h)).distinct()
+    return documents.join(bad, own.eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(bad_h)), "left_anti")

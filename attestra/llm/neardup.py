@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, release, stored
+from .common import discard, release, stored, unused
 from .graph import components, joined_components
 
 HALVES, ROWS = 14, 3
@@ -307,12 +307,13 @@ def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     found = _grouped(documents, doc_id, text, shingle, percent).where("node is not null")
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
-    pick = lambda rows, name: rows.select(F.col("id").alias(f"{name}_id"), F.col("h").alias(f"{name}_h"))
-    at = lambda name: documents[doc_id].eqNullSafe(F.col(f"{name}_id")) & (F.xxhash64(documents[text]) == F.col(f"{name}_h"))
-    left = documents.join(pick(found.where(~first), "_drop").distinct(), at("_drop"), "left_anti")
+    own, h = unused(documents, "_id"), unused(documents, "_h")
+    pick = lambda rows: rows.select(F.col("id").alias(own), F.col("h").alias(h))
+    at = documents[doc_id].eqNullSafe(F.col(own)) & (F.xxhash64(documents[text]) == F.col(h))
+    left = documents.join(pick(found.where(~first)).distinct(), at, "left_anti")
     again = found.where(first).groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1")
     if again.isEmpty():
         return left
-    again = pick(again, "_again")
-    twice = left.join(again, at("_again"), "left_semi").withColumn("_text_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
-    return left.join(again, at("_again"), "left_anti").unionByName(twice)
+    again = pick(again)
+    twice = left.join(again, at, "left_semi").withColumn(h, F.xxhash64(text)).dropDuplicates([doc_id, h]).drop(h)
+    return left.join(again, at, "left_anti").unionByName(twice)
