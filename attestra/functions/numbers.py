@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from .text import fold, fold_digits, let
 
-_NUMBER = r"(?<!\d)(\d{1,3}(?:[.,]\d{1,3})?)"
+_NUMBER = r"(?<![0-9])([0-9]{1,3}(?:[.,][0-9]{1,3})?)"
 # The ways in which a percentage is stated, in order of preference.
 PERCENT = (
-    rf"(?i){_NUMBER}\s*%\s*(?:alc\.?\s*/\s*vol|alc\.?\s*by\s*vol|alc\.?\s*vol|alcohol\s*by\s*vol|abv|vol)",
-    rf"(?i)(?:alc(?:ohol)?\.?|abv)[\s.:]*{_NUMBER}\s*%",
-    rf"(?i)(?:alc(?:ohol)?\.?)[\s.:]*{_NUMBER}\s*(?:%|percent)?\s*(?:alc\.?\s*)?by\s*vol",
-    rf"(?i){_NUMBER}\s*%\s*(?:alc\.?\s*)?by\s*vol",
+    rf"(?iU){_NUMBER}\s*%\s*(?:alc\.?\s*/\s*vol|alc\.?\s*by\s*vol|alc\.?\s*vol|alcohol\s*by\s*vol|abv|vol)",
+    rf"(?iU)(?:alc(?:ohol)?\.?|abv)[\s.:]*{_NUMBER}\s*%",
+    rf"(?iU)(?:alc(?:ohol)?\.?)[\s.:]*{_NUMBER}\s*(?:%|percent)?\s*(?:alc\.?\s*)?by\s*vol",
+    rf"(?iU){_NUMBER}\s*%\s*(?:alc\.?\s*)?by\s*vol",
 )
-PROOF = r"(?i)(?<!\d)(\d{2,3}(?:[.,]\d)?)\s*(?:°\s*)?proof"
-BARE = rf"^\s*{_NUMBER}\s*%?\s*$"
+PROOF = r"(?iU)(?<!\d)(\d{2,3}(?:[.,]\d)?)\s*(?:°\s*)?proof"
+BARE = rf"(?U)^\s*{_NUMBER}\s*%?\s*$"
 # Units and their millilitres.
 UNITS = {"ml": 1.0, "milliliter": 1.0, "millilitre": 1.0, "cl": 10.0, "centiliter": 10.0, "centilitre": 10.0, "l": 1000.0, "liter": 1000.0, "litre": 1000.0, "ltr": 1000.0, "floz": 29.5735295625, "oz": 29.5735295625, "ounce": 29.5735295625, "fluidounce": 29.5735295625, "pt": 473.176473, "pint": 473.176473, "qt": 946.352946, "quart": 946.352946, "gal": 3785.411784, "gallon": 3785.411784}
-VOLUME = r"(?i)(?<!\d)(\d{1,4}(?:[.,]\d{1,3})?)\s*(fl\.?\s*oz\.?|fluid\s*ounces?|ounces?|oz\.?|milliliters?|millilitres?|ml|centiliters?|centilitres?|cl|liters?|litres?|ltr|l|pints?|pt\.?|quarts?|qt\.?|gallons?|gal\.?)(?![a-z])"
+VOLUME = r"(?iU)(?<!\d)(\d{1,4}(?:[.,]\d{1,3})?)\s*(fl\.?\s*oz\.?|fluid\s*ounces?|ounces?|oz\.?|milliliters?|millilitres?|ml|centiliters?|centilitres?|cl|liters?|litres?|ltr|l|pints?|pt\.?|quarts?|qt\.?|gallons?|gal\.?)(?![a-z])"
 # Authorised sizes in millilitres (27 CFR 5.203 and 4.72).
 FILLS = {
     "spirits": (3750, 3000, 2000, 1800, 1750, 1500, 1000, 945, 900, 750, 720, 710, 700, 570, 500, 475, 375, 355, 350, 331, 250, 200, 187, 100, 50),
@@ -72,9 +72,11 @@ def parse_volumes(text: Column) -> Column:
         u = F.regexp_replace(F.lower(x["unit"]), "[^a-z]", "")
         long = F.regexp_extract(u, "^(milliliter|millilitre|centiliter|centilitre|liter|litre|gallon|quart|pint|ounce)", 1)
         unit = F.when(u.rlike("^fl.*oz$"), F.lit("floz")).when(u.startswith("fluidounce"), F.lit("fluidounce")).when(long != "", long).otherwise(u)
-        return F.struct(F.round(to_double(x["number"]) * F.try_element_at(table, unit), 2).alias("ml"), F.trim(x["raw"]).alias("raw"), unit.alias("unit"))
+        return F.struct((to_double(x["number"]) * F.try_element_at(table, unit)).alias("ml"), F.trim(x["raw"]).alias("raw"), unit.alias("unit"))
 
-    return F.filter(F.transform(each, one), lambda v: (v["ml"] > 0) & (v["ml"] <= 60_000))
+    # held against the limits before it is rounded, half to even
+    some = F.filter(F.transform(each, one), lambda v: (v["ml"] > 0) & (v["ml"] <= 60_000))
+    return F.transform(some, lambda v: F.struct(F.bround(v["ml"], 2).alias("ml"), v["raw"].alias("raw"), v["unit"].alias("unit")))
 
 
 def volumes_match(wanted: Column, read: Column, tolerance: float = 0.01) -> Column:

@@ -13,9 +13,9 @@ MOST_BYTES = 10 * 1024 * 1024
 
 
 def accepted_files(files: DataFrame) -> DataFrame:
-    """Images of (path, size, type) with something in them and at most 10 MB, each path once."""
+    """Images of (path, size, type) with something in them and at most 10 MB, each path once, whatever its case."""
     image = F.when(F.coalesce("type", F.lit("")) != "", F.col("type").rlike(r"(?i)^image/(png|jpe?g|gif|webp|tiff?|bmp)")).otherwise(F.col("path").rlike(r"(?i)\.(png|jpe?g|gif|webp|tiff?|bmp)$"))
-    return files.where(image & (F.col("size") > 0) & (F.col("size") <= MOST_BYTES)).groupBy(F.lower("path").alias("path")).agg(F.min("size").alias("size"))
+    return files.where(image & (F.col("size") > 0) & (F.col("size") <= MOST_BYTES)).groupBy(F.lower("path").alias("_key")).agg(F.min(F.struct("path", "size")).alias("f")).select("f.path", "f.size")
 
 
 def duplicate_names(files: DataFrame) -> DataFrame:

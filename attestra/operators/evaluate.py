@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import text_partial_ratio
+from ..functions.text import key
+
 
 def latency(rows: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:
     """Cases, interpolated median and nearest-rank 95th percentile a group.
@@ -49,8 +52,6 @@ def by_variant(cases: DataFrame) -> DataFrame:
     return latency(cases, ["variant"]).join(verdicts, "variant").select("variant", "cases", "verdicts", F.col("p50").alias("median_ms"))
 
 
-
-
 def detected(cases: DataFrame) -> DataFrame:
     """Adds ``assessed`` and ``detected`` to cases (variant, statuses map, warning struct)."""
     w = F.col("warning")
@@ -78,7 +79,64 @@ def load_figures(requests: DataFrame, images_each: int = 1) -> DataFrame:
     return span.select("*", one).join(latency(served.select("*", one), ["one"], "wall_ms"), "one", "left").select("n", "served", "refused", "wall_s", F.try_divide("served", "wall_s").alias("per_s"), (F.try_divide("served", "wall_s") * images_each).alias("images_per_s"), "p50", "p95")
 
 
-def quota_sample(rows: DataFrame, by: str, key: str, most: int, seed: str = "42") -> DataFrame:
-    """At most ``most`` rows a group, chosen by hash of seed and key, so a rerun takes the same."""
-    order = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string"))), key)
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+def quota_sample(rows: DataFrame, by: str, key_column: str, most: int, seed: str = "42", place: str | None = None) -> DataFrame:
+    """At most ``most`` rows a group, chosen by hash of seed and key, so a rerun takes the same; ``place`` names a
+    column for their rank."""
+    order = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col(key_column).cast("string"))), key_column)
+    rank = place or "_r"
+    out = rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= most)
+    return out if place else out.drop(rank)
+
+
+def paired_cases(images: DataFrame, degraded: list[str], problems: list[str]) -> DataFrame:
+    """From (app, side, variant, file) the cases to evaluate: app, tier, variant, front, back.
+
+    The clean sides make a case together; a degraded or problem image makes one with the clean image of its other
+    side, null if there is none. Other variants make none.
+    """
+    clean = images.where("variant = 'clean'").groupBy("app").agg(F.max(F.when(F.col("side") == "front", F.col("file"))).alias("clean_front"), F.max(F.when(F.col("side") == "back", F.col("file"))).alias("clean_back"))
+    own = clean.select("app", F.lit("artwork").alias("tier"), F.lit("clean").alias("variant"), F.col("clean_front").alias("front"), F.col("clean_back").alias("back"))
+    tier = F.when(F.col("variant").isin(degraded), "degraded").when(F.col("variant").isin(problems), "problem")
+    front = F.col("side") == "front"
+    odd = images.withColumn("tier", tier).where("tier is not null").join(clean, "app", "left")
+    return own.unionByName(odd.select("app", "tier", "variant", F.when(front, F.col("file")).otherwise(F.col("clean_front")).alias("front"), F.when(front, F.col("clean_back")).otherwise(F.col("file")).alias("back")))
+
+
+def type_weights(cases: DataFrame) -> DataFrame:
+    """Of the warnings located (present, reading, basis): how many headings are heavier, the same, unsure or not
+    measured, and why."""
+    n = lambda c, *v: F.count_if(F.col(c).isin(*v))
+    return cases.where("present").agg(
+        n("reading", "heavier").alias("heavier"), n("reading", "same").alias("same"), n("reading", "inconclusive", "boundary_uncertain").alias("unsure"), n("reading", "not_measured").alias("not_measured"),
+        n("basis", "too small").alias("too_small"), n("basis", "size differs").alias("size_differs"), n("basis", "no heading line").alias("no_heading"))
+
+
+def hit_rates(rows: DataFrame) -> DataFrame:
+    """From (field, wanted, text, least): a row a field with the share of texts that hold what is wanted, by partial
+    ratio of their keys, and the mean score. Each distinct pair is scored once."""
+    keyed = rows.select("field", "least", key(F.col("wanted")).alias("w"), key(F.col("text")).alias("t"))
+    scores = keyed.select("w", "t").distinct().withColumn("score", F.floor(text_partial_ratio("w", "t")))
+    met = keyed.join(scores, ["w", "t"])
+    return met.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("least")).alias("hits"), F.avg((F.col("score") >= F.col("least")).cast("int")).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+#: Each rate's own condition of a row counting, and of its being a hit, over metric rows (see ``rates``).
+RATES = {
+    "brand_match": ("brand is not null", "brand = 'match'"),
+    "class_match": ("class is not null", "class = 'match'"),
+    "applicant_match": ("applicant is not null", "applicant = 'match'"),
+    "origin_found": ("imported", "origin_found"),
+    "warning_located": ("true", "located"),
+    "warning_exact": ("located", "assessment = 'exact'"),
+    "alcohol_read": ("true", "alcohol is not null"),
+    "contents_read": ("true", "contents is not null"),
+}
+
+
+def rates(metrics: DataFrame, by: str = "beverage_type") -> DataFrame:
+    """Rates of real records for each type and over all (``of_all``), each over the rows that it is about: only
+    imports can name their origin, only a located warning can be exact. Null without any such row."""
+    of = {k: (F.expr(due), F.expr(f"({due}) and ({hit})")) for k, (due, hit) in RATES.items()}
+    counts = [c for k, (due, hit) in of.items() for c in (F.count_if(due).alias(f"{k}_n"), F.count_if(hit).alias(f"{k}_hits"))]
+    out = metrics.groupingSets([[F.col(by)], []], by).agg(F.grouping(by).cast("boolean").alias("of_all"), F.count("*").alias("records"), *counts)
+    return out.select(by, "of_all", "records", *[F.col(f"{k}_n") for k in of], *[F.try_divide(f"{k}_hits", f"{k}_n").alias(k) for k in of])

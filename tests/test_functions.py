@@ -8,6 +8,7 @@ from attestra.functions import text as T
 from attestra.functions.countries import country_named
 from attestra.functions.fuzzy import lcs, partial_ratio, partial_ratios, ratio, ratios, score
 from attestra.operators.party import registered_party
+from attestra.sources import csv_intake
 from attestra.operators.warning import STATEMENT, difference, slip, word_diff
 
 
@@ -26,6 +27,21 @@ def test_fold_digits(spark):
     assert each(spark, ["7S0 mL", "(9O PROOF)", "OLD", "l2 FL OZ", None], T.fold_digits) == ["750 mL", "(90 PROOF)", "OLD", "12 FL OZ", None]
 
 
+def test_lists_are_trimmed_whatever_the_place(spark):
+    assert each(spark, ["0a.png; 1b.png |c.png;;", None], csv_intake.image_list) == [["0a.png", "1b.png", "c.png"], []]
+    lines = spark.createDataFrame([(["0 women sho-", " uld not", "1-", "2"],)], "x array<string>")
+    assert lines.select(T.join_hyphenated(F.col("x"))).first()[0] == "0 women should not 1- 2"
+
+
+@pytest.mark.parametrize(("text", "ml"), [("NET 1.125 ml", [1.12]), ("750\u00a0mL", [750.0]), ("0.001 ml", [0.0]), ("61 L", [])])
+def test_volumes_round_half_to_even_and_know_all_blanks(spark, text, ml):
+    assert [v["ml"] for v in each(spark, [text], N.parse_volumes)[0]] == ml
+
+
+def test_alcohol_with_a_no_break_space(spark):
+    assert each(spark, ["45\u00a0% ABV"], N.parse_alcohol)[0]["percent"] == 45.0
+
+
 def test_companies(spark):
     assert each(spark, ["Brewed by GREEN CHEEK BEER CO.", "Green Cheek Beer Company", "Vinted & bottled by: X, LLC"], T.fold_company) == ["green cheek beer"] * 2 + ["x"]
     assert each(spark, ["A Co., Inc.", "Nothing"], T.company_forms) == [["Company", "Inc."], []]
