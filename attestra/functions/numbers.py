@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold, fold_digits, let
+from .text import constant, fold, fold_digits, let
 
 _NUMBER = r"(?<![0-9])([0-9]{1,3}(?:[.,][0-9]{1,3})?)"
 # The ways in which a percentage is stated, in order of preference.
@@ -66,7 +66,7 @@ def parse_volumes(text: Column) -> Column:
     """array<struct(ml, raw, unit)> of all volumes stated."""
     parts = lambda t: F.arrays_zip(*[F.regexp_extract_all(t, F.lit(VOLUME), i).alias(n) for i, n in enumerate(("raw", "number", "unit"))])
     each = let(fold_digits(text), parts)
-    table = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    table = constant(UNITS, "map<string,double>")
 
     def one(x: Column) -> Column:
         u = F.regexp_replace(F.lower(x["unit"]), "[^a-z]", "")

@@ -1,15 +1,20 @@
-"""Registered names and addresses, taken apart by array functions.
+"""Registered names and addresses, taken apart.
 
 A line is cut at its commas, each token is described (is it a street, a ZIP code, a state, a corporate form?), and the
 descriptions decide at which positions names end and the address stands. Names and address are then taken from there.
+This runs row by row in one Arrow function.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from ..functions.text import FORMS, RESPONSIBLE, STATES, fold_each, key, let
+from ..functions.text import FORMS, RESPONSIBLE, STATES, py_fold, py_key
 
 # Words that end a street.
 STREET_WORDS = [
@@ -17,78 +22,90 @@ STREET_WORDS = [
     "court", "ct", "place", "pl", "parkway", "pkwy", "circle", "cir", "trail", "trl", "terrace", "ter", "plaza", "square", "sq",
 ]
 # How a street begins, the marker of a label's own name, ZIP codes, and what is trimmed from tokens.
-STREET = rf"(?i)^\s*(?:\d|p\.?\s*o\.?\s*box\b)|\b(?:{'|'.join(STREET_WORDS)})\.?\s*$"
-OWN_NAME = r"(?i)\(\s*used on label\s*\)"
-ZIP = r"^\d{5}(?:-\d{4})?$"
+STREET = re.compile(rf"^\s*(?:\d|p\.?\s*o\.?\s*box\b)|\b(?:{'|'.join(STREET_WORDS)})\.?\s*$", re.I)
+OWN_NAME = re.compile(r"\(\s*used on label\s*\)", re.I)
+ZIP = re.compile(r"\d{5}(?:-\d{4})?")
 EDGE = " \t �"
 
-_KIND = "struct<names:array<string>,city:string,state:string,zip_code:string,state_forms:array<string>>"
-
-
-def _trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(EDGE))
-
-
-def _state(token: Column, folded: Column) -> Column:
-    by_name = F.create_map(*[F.lit(x) for code, name in STATES.items() for x in (name, code)])
-    return F.when((F.length(token) == 2) & F.upper(token).isin(list(STATES)), F.upper(token)).otherwise(F.try_element_at(by_name, folded))
-
-
-def _described(parts: Column) -> Column:
-    """Array of (t, f, code, zip, street, form, own, company) for the tokens of a line."""
-    bare = F.transform(parts, lambda t: _trimmed(F.regexp_replace(t, OWN_NAME, "")))
-    drop = F.array(*[F.lit(w) for w in [*FORMS, "the"]])
-    company = lambda f: F.array_join(F.filter(F.split(key(f, f), " "), lambda w: (w != "") & ~F.array_contains(drop, w)), " ")
-    names = fold_each(F.transform(bare, lambda t: F.regexp_replace(t, RESPONSIBLE, "")))
-    all_ = F.arrays_zip(parts.alias("whole"), bare.alias("t"), fold_each(bare).alias("f"), names.alias("n"))
-    return F.transform(all_, lambda x: F.struct(
-        x["t"].alias("t"), x["f"].alias("f"), _state(x["t"], x["f"]).alias("code"), x["t"].rlike(ZIP).alias("zip"), (x["t"].rlike(STREET) & ~x["t"].rlike(ZIP)).alias("street"),
-        F.array_contains(drop, key(x["f"], x["f"])).alias("form"), x["whole"].rlike(OWN_NAME).alias("own"), company(x["n"]).alias("company")))
-
-
-def _layout(parts: Column) -> Column:
-    """Positions (from 1, or null): where names end, of city, state and ZIP, and from where on more names follow."""
-    n = F.size(parts)
-    at = lambda i, what: F.coalesce(F.get(parts, i - 1)[what], F.lit(False))
-    is_state = lambda i: F.get(parts, i - 1)["code"].isNotNull()
-    none = F.lit(None).cast("int")
-    place = lambda end, city, state, zip_, more: F.struct(end.cast("int").alias("end"), city.alias("city"), state.alias("state"), zip_.alias("zip"), more.cast("int").alias("more"))
-    s = F.array_position(F.transform(parts, lambda x: x["street"]), F.lit(True)).cast("int")
-    zip_there = at(s + 3, "zip")
-    return F.when(s > 0, place(s - 1, s + 1, s + 2, F.when(zip_there, s + 3), s + F.when(zip_there, 4).otherwise(3))).when(
-        (n > 3) & at(n, "zip") & is_state(n - 1), place(n - 3, n - 2, n - 1, n, n + 1)).when(
-        (n > 2) & is_state(n), place(n - 2, n - 1, n, none, n + 1)).when(
-        (n == 2) & is_state(n) & (F.length(F.get(parts, n - 1)["t"]) == 2), place(n - 1, none, n, none, n + 1)).otherwise(place(n, none, none, none, n + 1))
-
-
-def _names(parts: Column, of: Column, own: Column) -> Column:
+_CODES = {name: code for code, name in STATES.items()}
+_RESPONSIBLE = re.compile(RESPONSIBLE)
+_PARTY = pa.struct([("names", pa.list_(pa.string())), ("city", pa.string()), ("state", pa.string()), ("zip_code", pa.string()), ("state_forms", pa.list_(pa.string()))])
+
+
+class Token(NamedTuple):
+    text: str
+    own: bool  # marked as the label's own name
+    zip: bool
+    street: bool
+    state: str | None  # its code
+    form: bool  # a corporate form
+    company: str  # what is left of a company's name when compared
+
+
+def _token(part: str) -> Token:
+    text = OWN_NAME.sub("", part).strip(EDGE)
+    is_zip = ZIP.fullmatch(text) is not None
+    code = text.upper() if len(text) == 2 and text.upper() in STATES else _CODES.get(py_fold(text))
+    left = [w for w in py_key(_RESPONSIBLE.sub("", text)).split() if w not in FORMS and w != "the"]
+    return Token(text, OWN_NAME.search(part) is not None, is_zip, not is_zip and STREET.search(text) is not None, code, py_key(text) in {*FORMS, "the"}, " ".join(left))
+
+
+class Layout(NamedTuple):
+    """Positions in a line's tokens: where names end, of city, state and ZIP, and from where on more names follow."""
+
+    end: int
+    city: int | None
+    state: int | None
+    zip: int | None
+    more: int
+
+
+def _layout(tokens: list[Token]) -> Layout:
+    n, last = len(tokens), tokens[-1] if tokens else None
+    for s, token in enumerate(tokens):
+        if token.street:
+            zip_there = s + 3 < n and tokens[s + 3].zip
+            return Layout(s, s + 1, s + 2, s + 3 if zip_there else None, s + 3 + zip_there)
+    closing = {  # how an address without a street ends, by how many tokens it takes up
+        3: n > 3 and last.zip and tokens[-2].state,
+        2: n > 2 and last.state,
+        1: n == 2 and last.state and len(last.text) == 2,
+    }
+    size = next((k for k, fits in closing.items() if fits), 0)
+    at = [None] * (3 - size) + list(range(n - size, n))
+    city, state, zip_ = {3: at, 2: [*at[1:], None], 1: [None, at[2], None], 0: [None] * 3}[size]
+    return Layout(n - size, city, state, zip_, n)
+
+
+def _names(own: list[Token], others: list[Token]) -> list[str]:
     """Names to try: the label's own, then the others; a corporate form after a comma belongs to the name before it,
     and of names that are one company the first counts."""
-    count = F.size(parts)
-    rest = F.concat(F.slice(parts, F.lit(1), F.greatest(of["end"], F.lit(0))), F.slice(parts, F.least(of["more"], count + 1), F.greatest(count - of["more"] + 1, F.lit(0))))
-    name = lambda n, company: F.array(F.struct(n.alias("n"), company.alias("company")))
-    none = F.array().cast("array<struct<n:string,company:string>>")
-
-    def put(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        return F.when((F.size(done) > 0) & x["form"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), name(F.concat(last["n"], F.lit(", "), x["t"]), last["company"]))).otherwise(F.concat(done, name(x["t"], x["company"])))
-
-    marked = F.transform(F.slice(own, F.greatest(F.size(own), F.lit(1)), F.lit(1)), lambda x: F.struct(x["t"].alias("n"), x["company"].alias("company")))
-    named = F.filter(F.concat(marked, F.aggregate(rest, none, put)), lambda x: (x["n"] != "") & (x["company"] != ""))
-    return let(named, lambda every: F.transform(F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: y["company"]), x["company"]) == i + 1), lambda x: x["n"]))
-
-
-def registered_party(line: Column | str) -> Column:
+    groups: list[list[Token]] = []
+    for token in others:
+        if token.form and groups:
+            groups[-1].append(token)
+        else:
+            groups.append([token])
+    first: dict[str, str] = {}
+    for group in [*([t] for t in own[-1:]), *groups]:
+        if group[0].company:
+            first.setdefault(group[0].company, ", ".join(t.text for t in group))
+    return list(first.values())
+
+
+def party(line: str) -> dict:
+    every = [_token(p) for p in (x.strip(EDGE) for x in line.split(",")) if p]
+    tokens = [t for t in every if not t.own]
+    of = _layout(tokens)
+    city, state, zip_ = (tokens[k] if k is not None and k < len(tokens) else None for k in (of.city, of.state, of.zip))
+    forms = [] if state is None else [state.state.lower(), STATES[state.state]] if state.state else [py_fold(state.text)]
+    return {
+        "names": _names([t for t in every if t.own], tokens[: of.end] + tokens[of.more :]), "city": city and city.text, "state": state and (state.state or state.text),
+        "zip_code": zip_ and zip_.text, "state_forms": forms}
+
+
+@F.arrow_udf(from_arrow_type(_PARTY))
+def registered_party(lines: pa.Array) -> pa.Array:
     """Of a comma-separated registration line: names (the label's own first), city, state (its code where it is known),
     zip_code and state_forms (code and name of the state, folded). Null for null."""
-    line = F.col(line) if isinstance(line, str) else line
-    tokens = _described(F.filter(F.transform(F.split(line, ","), _trimmed), lambda t: t != ""))
-    names = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
-
-    def whole(every: Column) -> Column:
-        own = F.filter(every, lambda x: x["own"])
-        return let(F.filter(every, lambda x: ~x["own"]), lambda parts: let(_layout(parts), lambda of: let(F.get(parts, of["state"] - 1), lambda state: F.struct(
-            _names(parts, of, own).alias("names"), F.get(parts, of["city"] - 1)["t"].alias("city"), F.coalesce(state["code"], state["t"]).alias("state"), F.get(parts, of["zip"] - 1)["t"].alias("zip_code"),
-            F.when(state["code"].isNotNull(), F.array(F.lower(state["code"]), F.element_at(names, state["code"]))).when(state["t"].isNotNull(), F.array(state["f"])).otherwise(F.array().cast("array<string>")).alias("state_forms")))))
-
-    return F.when(line.isNotNull(), let(tokens, whole)).cast(_KIND)
+    return pa.array([None if x is None else party(x) for x in lines.to_pylist()], _PARTY)
