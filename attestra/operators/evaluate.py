@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +12,35 @@ from ..functions.fuzzy import text_partial_ratio
 from ..functions.text import key
 
 
+#: Bins a doubling of the value.
+FINE = 4096
+
+
+def _bin(v: Column) -> Column:
+    """A number that never falls as the value rises, the same for values within 1/FINE of a doubling."""
+    size = F.floor(F.log2(F.abs(v)) * FINE) + 1100 * FINE
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
 def latency(rows: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:
-    """Cases, interpolated median and nearest-rank 95th percentile a group.
+    """Cases, interpolated median and nearest-rank 95th percentile a group; rows without a time do not count.
 
-    Ranks come from a count a distinct value, so a group with many rows is pre-aggregated before it is ordered.
+    Distinct values are counted before anything is ordered. Counts of bins, whose number does not grow with the rows,
+    say which bins hold the ranks asked for; only the values of those are ordered, so no group is sorted in one task.
     """
-    per = rows.where(F.col(ms).isNotNull()).groupBy(*by, F.col(ms).alias("v")).agg(F.count("*").alias("c"))
+    v = F.col(ms).cast("double")
+    per = rows.where(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count("*").alias("c")).withColumn("bin", _bin(F.col("v")))
     group = Window.partitionBy(*by)
-    at = per.withColumn("n", F.sum("c").over(group)).withColumn("upto", F.sum("c").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    rank = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
-    half = F.col("n") / 2
-    low, high = F.when(F.col("n") % 2 == 0, half).otherwise(F.floor(half) + 1), F.floor(half) + 1
-    return at.groupBy(*by).agg(F.max("n").alias("cases"), ((rank(low) + rank(high)) / 2).alias("p50"), rank(F.ceil(0.95 * F.col("n"))).alias("p95"), rank(F.least(F.col("n"), F.floor(0.95 * F.col("n")) + 1)).alias("p95_upper"))
+    bins = per.groupBy(*by, "bin").agg(F.sum("c").alias("b")).withColumn("n", F.sum("b").over(group)).withColumn("below", F.sum("b").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b"))
+    half = F.floor(F.col("n") / 2)
+    ranks = {"low": F.when(F.col("n") % 2 == 0, half).otherwise(half + 1), "high": half + 1, "p95": F.ceil(0.95 * F.col("n")), "p95_upper": F.least(F.col("n"), F.floor(0.95 * F.col("n")) + 1)}
+    asked = reduce(or_, [(k > F.col("below")) & (k <= F.col("below") + F.col("b")) for k in ranks.values()])
+    held = bins.where(asked).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bin").alias("_bin"), "n", "below")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("bin") == F.col("_bin")]
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    at = per.join(held, same).withColumn("upto", upto)
+    found = at.groupBy(*by).agg(F.max("n").alias("cases"), *[F.min(F.when(F.col("upto") >= k, F.col("v"))).alias(f"_{name}") for name, k in ranks.items()])
+    return found.select(*by, "cases", ((F.col("_low") + F.col("_high")) / 2).alias("p50"), F.col("_p95").alias("p95"), F.col("_p95_upper").alias("p95_upper"))
 
 
 def field_rates(checks: DataFrame, by: str) -> DataFrame:
@@ -72,9 +92,9 @@ def tally(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def load_figures(requests: DataFrame, images_each: int = 1) -> DataFrame:
     """Of requests (status, wall_ms, refused): throughput over the run's span (at_ms to at_ms + wall_ms), percentiles
-    of the served ones, codes and refusals."""
+    of the served ones, codes and refusals. A request without a time counts and adds nothing to the times."""
     served = requests.where("status = 200")
-    span = requests.agg(((F.max(F.col("at_ms") + F.col("wall_ms")) - F.min("at_ms")) / 1000).alias("wall_s"), F.count("*").alias("n"), F.sum("refused").alias("refused"), F.count_if(F.col("status") == 200).alias("served"))
+    span = requests.agg(((F.max(F.col("at_ms") + F.coalesce("wall_ms", F.lit(0))) - F.min("at_ms")) / 1000).alias("wall_s"), F.count("*").alias("n"), F.sum("refused").alias("refused"), F.count_if(F.col("status") == 200).alias("served"))
     one = F.lit(1).alias("one")
     return span.select("*", one).join(latency(served.select("*", one), ["one"], "wall_ms"), "one", "left").select("n", "served", "refused", "wall_s", F.try_divide("served", "wall_s").alias("per_s"), (F.try_divide("served", "wall_s") * images_each).alias("images_per_s"), "p50", "p95")
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import numbers as N
 from .functions import text as T
 from .functions.countries import country_named
 from .operators import batch as B
@@ -43,33 +42,6 @@ def text_forms(spark, sf_dir):
     return own.select("doc_id", F.md5("f").alias("folded"), F.md5(T.key(F.col("f"), F.col("f"))).alias("keyed"))
 
 
-_Q = "CAST(l_quantity AS INT)"
-
-
-@query(f"""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 4 THEN NULL ELSE CAST(q AS DOUBLE) END AS percent, CAST(CASE WHEN l_linenumber % 5 IN (0, 2) AND q >= 5 THEN 2 * q END AS DOUBLE) AS proof, CASE l_linenumber % 5 WHEN 4 THEN NULL ELSE l_linenumber % 5 = 2 END AS derived
-FROM (SELECT *, {_Q} AS q FROM lineitem) WHERE NOT (l_linenumber % 5 = 2 AND q < 5)""")
-def alcohol_statements(spark, sf_dir):
-    q = F.col("l_quantity").cast("int")
-    n, two = q.cast("string"), (2 * q).cast("string")
-    kind = F.col("l_linenumber") % 5
-    text = F.when(kind == 0, F.concat(n, F.lit("% Alc./Vol. ("), two, F.lit(" Proof)"))).when(kind == 1, F.concat(F.lit("ALC. "), n, F.lit("% BY VOL"))).when(kind == 2, F.concat(two, F.lit(" PROOF"))).when(kind == 3, F.concat(F.lit("Alcohol "), n, F.lit(",0 percent by volume"))).otherwise("AGED FOUR YEARS")
-    rows = _t(spark, sf_dir, "lineitem").where(~((kind == 2) & (q < 5)))
-    return rows.select("l_orderkey", "l_linenumber", N.parse_alcohol(text).alias("a")).select("l_orderkey", "l_linenumber", "a.percent", "a.proof", "a.derived")
-
-
-@query("""SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN [p_size * 10.0] WHEN 1 THEN [round(CAST(p_size AS DOUBLE) * 29.5735295625, 2), CAST(p_size * 30 AS DOUBLE)] ELSE [] END AS DOUBLE[]) AS ml,
-CASE p_partkey % 4 WHEN 0 THEN len(list_filter([50, 100, 200, 250, 350, 500, 570, 700, 720, 750, 900, 331, 355, 375, 475, 710, 945, 187], lambda s: abs(p_size * 10 - s) <= greatest(0.005 * s, 0.5))) > 0 END AS fills
-FROM (SELECT p_partkey, p_size FROM part) WHERE p_partkey % 4 <> 3 AND p_size < 45""")
-def volume_statements(spark, sf_dir):
-    n = F.col("p_size").cast("string")
-    kind = F.col("p_partkey") % 4
-    # 1,010 litres is a thousand and ten of them, which no label states
-    text = F.when(kind == 0, F.concat(n, F.lit("0 mL"))).when(kind == 1, F.concat(n, F.lit(" FL. OZ. ("), (F.col("p_size") * 30).cast("string"), F.lit("ml)"))).otherwise(F.concat(F.lit("CONTENTS 1,"), F.lpad((F.col("p_size") * 10).cast("string"), 3, "0"), F.lit(" Litre")))
-    rows = _t(spark, sf_dir, "part").where((kind != 3) & (F.col("p_size") < 45))
-    v = N.parse_volumes(text)
-    return rows.select("p_partkey", F.transform(v, lambda x: x["ml"]).alias("ml"), F.when(kind == 0, N.is_standard_fill(F.lit("spirits"), F.get(v, F.lit(0))["ml"])).alias("fills"))
-
-
 @query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Italy' WHEN 1 THEN 'United States' WHEN 2 THEN 'Papua New Guinea' WHEN 3 THEN 'United Kingdom' END AS country, CASE n_nationkey % 5 WHEN 0 THEN 'Italy' WHEN 2 THEN 'Papua New Guinea' WHEN 3 THEN 'United Kingdom' END AS strict FROM nation""")
 def countries(spark, sf_dir):
     texts = F.array(*[F.lit(x) for x in ("Product of Italia", "Bottled in Napa, CA 94558", "made in PAPUA NEW GUINEA", "Scotch whisky", "Estate grown")])
@@ -115,19 +87,6 @@ def label_extracts(spark, sf_dir):
     return extract(fixtures.label_lines(spark, sf_dir)).select("item_id", "alcohol_percent", "net_contents_ml", "warning_present", "largest_text")
 
 
-@query("""SELECT l_orderkey AS item_id, l_linenumber AS line_seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 10, l_quantity, l_linenumber) AS ro_pos
-FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)""")
-def lines_in_reading_order(spark, sf_dir):
-    # lines on a grid of rows (supplier) and columns (quantity), far enough apart that the order is plain
-    rows = _t(spark, sf_dir, "lineitem")
-    once = rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q")).where("n = 1")
-    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    x, y = F.col("q") * 1000 + F.col("l_linenumber") * 40, (F.col("s") % 10) * 100
-    box = F.array(point(x, y), point(x + 30, y), point(x + 30, y + 20), point(x, y + 20))
-    lines = once.select(F.col("l_orderkey").alias("item_id"), F.lit(0).alias("image_index"), F.col("l_linenumber").alias("line_seq"), F.lit("x").alias("text"), box.alias("box"))
-    return reading_order(lines).select("item_id", "line_seq", F.col("ro_pos").cast("long").alias("ro_pos"))
-
-
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'spirits' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'wine' ELSE 'malt' END END AS beverage_type, p_partkey % 4 = 0 AS imported, len(CASE WHEN p_partkey % 2 = 0 THEN ['a', 'b'] ELSE [] END) AS images,
 CASE WHEN p_partkey % 3 = 2 THEN 'beverage_type: missing or not recognized' WHEN p_partkey % 10 = 0 THEN 'brand_name: required' ELSE '' END AS errors FROM part""")
 def csv_rows(spark, sf_dir):
@@ -205,12 +164,12 @@ def assessment_histogram(spark, sf_dir):
     return E.histogram(_t(spark, sf_dir, "events"), "event_type")
 
 
-@query("""WITH r AS (SELECT CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, value AS wall_ms, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS refused, epoch_ms(ts) AS at_ms FROM events WHERE value IS NOT NULL)
-SELECT count(*) AS n, count(*) FILTER (WHERE status = 200) AS served, CAST(sum(refused) AS BIGINT) AS refused, (max(at_ms + wall_ms) - min(at_ms)) / 1000 AS wall_s, count(*) FILTER (WHERE status = 200) / ((max(at_ms + wall_ms) - min(at_ms)) / 1000) AS per_s, 2 * count(*) FILTER (WHERE status = 200) / ((max(at_ms + wall_ms) - min(at_ms)) / 1000) AS images_per_s,
+@query("""WITH r AS (SELECT CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, value AS wall_ms, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS refused, epoch_ms(ts) AS at_ms FROM events)
+SELECT count(*) AS n, count(*) FILTER (WHERE status = 200) AS served, CAST(sum(refused) AS BIGINT) AS refused, (max(at_ms + coalesce(wall_ms, 0)) - min(at_ms)) / 1000 AS wall_s, count(*) FILTER (WHERE status = 200) / ((max(at_ms + coalesce(wall_ms, 0)) - min(at_ms)) / 1000) AS per_s, 2 * count(*) FILTER (WHERE status = 200) / ((max(at_ms + coalesce(wall_ms, 0)) - min(at_ms)) / 1000) AS images_per_s,
 median(wall_ms) FILTER (WHERE status = 200) AS p50, quantile_disc(wall_ms, 0.95) FILTER (WHERE status = 200) AS p95 FROM r""")
 def load_test_figures(spark, sf_dir):
     error = F.col("event_type") == "error"
-    rows = _t(spark, sf_dir, "events").where("value is not null").select(F.when(error, 503).otherwise(200).alias("status"), F.col("value").alias("wall_ms"), error.cast("int").alias("refused"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    rows = _t(spark, sf_dir, "events").select(F.when(error, 503).otherwise(200).alias("status"), F.col("value").alias("wall_ms"), error.cast("int").alias("refused"), F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at_ms"))
     return E.load_figures(rows, 2)
 
 
@@ -235,11 +194,6 @@ def page_text_lines(spark, sf_dir):
     return own.select("page_id", F.size("l").cast("long").alias("lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)MALT BEVERAGE|\bBEER\b|\bALE\b|\bSTOUT\b|\bLAGER\b|\bPORTER\b') THEN 'malt' WHEN regexp_matches(text, '(?i)WHISK|VODKA|\bGIN\b|\bRUM\b|TEQUILA|MEZCAL|AGAVE|BRANDY|LIQUEUR|COCKTAIL|SPIRIT|PROOF|SPECIALT|CORDIAL|ABSINTHE|SCHNAPPS|PISCO|GRAPPA|BITTERS|AQUAVIT|SOJU|BAIJIU|CACHACA') THEN 'spirits' WHEN regexp_matches(text, '(?i)\bWINE\b|CIDER|\bMEAD\b|SAKE|VERMOUTH|CHAMPAGNE|PERRY|SANGRIA') THEN 'wine' ELSE 'spirits' END AS kind FROM documents WHERE lang = 'en'""")
-def registry_classes(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", registry.registry_class(F.col("text")).alias("kind"))
-
-
 @query("""SELECT l_orderkey AS item_id, l_linenumber % 2 AS image_index, count(*) AS line_count, avg(CAST((CAST(l_quantity AS INT) % 8) / 8.0 AS DOUBLE)) AS mean_confidence, sum(CAST(CASE WHEN (CAST(l_quantity AS INT) % 8) / 8.0 >= 0.5 THEN (CAST(l_quantity AS INT) % 8) / 8.0 ELSE 0 END AS DOUBLE)) AS read_score, avg((CAST(l_quantity AS INT) % 8) / 8.0) >= 0.6 AS readable, avg((CAST(l_quantity AS INT) % 8) / 8.0) < 0.8 OR count(*) < 3 AS retry FROM lineitem GROUP BY ALL""")
 def image_read_quality(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), (F.col("l_linenumber") % 2).alias("image_index"), F.lit("x").alias("text"), ((F.col("l_quantity").cast("int") % 8) / 8.0).alias("confidence"))
