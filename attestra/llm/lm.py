@@ -6,9 +6,11 @@ each scaled position by position (log-bilinear), with an output embedding and a
 smoothed share of the group's count. Probabilities are normalised exactly: a batched matrix product gives the scores
 of all classes for all distinct contexts.
 
-Training sees every training document. Each partition runs stochastic gradient steps on its own tokens from a common
-start, against noise drawn from the class frequencies, and the partitions' parameters are averaged by tokens (one
-round by default). Only parameters and class counts come to the driver, whose size is fixed by CLASSES and WIDTH.
+Training sees every training document. Documents are dealt to shards of about SHARD tokens by a hash of id and text and
+ordered by it, so that neither files nor partitions decide what is learnt. Each shard runs stochastic gradient steps on
+its own tokens from a common start, against noise drawn from the class frequencies, and the shards' parameters are
+averaged by tokens (one round by default). Only parameters and class counts come to the driver, whose size is fixed by
+CLASSES and WIDTH.
 
 Counts are exact over the whole open vocabulary. The most frequent tokens (at most ``FREQUENT``, a documented bound; found by a histogram of the counts) are
 broadcast with their counts; every other token of a text is joined to the counts by a shuffle. Frequent tokens never
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import cut
 from .langid import held_out
 
-CONTEXT, WIDTH, GROUPS, CLASSES = 2, 16, 40, 128
+CONTEXT, WIDTH, GROUPS, CLASSES = 2, 16, 40, 256
 FREQUENT, NOISE, BATCH, RATE, ROUNDS = 150_000, 32, 4096, 0.05, 1
 FOLDS, HELD = 7, 2
 END = 0
+#: Training tokens of a shard, on average.
+SHARD = 2_000_000
 #: Distinct tokens that one task adds up before it passes them on.
 HELD_TOKENS = 300_000
 
@@ -234,8 +238,17 @@ def token_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(F.col(text).alias("t")).mapInArrow(_counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def train(documents: DataFrame, counts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Model, np.ndarray]:
-    """Vocabulary, averaged model, and each group's smoothed total (its tokens, kinds and one for the unseen)."""
+def dealt(documents: DataFrame, doc_id: str, text: str, shards: int) -> DataFrame:
+    """The texts (column ``t``) in ``shards`` partitions, the same ones in the same order whatever the layout of the
+    input. Only documents without an id are dealt by their place, or all copies of a text would be one shard's."""
+    place = F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())
+    own = documents.select(F.col(text).alias("t"), F.xxhash64(doc_id, text, place).alias("h"))
+    return own.repartition(shards, "h").sortWithinPartitions("h").select("t")
+
+
+def train(documents: DataFrame, counts: DataFrame, tokens: int, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Model, np.ndarray]:
+    """Vocabulary, averaged model, and each group's smoothed total (its tokens, kinds and one for the unseen).
+    ``tokens`` is the sum of the counts."""
     words = counts.where(F.octet_length("token") > 0)
     single = CLASSES - 1 - GROUPS
     # counts in steps of a 64th of a doubling; as many whole steps from the top as hold at most FREQUENT tokens
@@ -266,7 +279,7 @@ def train(documents: DataFrame, counts: DataFrame, text: str = "text", rounds: i
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, model, log_noise))
         fields = ", ".join(f"{f} array<double>" for f in Model._fields)
-        local = documents.select(F.col(text).alias("t")).mapInArrow(_trained(shared), f"total long, {fields}")
+        local = dealt(documents, doc_id, text, max(1, -(-tokens // SHARD))).mapInArrow(_trained(shared), f"total long, {fields}")
         values = local.select("total", F.posexplode(F.concat(*[F.col(f) for f in Model._fields])).alias("at", "v"))
         mean = values.groupBy("at").agg((F.sum("v") / F.sum("total")).alias("v")).toPandas().sort_values("at")["v"].to_numpy()
         if len(mean):
@@ -289,7 +302,7 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     counts = cut(token_counts(learnt, "t"))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.octet_length("token") == 0, F.col("n"))).alias("ends")).first()
     n, v, ends = total["n"] or 0, total["v"], total["ends"] or 0
-    vocabulary, model, groups = train(learnt, counts, "t")
+    vocabulary, model, groups = train(learnt, counts, n, "id", "t")
     shared = documents.sparkSession.sparkContext.broadcast((vocabulary, model, groups))
     kind = own.schema["id"].dataType.simpleString()
     parts = own.mapInArrow(_scored(shared), f"row long, id {kind}, token binary, n long, tokens long, known long, base double, score double")

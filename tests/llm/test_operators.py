@@ -93,6 +93,27 @@ def test_op2(docs, texts, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_op2_scores_are_those_of_the_model_whatever_the_layout(spark, docs, texts):
+    learnt = docs.where(~langid.held_out(F.col("doc_id"), 7, 2))
+    counts = {bytes(r["token"]): r["n"] for r in lm.token_counts(learnt).collect()}
+    vocabulary, m, _ = lm.train(learnt, lm.token_counts(learnt), sum(counts.values()))
+    words = sorted((t for t in counts if t), key=lambda t: (-counts[t], t))
+    single = {t: 1 + lm.GROUPS + i for i, t in enumerate(words[: lm.CLASSES - 1 - lm.GROUPS])}
+    inside = [sum(counts[t] + 1 for t in words if t not in single and lm.group_of(t) == g) + 1 for g in range(lm.GROUPS)]
+    one, two = spark.createDataFrame(docs.orderBy("doc_id").collect(), docs.schema).repartition(1), docs.repartition(7)
+    got, again = ({r["doc_id"]: r["score"] for r in lm.score(d).collect()} for d in (one, two))
+    for i in list(got)[:40]:
+        tokens = lm.tokens_of((texts[i] or "").encode())
+        classes = [lm.END] * lm.CONTEXT + [single.get(t, 1 + lm.group_of(t)) for t in tokens] + [lm.END]
+        want = 0.0
+        for k in range(lm.CONTEXT, len(classes)):
+            q = sum(m.context[classes[k - lm.CONTEXT + j]].astype(float) * m.scale[j] for j in range(lm.CONTEXT))
+            scores = q @ m.output.T.astype(float) + m.bias
+            want += (scores[classes[k]] - np.log(np.exp(scores).sum())) / math.log(10)
+        want += sum(math.log10((counts.get(t, 0) + 1) / inside[lm.group_of(t)]) for t in tokens if t not in single)
+        assert got[i] == pytest.approx(want, rel=1e-4) and got[i] == pytest.approx(again[i], rel=1e-6)
+
+
 def test_op2_probabilities_sum_to_one_and_learn():
     rng = np.random.default_rng(0)
     share = np.full(lm.CLASSES, 1 / lm.CLASSES)
