@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -14,9 +15,15 @@ def landed(spark: SparkSession, path: str, schema: StructType, files_each: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
-def once_each(files: DataFrame, keys: tuple[str, ...] = ("path", "size", "modified")) -> DataFrame:
-    """Each version of a file once: a file changed under the same name is read again."""
-    return files.dropDuplicates(list(keys))
+def once_each(files: DataFrame, keys: tuple[str, ...] = ("path", "size", "modified"), within: str = "7 days") -> DataFrame:
+    """Each version of a file once: a file changed under the same name is read again.
+
+    A stream remembers a file for ``within`` of its arrival, so its state is bounded; arrival never runs late, so no
+    file is lost, and one that comes again after that is read again.
+    """
+    if not files.isStreaming:
+        return files.dropDuplicates(list(keys))
+    return files.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", within).dropDuplicatesWithinWatermark(list(keys)).drop("_seen")
 
 
 def stream_verdicts(lines: DataFrame, apps: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
