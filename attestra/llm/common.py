@@ -71,6 +71,15 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own beside the checkpoints, which goes when the driver ends."""
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows as a table written in the shared folder of the checkpoints.
 
@@ -78,11 +87,8 @@ def stored(df: DataFrame) -> DataFrame:
     optimizer see how large they are. ``discard`` removes it; what is not discarded goes when the driver ends.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    path = temporary_folder(spark, "stored")
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     if not next(_cuts) % 4:
         release(spark)
     out = spark.read.schema(df.schema).parquet(path)

@@ -16,8 +16,11 @@ from . import media as _media
 from . import mixing as _mixing
 from . import neardup as _neardup
 from . import quality as _quality
+from . import resample as _resample
+from . import tokenfiles as _tokenfiles
 from . import tokens as _tokens
-from .common import table
+from . import whiten as _whiten
+from .common import table, temporary_folder
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,20 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("set_digest")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = temporary_folder(spark, "tokens")
+    _tokenfiles.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return _tokenfiles.read_tokens(spark, folder, with_ids=False)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whiten.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_licenses": op9_licenses,
     "op10_neardup": op10_neardup,
+    "op11_resample": op11_resample,
+    "op12_token_files": op12_token_files,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 
@@ -161,4 +181,18 @@ FROM r LEFT JOIN (SELECT DISTINCT conv_id, turn FROM c) k ON k.conv_id = r.conv_
 UNION ALL
 SELECT conv_id, turn, NULL, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 'without key' ELSE 'other role' END, '{' || concat_ws(',', '"content":' || CAST(to_json(text) AS VARCHAR), '"role":' || CAST(to_json(role) AS VARCHAR)) || '}'
 FROM conversations WHERE conv_id IS NULL OR turn IS NULL OR role IS NULL OR role NOT IN ('user', 'assistant')""",
+    "op11_resample": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+tab AS (SELECT list_transform(range(256), i -> list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+f AS (SELECT r, unnest(w) AS w FROM d), g AS (SELECT unnest(w) AS w FROM b),
+crc AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(length(hex(w)) // 2), i -> CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT)), (c, x) -> xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+        FROM (SELECT w FROM f UNION SELECT w FROM g), tab),
+s AS (SELECT bucket, count(*) AS s, sum(count(*)) OVER () AS all_s FROM f JOIN crc USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN crc USING (w) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weighed AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM f JOIN crc USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+           CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weighed USING (r)),
+placed AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM placed""",
 }
