@@ -183,9 +183,9 @@ SELECT conv_id, turn, NULL, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 'with
 FROM conversations WHERE conv_id IS NULL OR turn IS NULL OR role IS NULL OR role NOT IN ('user', 'assistant')""",
     "op11_resample": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
-tab AS (SELECT list_transform(range(256), i -> list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
 f AS (SELECT r, unnest(w) AS w FROM d), g AS (SELECT unnest(w) AS w FROM b),
-crc AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(length(hex(w)) // 2), i -> CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT)), (c, x) -> xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+crc AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(length(hex(w)) // 2), lambda i: CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
         FROM (SELECT w FROM f UNION SELECT w FROM g), tab),
 s AS (SELECT bucket, count(*) AS s, sum(count(*)) OVER () AS all_s FROM f JOIN crc USING (w) GROUP BY bucket),
 t AS (SELECT bucket, count(*) AS t FROM g JOIN crc USING (w) GROUP BY bucket),
