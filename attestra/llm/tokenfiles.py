@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
+from string import ascii_lowercase, ascii_uppercase
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -28,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .tokens import _vocabulary
 
 NAME, END, PART_BYTES, ROWS = "word_bpe_49k.json", 2, 32 << 20, 2000
-#: Cached parts of texts that a Python worker keeps at most, and the longest that it keeps.
-CACHED, LONGEST = 1_000_000, 64
-#: Stands between parts that are encoded together; parts with this character are encoded on their own.
-MARK = b"\x7f"
+#: Cached parts of texts that a Python worker keeps at most, the longest that it keeps, and how many are encoded at once.
+CACHED, LONGEST, TOGETHER = 1_000_000, 64, 20_000
 
 
 def vocabulary_path() -> str:
@@ -46,16 +45,26 @@ def vocabulary_path() -> str:
 
 class Encoder:
     """A tokenizers file. ``by_words`` says that the tokenizer drops blanks and never looks across one; then each
-    distinct part between the six ASCII blanks is encoded once and kept, which gives the same ids as whole texts in a fraction of the time."""
+    distinct part between the six ASCII blanks is encoded once and kept, which gives the same ids as whole texts in a fraction
+    of the time. What differs in A-Z only is encoded once if the tokenizer lowers letters itself."""
 
     def __init__(self, data: bytes, by_words: bool = True) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(data)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-        self.mark = mark[0] if by_words and len(mark) == 1 else None
+        normalizer = self.tokenizer.normalizer
+        self.normal = normalizer.normalize_str if normalizer else str
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lowers = self.normal(ascii_uppercase) == ascii_lowercase
+        self.bare = Tokenizer.from_buffer(data)
+        self.bare.normalizer = Sequence([])
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token.removesuffix("</w>"))  # a character of a token stands for a byte
         self.by_words, self.known = by_words, {}
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -64,17 +73,29 @@ class Encoder:
     def _alone(self, texts: list[bytes]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
 
+    def _together(self, some: list[bytes]) -> list[bytes]:
+        """The ids of each part, encoded as one text with a blank between them and dealt by the bytes that ids stand for;
+        where these do not add up to the parts' own, each part is encoded alone."""
+        text = b" ".join(some).decode(errors="replace")
+        normal = self.normal(text)
+        if all(normal.count(a) == text.count(a) for a in self.added):
+            ids = self.bare.encode_batch_fast([normal], add_special_tokens=False)[0].ids
+            raw, ends = self._bytes(ids), np.cumsum(self.lengths[ids])
+            own = np.cumsum([len(p) for p in normal.encode().split(b" ")])
+            cuts = np.searchsorted(ends, own)
+            if len(own) == len(some) and len(ends) and own[-1] == ends[-1] and (ends[cuts] == own).all():
+                at = [0, *((cuts + 1) * self.width).tolist()]
+                return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+        return self._alone(some)
+
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        alone = [p for p in new if self.mark is None or MARK in p]
-        together = [p for p in new if self.mark is not None and MARK not in p]
-        out = dict(zip(alone, self._alone(alone), strict=True))
-        if together:
-            raw = self._alone([(b" %b " % MARK).join(together)])[0]
-            ids, w, at = np.frombuffer(raw, f"<u{self.width}"), self.width, 0
-            for p, end in zip(together, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
-                out[p] = raw[at * w : end * w]
-                at = end + 1
-        return out
+        low = b" ".join(new).lower() if self.lowers else b""
+        same = low.split(b" ") if low and not any(a.encode() in low for a in self.added) else new
+        parts, ids = list(set(same)), {}
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at : at + TOGETHER]
+            ids.update(zip(some, self._together(some), strict=True))
+        return dict(zip(new, map(ids.__getitem__, same), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, as bytes, without an end."""
@@ -149,6 +170,7 @@ def write_tokens(documents: DataFrame, folder: str, doc_id: str = "doc_id", text
     shared = spark.sparkContext.broadcast(data)
     named = placed.select(F.to_json(F.struct("id"), {"ignoreNullFields": "false"}).alias("name"), "t")
     encoded = cut(named.mapInArrow(_encoded(shared, shared._jbroadcast.id(), by_words), "name string, n long, ids binary"))
+    release(spark)  # the texts' shuffle files, before as much is written again
 
     part = F.spark_partition_id().alias("part")
     parts = encoded.groupBy(part).agg(F.sum(F.col("n") + 1).alias("tokens"), F.count("*").alias("docs")).orderBy("part").collect()  # a row a partition
