@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,3 +163,30 @@ def _over_pairs(f, kind: T.DataType, arrow: pa.DataType):
 score_texts = _over_pairs(scores, T.IntegerType(), pa.int32())
 text_ratio = _over_pairs(ratios, T.DoubleType(), pa.float64())
 text_partial_ratio = _over_pairs(partial_ratios, T.DoubleType(), pa.float64())
+
+
+#: Length of the grams that ``may_reach`` counts.
+GRAM = 3
+
+
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the partial ratio of two texts can be ``least`` or more, by a count of grams and without any table.
+
+    A stretch with w characters that reaches ``least`` against a needle of m differs from it by d = m + w - 2 * common
+    deletions and insertions, of which at most (100 - least) / 100 * (m + w), and w is at most m. Each takes at most
+    three of the needle's m - 2 grams away, so all but 3 * d of them must stand in the longer text. Where that asks for no
+    gram, every pair may reach it, and with d = 0 the needle must stand there whole. Nothing that reaches it is lost.
+    """
+    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
+    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    m = F.length(short)
+    # the most edits that a stretch of m, or of fewer characters, can have
+    d = F.floor((100 - least) / 100 * 2 * m + 1e-9)
+    need = m - (GRAM - 1) - GRAM * d
+
+    def counted(pair: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(pair["x"]) - (GRAM - 1), F.lit(1))), lambda i: F.substring(pair["x"], i, F.lit(GRAM)))
+        return F.size(F.filter(grams, lambda g: F.contains(pair["y"], g)))
+
+    met = F.get(F.transform(F.array(F.struct(short.alias("x"), long.alias("y"))), counted), F.lit(0))
+    return F.when(d == 0, F.contains(long, short)).when(need <= 0, F.lit(True)).otherwise(met >= need)

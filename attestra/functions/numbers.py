@@ -92,3 +92,9 @@ def is_standard_fill(beverage: Column, ml: Column) -> Column:
 
 def alcohol_required(beverage: Column, class_type: Column) -> Column:
     return (beverage == "spirits") | ((beverage == "wine") & ~fold(class_type).rlike(TABLE_WINE))
+
+
+def shortest(v: Column) -> Column:
+    """A number with at most six significant digits and no more of them than it needs, as notes speak of it: 750, 12.5,
+    1e+06. What lies half way between two goes away from zero."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", v.cast("double")), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
