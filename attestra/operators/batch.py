@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, stem
+from ..functions.text import basename
+from .pairing import pair
 
 SEVERITY = {"issues_found": 0, "unreadable": 1, "needs_review": 2, "ready_for_approval": 3}
 MOST_BYTES = 10 * 1024 * 1024
@@ -29,57 +29,10 @@ def item_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base", base).withColumn("item_key", F.when(again, F.concat("base", F.lit(" (row "), F.col("row_number").cast("string"), F.lit(")"))).otherwise(F.col("base"))).drop("base")
 
 
-def candidates(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """All files that a row might take: (row_number, ord, listed, path, how), how 0 by path, 1 by name, 2 by prefix.
-
-    Suffix and prefix conditions become equi-joins: a listed path can only match a file of its base name, and a file's
-    stem can only start with an identifier that is one of its prefixes before _, - or a blank.
-    """
-    own = files.select("path", basename(F.col("path")).alias("name"), stem(F.col("path")).alias("stem"), F.translate("path", "\\", "/").alias("slashed"))
-    listed = rows.select("row_number", F.posexplode("images").alias("ord", "listed")).withColumn("name", basename(F.col("listed"))).withColumn("want", F.lower(F.translate("listed", "\\", "/")))
-    met = listed.join(own, "name")
-    by_path = (F.col("slashed") == F.col("want")) | F.col("slashed").endswith(F.concat(F.lit("/"), F.col("want")))
-    by_list = met.select("row_number", "ord", "listed", "path", F.when(by_path, 0).otherwise(1).alias("how"))
-    cuts = F.filter(F.sequence(F.lit(1), F.length("stem")), lambda i: F.substring("stem", i + 1, F.lit(1)).isin("_", "-", " ", ""))
-    prefixes = own.where("stem <> ''").select("path", F.explode(F.transform(cuts, lambda i: F.substring("stem", F.lit(1), i))).alias("id"))
-    loose = rows.where((F.size("images") == 0) & F.col("application_id").isNotNull()).select("row_number", F.lower("application_id").alias("id"))
-    by_id = loose.join(prefixes, "id").select("row_number", F.lit(0).alias("ord"), F.lit(None).cast("string").alias("listed"), "path", F.lit(2).alias("how"))
-    return by_list.unionByName(by_id)
-
-
-def _take(group: pd.DataFrame) -> pd.DataFrame:
-    taken: set[str] = set()
-    out = []
-    for row, own in group.sort_values(["row_number", "ord", "path"]).groupby("row_number", sort=True):
-        mine: list[str] = []
-        for _, c in own.groupby("ord", sort=True):
-            free = c[~c["path"].isin(taken)]
-            if (free["how"] == 2).any():
-                mine += free["path"].tolist()
-                continue
-            exact = free[free["how"] == 0]
-            hits = (exact if len(exact) else free)["path"].tolist()
-            if len(hits) == 1:
-                mine += hits
-        out += [(row, i, p) for i, p in enumerate(mine)]
-        taken |= set(mine)
-    return pd.DataFrame(out, columns=["row_number", "position", "path"])
-
-
 def pair_files(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row_number, position, path) of the files each row takes, and the paths that no row takes.
-
-    A row takes a listed file if exactly one free file has its path, or else its name; a row without a list takes all
-    files named after its reference. What a row takes is gone for later rows, which also changes their counts, so rows
-    that compete are walked in order, in groups of files with one base name or one leading identifier.
-    """
-    from .components import connected
-
-    all_ = candidates(rows, files)
-    roots = connected(all_.select(F.concat(F.lit("r"), F.col("row_number").cast("string")).alias("u"), F.concat(F.lit("f"), F.col("path")).alias("v")))
-    grouped = all_.join(roots.select(F.col("node").alias("key"), "root"), F.col("key") == F.concat(F.lit("f"), F.col("path")))
-    pairs = grouped.select("root", "row_number", "ord", "path", "how").groupBy("root").applyInPandas(lambda g: _take(g), "row_number long, position int, path string")
-    return pairs, files.select("path").join(pairs, "path", "left_anti")
+    """(row_number, position, path) of the files each row takes, and the paths that no row takes; see ``pairing``."""
+    found = pair(rows, files)
+    return found.pairs, found.unpaired
 
 
 def counters(items: DataFrame) -> DataFrame:
@@ -115,12 +68,6 @@ def page(items: DataFrame, number: int, size: int = 50) -> DataFrame:
     return in_order(items).offset(min(max(number, 0), last) * size).limit(size)
 
 
-def upper_percentile(c: str, p: float) -> Column:
-    """sorted[min(n - 1, floor(p * n))]"""
-    all_ = F.array_sort(F.collect_list(c))
-    return F.get(all_, F.least(F.size(all_) - 1, F.floor(p * F.size(all_)).cast("int")))
-
-
 def latest_decisions(log: DataFrame, version: Column | int) -> DataFrame:
     """Of a log (item_key, decision, note, at, input_version), the latest a key made on this version of the inputs."""
     return log.where(F.col("input_version") == version).groupBy("item_key").agg(F.max_by(F.struct("decision", "note"), "at").alias("d")).select("item_key", "d.decision", "d.note").where("decision is not null")

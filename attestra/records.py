@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluate as E
-from .operators import intake, reads
+from .operators import intake, pairing, reads
 from .queries import _t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,27 @@ def real_record_rates(spark, sf_dir):
         F.when(k % 11 > 0, F.col("c_mktsegment")).alias("beverage_type"), F.when(k % 2 == 0, match(k % 10 < 5)).alias("brand"), match(k % 5 == 0).alias("class"), match(k % 5 == 1).alias("applicant"), (k % 3 == 0).alias("imported"), (k % 7 > 0).alias("origin_found"),
         (k % 4 > 0).alias("located"), F.when(k % 6 > 1, "exact").otherwise("noise").alias("assessment"), F.when(k % 8 > 0, 40.0).alias("alcohol"), F.lit(750.0).alias("contents"))
     return E.rates(metrics)
+
+
+#: Every part lists a file of its own folder and the bare name that all these files have; one part in ten has no folder.
+_SHARED = """WITH r AS (SELECT p_partkey AS row_number, p_partkey % 10 > 0 AS own, count(*) FILTER (p_partkey % 10 > 0) OVER (ORDER BY p_partkey DESC) AS open FROM part),
+e AS (SELECT row_number, own, open, unnest([0, 1]) AS ord FROM r),
+f AS (SELECT *, CASE WHEN own AND (ord = 0 OR open = 1) THEN row_number WHEN NOT own AND open = 1 THEN (SELECT min(b.row_number) FROM r b WHERE b.own AND b.row_number > (SELECT max(row_number) FROM r c WHERE c.own AND c.open > 1)) END AS file FROM e)"""
+
+
+def _shared_names(spark: SparkSession, sf_dir: str) -> pairing.Pairing:
+    k = F.col("p_partkey")
+    own = F.concat(k.cast("string"), F.lit("/Front.png"))
+    part = _t(spark, sf_dir, "part")
+    rows = part.select(k.alias("row_number"), F.lit(None).cast("string").alias("application_id"), F.array(own, F.lit("front.PNG")).alias("images"))
+    return pairing.pair(rows, part.where(k % 10 > 0).select(F.concat(F.lit("batch/"), own).alias("path")))
+
+
+@query(_SHARED + """ SELECT row_number, CAST(ord AS INT) AS position, 'batch/' || file || '/Front.png' AS path FROM f WHERE file IS NOT NULL""")
+def shared_names(spark, sf_dir):
+    return _shared_names(spark, sf_dir).pairs
+
+
+@query(_SHARED + """ SELECT row_number, CAST(ord AS INT) AS ord, CASE ord WHEN 0 THEN row_number || '/Front.png' ELSE 'front.PNG' END AS listed, CASE WHEN open = 0 THEN 'not found' ELSE 'ambiguous' END AS why FROM f WHERE file IS NULL""")
+def listed_and_not_taken(spark, sf_dir):
+    return _shared_names(spark, sf_dir).missing
