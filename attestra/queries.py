@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.countries import country_named
+from .functions.countries import BY_NAME, ORDER, STATE_CODE, STATE_NAMES, country_named
 from .operators import batch as B
 from .operators import evaluate as E
 from .operators.spans import reading_order
@@ -49,6 +49,25 @@ def countries(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", country_named(c).alias("country"), country_named(c, states=False).alias("strict"))
 
 
+#: Ends of texts that name two countries in words of one length, a state, and both senses of Georgia.
+_ORIGINS = ["French and German oak", "Mexique, Italian style", "Dutch or Korea", "Napa, CA 94558", "Atlanta, Georgia", "Republic of Georgia", "grown in Georgia", "Guinea or Papua New Guinea", "West Virginia2", "Franceville", "no name of a country", "Côte d'Ivoire"]
+_NAMES = ", ".join(f"({i}, '{n}', '{c}')" for i, (n, c) in enumerate([*((n, "United States") for n in STATE_NAMES), *((n, BY_NAME[n]) for n in ORDER)]))
+_ENDS = ", ".join("'" + x.replace("'", "''") + "'" for x in _ORIGINS)
+_NAMED = rf"""WITH n(i, name, country) AS (VALUES {_NAMES}), d AS (SELECT doc_id, coalesce(text, '') || '. ' || list_extract([{_ENDS}], CAST(doc_id % {len(_ORIGINS)} AS INT) + 1) AS text FROM documents),
+f AS (SELECT doc_id, text, {_FOLD} AS f FROM d), k AS (SELECT *, trim(regexp_replace(replace(replace(f, '''', ''), '"', ''), '[^a-z0-9]+', ' ', 'g')) AS k FROM f),
+w AS (SELECT *, ' ' || trim(regexp_replace(regexp_replace(k, '[^a-z ]+', ' # ', 'g'), ' +', ' ', 'g')) || ' ' AS w FROM k),
+m AS (SELECT doc_id, min(i) AS i, min(i) FILTER (i >= {len(STATE_NAMES)}) AS j FROM w JOIN n ON contains(w, ' ' || name || ' ') GROUP BY doc_id)
+SELECT w.doc_id, CASE WHEN regexp_matches(k, 'republic of georgia([^a-z]|$)') THEN 'Georgia' WHEN regexp_matches(f, ',\s*georgia([^a-z]|$)') OR regexp_matches(trim(text), '{STATE_CODE}') THEN 'United States' ELSE a.country END AS country,
+CASE WHEN regexp_matches(k, 'republic of georgia([^a-z]|$)') THEN 'Georgia' ELSE b.country END AS strict FROM w LEFT JOIN m USING (doc_id) LEFT JOIN n a ON a.i = m.i LEFT JOIN n b ON b.i = m.j"""
+
+
+@query(_NAMED)
+def countries_in_documents(spark, sf_dir):
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(". "), F.get(F.array(*map(F.lit, _ORIGINS)), (F.col("doc_id") % len(_ORIGINS)).cast("int")))
+    return _t(spark, sf_dir, "documents").select("doc_id", country_named(text).alias("country"), country_named(text, states=False).alias("strict"))
+
+
+
 _APP = f"SELECT p_partkey AS item_id, CASE p_partkey % 3 WHEN 0 THEN 'spirits' WHEN 1 THEN 'wine' ELSE 'malt' END AS beverage, p_partkey % 13 AS w, p_partkey % 5 = 0 AS imported, p_partkey % 7 = 0 AS abv, p_partkey % 11 = 0 AND p_partkey % 4 >= 0 AS vol, p_partkey FROM part"
 _CHECKS = f"""app AS ({_APP}),
 checks AS (SELECT item_id, beverage, unnest([{{'check_id': 'brand_name', 'status': 'match'}}, {{'check_id': 'class_type', 'status': 'match'}}, {{'check_id': 'alcohol_content', 'status': CASE WHEN abv THEN 'mismatch' ELSE 'match' END}},

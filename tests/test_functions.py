@@ -67,7 +67,8 @@ def test_fills(spark):
 
 
 def test_countries(spark):
-    cases = {"Product of USA": "United States", "Atlanta, Georgia": "United States", "Product of Georgia": "Georgia", "Papua New Guinea": "Papua New Guinea", "Napa, CA 94558": "United States", "Dominican Republic": "Dominican Republic", "Côte d'Ivoire": "Ivory Coast", "somewhere": None, "": None}
+    cases = {"Product of USA": "United States", "Atlanta, Georgia": "United States", "Product of Georgia": "Georgia", "Papua New Guinea": "Papua New Guinea", "Napa, CA 94558": "United States", "Dominican Republic": "Dominican Republic", "Côte d'Ivoire": "Ivory Coast", "somewhere": None, "": None,
+             "French and German oak": "France", "Mexique, Italian style": "Mexico", "Dutch or Korea": "South Korea", "new zealand2": "New Zealand", "new 2zealand": None, "x-usa-y": "United States", "usable": None, "Washington wine": "United States", "guineas": None}
     assert each(spark, list(cases), country_named) == list(cases.values())
     assert each(spark, ["Napa, CA"], lambda c: country_named(c, states=False)) == [None]
 
