@@ -51,38 +51,44 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 def evaluate(expression: str) -> tuple[frozenset[str], bool] | None:
     """Licences named and whether a permissive choice exists; None if it is no expression.
 
-    The longest leading part that parses is taken, so prose after an expression does no harm.
+    The longest leading part that parses is taken, so prose after an expression does no harm. ``with`` stands between one
+    licence and one exception, as the standard has it: anything else ends the expression before it. Time is linear in
+    the tokens, whatever they are and however deep they nest.
     """
     tokens = [t.lower() for t in _TOKEN.findall(expression)]
-    ended: list[str] = []
-    want = True  # an operand is due
-    depth = 0
+    upto = depth = 0
+    last = "("  # what came before: (, an operator, with, a licence (id), an exception, or )
     for i, t in enumerate(tokens):
-        if t == "(" and want:
-            depth += 1
-        elif t == ")" and not want and depth:
-            depth -= 1
-        elif t in _RANK and not want:
-            want = True
-        elif t not in _RANK and t not in "()" and want:
-            want = False
+        due = last in ("(", "operator")
+        if t == "(" and due:
+            depth, last = depth + 1, "("
+        elif t == ")" and not due and last != "with" and depth:
+            depth, last = depth - 1, ")"
+        elif t == "with" and last == "id":
+            last = "with"
+        elif t in ("and", "or") and not due and last != "with":
+            last = "operator"
+        elif t not in _RANK and t not in "()" and (due or last == "with"):
+            last = "id" if due else "exception"
         else:
             break
-        if not want and not depth:
-            ended = tokens[: i + 1]
-    if not ended:
+        if not depth and last in ("id", "exception", ")"):
+            upto = i + 1
+    if not upto:
         return None
-    values: list[tuple[frozenset[str], bool]] = []
+    values: list[tuple[set[str], bool]] = []
     operators: list[str] = []
 
     def apply(op: str) -> None:
         right, left = values.pop(), values.pop()
         if op == "with":  # an exception only ever permits more
-            values.append((frozenset(f"{a}-with-{b}" for a in left[0] for b in right[0]), left[1]))
+            values.append(({f"{next(iter(left[0]))}-with-{next(iter(right[0]))}"}, left[1]))
         else:
-            values.append((left[0] | right[0], left[1] or right[1] if op == "or" else left[1] and right[1]))
+            small, large = sorted((left[0], right[0]), key=len)
+            large.update(small)
+            values.append((large, left[1] or right[1] if op == "or" else left[1] and right[1]))
 
-    for t in ended:
+    for t in tokens[:upto]:
         if t == "(":
             operators.append(t)
         elif t == ")":
@@ -94,10 +100,10 @@ def evaluate(expression: str) -> tuple[frozenset[str], bool] | None:
                 apply(operators.pop())
             operators.append(t)
         else:
-            values.append((frozenset([t]), t in PERMISSIVE))
+            values.append(({t}, t in PERMISSIVE))
     while operators:
         apply(operators.pop())
-    return values[0]
+    return frozenset(values[0][0]), values[0][1]
 
 
 def automaton() -> ahocorasick.Automaton:
