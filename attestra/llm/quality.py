@@ -28,6 +28,8 @@ from .common import discard, stored
 from .mixing import hash60
 
 LABELLED, ROUNDS, STEPS = 6000, 3, 2
+#: Rows of chosen ids that are learnt from as they are; beyond, one an id.
+MOST_ROWS = 24_000
 #: A view is confident beyond the logit from which on so many of the labelled rows kept apart have the one label, if
 #: they are at least so many.
 TRUST, WITNESSES = 0.99, 20
@@ -257,9 +259,15 @@ def features(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     return stored(own.join(marks, F.col("id") == F.col("l_id"), "left").select("id", "v.c", "v.m", "y", F.coalesce("chosen", F.lit(False)).alias("chosen")))
 
 
-def train(rows: DataFrame) -> Model | None:
-    """Learns from the rows of ``features``. None if the chosen labels have fewer than two classes."""
-    own = rows.where("chosen").select(F.xxhash64("id").alias("turn"), F.col("id").cast("string").alias("id"), "c", "m", "y").toArrow()
+def train(rows: DataFrame, most: int = MOST_ROWS) -> Model | None:
+    """Learns from the rows of ``features``. None if the chosen labels have fewer than two classes.
+
+    The sample is bounded by rows too: where the chosen ids have more than ``most`` rows in all, one of each id is learnt
+    from, the one whose features hash least. So ids with very many rows bring no more to the driver."""
+    own = rows.where("chosen")
+    if own.count() > most:
+        own = own.groupBy("id").agg(F.min_by(F.struct("c", "m", "y"), F.xxhash64("c", "m")).alias("r")).select("id", "r.*")
+    own = own.select(F.xxhash64("id").alias("turn"), F.col("id").cast("string").alias("id"), "c", "m", "y").toArrow()
     own = own.take(pa.array(sorted(range(len(own)), key=list(zip(own["turn"].to_pylist(), own["id"].to_pylist(), own["y"].to_pylist(), strict=True)).__getitem__), pa.int64()))
     y = np.array(own["y"].to_pylist(), float)
     if len(np.unique(y)) < 2:

@@ -93,3 +93,19 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     want = sorted(str(r["doc_id"]) for r in got if r["good"])
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
+
+
+def test_rows_of_one_labelled_id_come_to_the_driver_once(spark, monkeypatch):
+    """However many rows labelled ids have, the driver gets a bounded number."""
+    from pyspark.sql import functions as F
+
+    docs, labels = tables(spark)
+    hot = labels.first()["doc_id"]
+    many = docs.unionByName(docs.where(F.col("doc_id") == hot).limit(1).withColumn("text", F.lit("short")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(100_000)))).drop("n"))
+    seen = []
+    real = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda learnt, sums: seen.append(len(learnt[2])) or real(learnt, sums))
+    rows = quality.features(many, labels)
+    ids = rows.where("chosen").select("id").distinct().count()
+    quality.train(rows)
+    assert rows.where("chosen").count() > 100_000 and seen == [ids]
