@@ -7,13 +7,12 @@ lost executor costs one stage's tasks and no more.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm import decontaminate, langid, mixing, neardup, quality
-from attestra.llm.common import checkpoint_dir, table
+from attestra.llm.common import discard, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    """The last stage's rows. Each stage's table goes once the next is written; the last one's goes when the driver ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        written = stored(stage(spark, docs, sf_dir))
+        discard(before)
+        docs = before = written
     return docs
