@@ -26,13 +26,14 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, release
 from .tokens import _vocabulary
 
-NAME, END, PART_BYTES, ROWS = "word_bpe_49k.json", 2, 32 << 20, 2000
+NAME, END, PART_BYTES, SLICE, ROWS = "word_bpe_49k.json", 2, 32 << 20, 12 << 20, 2000
 #: Cached parts of texts that a Python worker keeps at most, the longest that it keeps, and how many are encoded at once.
 CACHED, LONGEST, TOGETHER = 1_000_000, 64, 20_000
 
@@ -123,11 +124,14 @@ def _encoded(shared, id_: int, by_words: bool):
             _loaded[id_] = Encoder(shared.value, by_words)
         encoder = _loaded[id_]
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                some = batch.slice(at, ROWS)
-                ids = encoder.encode(some.column(1).cast(pa.binary()).to_pylist())
+            texts = batch.column(1).cast(pa.binary())
+            # slices of about SLICE bytes, whatever the length of a text
+            upto = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64)) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(batch)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                ids = encoder.encode(texts[at:end].to_pylist())
                 n = pa.array([len(x) // encoder.width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0), n, pa.array(ids, pa.binary())], ["name", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], n, pa.array(ids, pa.binary())], ["name", "n", "ids"])
 
     return run
 
@@ -154,6 +158,16 @@ def _write(rows: DataFrame, path: str, separator: bytes) -> None:
     rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).option("compression", "none").text(path)
 
 
+def _sorted_ids(documents: DataFrame, doc_id: str, text: str, shared, by_words: bool, part_bytes: int) -> DataFrame:
+    """(name, n, ids) in ascending order of ids over the partitions of a checkpoint."""
+    own = documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))
+    size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    order = [F.col("id").asc_nulls_first(), F.col("h").asc(), F.col("row").asc()]
+    placed = own.withColumn("h", F.xxhash64("t")).repartitionByRange(max(1, -(-size // part_bytes)), *order).sortWithinPartitions(*order)
+    named = placed.select(F.to_json(F.struct("id"), {"ignoreNullFields": "false"}).alias("name"), "t")
+    return cut(named.mapInArrow(_encoded(shared, shared._jbroadcast.id(), by_words), "name string, n long, ids binary"))
+
+
 def write_tokens(documents: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = END, by_words: bool = True, part_bytes: int = PART_BYTES) -> None:
     """Writes all documents' ids to ``folder``, in ascending order of doc_id (null first), each with the end id.
 
@@ -163,14 +177,8 @@ def write_tokens(documents: DataFrame, folder: str, doc_id: str = "doc_id", text
     spark = documents.sparkSession
     data = _vocabulary(vocabulary or vocabulary_path())
     width = Encoder(data, by_words).width
-    own = documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))
-    size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    order = [F.col("id").asc_nulls_first(), F.col("h").asc(), F.col("row").asc()]
-    placed = own.withColumn("h", F.xxhash64("t")).repartitionByRange(max(1, -(-size // part_bytes)), *order).sortWithinPartitions(*order)
-    shared = spark.sparkContext.broadcast(data)
-    named = placed.select(F.to_json(F.struct("id"), {"ignoreNullFields": "false"}).alias("name"), "t")
-    encoded = cut(named.mapInArrow(_encoded(shared, shared._jbroadcast.id(), by_words), "name string, n long, ids binary"))
-    release(spark)  # the texts' shuffle files, before as much is written again
+    encoded = _sorted_ids(documents, doc_id, text, spark.sparkContext.broadcast(data), by_words, part_bytes)
+    release(spark)  # nothing holds on to the texts' shuffle now; its files go before as much is written again
 
     part = F.spark_partition_id().alias("part")
     parts = encoded.groupBy(part).agg(F.sum(F.col("n") + 1).alias("tokens"), F.count("*").alias("docs")).orderBy("part").collect()  # a row a partition
