@@ -94,11 +94,20 @@ def stream_verdicts(lines: DataFrame, apps: DataFrame, out: str, checkpoint: str
         at = f"{out}/lines/batch={number}"
         batch.write.mode("overwrite").parquet(at)
         read = batch.sparkSession.read.schema(batch.schema).parquet(at)
+        if read.isEmpty():  # a batch in which only time went on
+            return
         due = read.groupBy("item_id").agg(F.max("revision").alias("revision"), F.bool_or("complete").alias("complete"))
         items = apps.join(due, "item_id", "left_semi")
         compare(items, read.drop("revision", "complete")).verdicts.join(due, "item_id").write.mode("overwrite").parquet(f"{out}/verdicts/batch={number}")
 
-    return gathered(lines, apps, wait, forget, skew).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # batches without lines are for times that are up; where the number of images is unknown, nothing waits for one
+    conf, name = lines.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str("n_images" in apps.columns).lower())
+    try:
+        return gathered(lines, apps, wait, forget, skew).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def latest_verdicts(spark: SparkSession, out: str) -> DataFrame:
