@@ -1,20 +1,26 @@
 """Language-model scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
-Tokens fall into CLASSES classes: the most frequent tokens have one each, all others are grouped by their last bytes,
-and one class ends a text. The model predicts the next class from the embeddings of the ``CONTEXT`` classes before it,
-each scaled position by position (log-bilinear), with an output embedding and a bias; inside a group a token has its
-smoothed share of the group's count. Probabilities are normalised exactly: a batched matrix product gives the scores
-of all classes for all distinct contexts.
-
-Training sees every training document. Documents are dealt to shards of about SHARD tokens by a hash of id and text and
-ordered by it, so that neither files nor partitions decide what is learnt. Each shard runs stochastic gradient steps on
-its own tokens from a common start, against noise drawn from the class frequencies, and the shards' parameters are
-averaged by tokens (one round by default). Only parameters and class counts come to the driver, whose size is fixed by
-CLASSES and WIDTH.
-
-Counts are exact over the whole open vocabulary. The most frequent tokens (at most ``FREQUENT``, a documented bound; found by a histogram of the counts) are
-broadcast with their counts; every other token of a text is joined to the counts by a shuffle. Frequent tokens never
-enter that shuffle, so it has no hot key.
+Its vocabulary grows with the corpus. Of N training tokens, every token that occurs at least sqrt(N) / OFTEN times (and
+LEAST times) has embeddings of its own, as context and as output: by their counts there are at most OFTEN * sqrt(N) of
+them, which bounds the model and its broadcast. The rarer ones share groups by their last bytes; inside a group a token has its
+smoothed share of the group's count.
+
+The output is a tree of two levels, so that a token costs the square root of the vocabulary: classes (one that ends a
+text, the groups, and about sqrt(V) clusters of the V tokens with embeddings, balanced by the roots of their
+counts), then the tokens of a cluster. Both levels are log-bilinear: the embeddings of the CONTEXT tokens before,
+each scaled position by position, are summed and multiplied with an output embedding and a bias. Batched matrix products normalise
+both levels exactly.
+
+Training sees every training document once, in ROUNDS slices by a hash of id and text. The documents of a slice are dealt to shards
+by the same hash and ordered by it, so that neither files nor partitions decide what is learnt. Each shard runs
+stochastic gradient steps on its own tokens from the common model, against noise drawn from the frequencies of the classes and of
+the tokens in a cluster, and touches only the rows that a batch names. What shards learnt of a row is averaged by how
+often each met it, and is the start of the next slice. Shards hold SHARD tokens or 250 * sqrt(N), so that their number grows with the root of
+the corpus, and so do the rows that are averaged.
+
+Counts are exact over the whole open vocabulary. Tokens with embeddings and the most frequent others (at most ``FREQUENT``, found by a
+histogram of the counts), of at most LONGEST bytes each, are broadcast with their counts; every other token of a text is joined to the counts by a
+shuffle. Frequent tokens never enter that shuffle, so it has no hot key.
 """
 
 from __future__ import annotations
@@ -34,21 +40,21 @@ from pyspark.sql import functions as F
 from .common import cut
 from .langid import held_out
 
-CONTEXT, WIDTH, GROUPS, CLASSES = 2, 16, 40, 256
-FREQUENT, NOISE, BATCH, RATE, ROUNDS = 150_000, 32, 4096, 0.05, 1
+CONTEXT, WIDTH, OFTEN, LEAST = 4, 16, 8, 5
+FREQUENT, LONGEST, NOISE, INNER, BATCH, RATE, ROUNDS = 150_000, 64, 32, 1, 2048, 0.1, 4
 FOLDS, HELD = 7, 2
 END = 0
-#: Training tokens of a shard, on average.
+#: Training tokens of a shard, at least.
 SHARD = 2_000_000
-#: Distinct tokens that one task adds up before it passes them on.
-HELD_TOKENS = 300_000
+#: Distinct tokens that one task adds up before it passes them on, and positions that are scored at once.
+HELD_TOKENS, AT_ONCE = 300_000, 16_384
 
 
 class Model(NamedTuple):
-    context: np.ndarray  # (CLASSES, WIDTH) embeddings of what was seen
+    context: np.ndarray  # (units, WIDTH) embeddings of what was seen
     scale: np.ndarray  # (CONTEXT, WIDTH)
-    output: np.ndarray  # (CLASSES, WIDTH)
-    bias: np.ndarray  # (CLASSES,)
+    output: np.ndarray  # (classes, WIDTH + 1), the last column is the bias
+    word: np.ndarray  # (tokens with embeddings, WIDTH + 1)
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -56,85 +62,159 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def group_of(token: bytes) -> int:
-    return zlib.crc32(token[-2:]) % GROUPS
-
-
 class _Index(dict):
     def __missing__(self, token: bytes) -> int:
         return -1
 
 
 class Vocabulary:
-    """The frequent tokens with their counts, most frequent first; the first ``single`` have a class of their own."""
+    """The frequent tokens with their counts, most frequent first; the first ``own`` have embeddings.
 
-    def __init__(self, frequent: list[tuple[bytes, int]], single: int) -> None:
-        self.size = 1 + GROUPS + single
+    Units, which contexts and targets are made of: the end, the groups, then the tokens with embeddings. Classes: the
+    end, the groups, then the clusters; cluster c holds the tokens ``edge[c]`` to ``edge[c + 1]``.
+    """
+
+    def __init__(self, frequent: list[tuple[bytes, int]], own: int) -> None:
         self.index = _Index((t, i) for i, (t, _) in enumerate(frequent))
         self.count = np.array([n for _, n in frequent], np.float64)
-        self.single = min(single, len(frequent))
-        self.classes = np.array([1 + GROUPS + i if i < single else 1 + group_of(t) for i, (t, _) in enumerate(frequent)], np.int32)
+        self.own = own
+        self.groups = max(8, math.isqrt(own))
+        roots = np.cumsum(np.sqrt(self.count[:own]))
+        clusters = np.floor(roots / (roots[-1] * (1 + 1e-9)) * self.groups).astype(np.int64) if own else np.zeros(0, np.int64)
+        clusters = np.unique(clusters, return_inverse=True)[1]  # none is empty
+        self.edge = np.append(np.flatnonzero(np.diff(clusters, prepend=-1)), own)
+        self.classes = self.groups + len(self.edge)
+        self.units = 1 + self.groups + own
+        self.class_of = np.concatenate([np.arange(1 + self.groups), 1 + self.groups + clusters]).astype(np.int32)
+        self.unit = np.array([1 + self.groups + i if i < own else self.rare(t) for i, (t, _) in enumerate(frequent)], np.int32)
+
+    def rare(self, token: bytes) -> int:
+        return 1 + zlib.crc32(token[-2:]) % self.groups
 
     def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the list (-1: not in it) and class of each token."""
+        """Place in the list (-1: not in it) and unit of each token."""
         at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-        classes = self.classes[at] if len(self.classes) else np.zeros(len(at), np.int32)
+        units = self.unit[at] if len(self.unit) else np.zeros(len(at), np.int32)
         for i in np.flatnonzero(at < 0).tolist():
-            classes[i] = 1 + group_of(tokens[i])
-        return at, classes
+            units[i] = self.rare(tokens[i])
+        return at, units
+
 
+class Noise:
+    """Frequencies that noise is drawn from: of classes, and of tokens inside their cluster."""
 
-def start(size: int, frequency: np.ndarray, seed: int = 1) -> Model:
+    def __init__(self, vocabulary: Vocabulary, frequency: np.ndarray) -> None:
+        own = vocabulary.count[: vocabulary.own]
+        self.share = frequency / frequency.sum()
+        self.log_class = np.log(self.share).astype(np.float32)
+        self.upto = np.concatenate([[0.0], np.cumsum(own)])
+        self.size = np.diff(vocabulary.edge)
+        cluster = np.repeat(np.arange(len(self.size)), self.size)
+        self.low, self.mass = self.upto[vocabulary.edge[:-1]], np.diff(self.upto[vocabulary.edge])
+        self.log_word = np.log(own / self.mass[cluster]).astype(np.float32) if len(own) else np.zeros(0, np.float32)
+
+    def inside(self, clusters: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+        """k tokens of each of the clusters, by their counts."""
+        x = self.low[clusters][:, None] + rng.random((len(clusters), k)) * self.mass[clusters][:, None]
+        return np.searchsorted(self.upto, x, "right") - 1
+
+
+def start(vocabulary: Vocabulary, noise: Noise, seed: int = 1) -> Model:
+    """Small random embeddings, and biases that give the frequencies."""
     rng = np.random.default_rng(seed)
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return Model(small(size, WIDTH), np.ones((CONTEXT, WIDTH), np.float32), small(size, WIDTH), np.log(frequency).astype(np.float32))
+    with_bias = lambda log: np.concatenate([small(len(log), WIDTH), log[:, None]], 1)
+    return Model(small(vocabulary.units, WIDTH), np.ones((CONTEXT, WIDTH), np.float32), with_bias(noise.log_class), with_bias(noise.log_word))
+
+
+def _climb(x: np.ndarray, square: np.ndarray, met: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
+    """Adds up the gradients of each row and moves only those rows; Adagrad: each parameter has its own pace."""
+    order = np.argsort(ids.astype(np.uint16) if len(x) <= 1 << 16 else ids, kind="stable")  # short integers are sorted by radix
+    ids = ids[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    own, g = ids[first], np.add.reduceat(rows[order], first, axis=0)
+    met[own] += np.diff(first, append=len(ids))
+    square[own] += g * g
+    x[own] += rate * g / (np.sqrt(square[own]) + 1e-6)
 
 
-def _sum_rows(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(ids, rows[:, j], size) for j in range(rows.shape[1])], 1)
+def summed(m: Model, seen: np.ndarray) -> np.ndarray:
+    """The context's vector of each row of units, and a 1 for the bias."""
+    q = np.ones((len(seen), WIDTH + 1), np.float32)
+    q[:, :WIDTH] = m.context[seen[:, 0]] * m.scale[0]
+    for j in range(1, CONTEXT):
+        q[:, :WIDTH] += m.context[seen[:, j]] * m.scale[j]
+    return q
 
 
-def step(m: Model, seen: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> Model:
-    """One ascent step on a batch: data against noise classes that the whole batch shares. Adds to ``squares``.
+def step(m: Model, vocabulary: Vocabulary, noise: Noise, seen: np.ndarray, target: np.ndarray, squares: Model, met: Model, rng: np.random.Generator, rate: float = RATE) -> None:
+    """One ascent step on a batch, in place: data against noise classes that the batch shares, and against noise tokens
+    of each target's own cluster.
 
-    Each example weighs the k noise classes against its one true class by the odds of the model's unnormalised score
+    Each example weighs its k noises against its one true class or token by the odds of the model's unnormalised score
     to k times the noise probability.
     """
-    size, k, n = len(m.bias), len(noise), len(target)
-    embedded = m.context[seen]  # n, CONTEXT, WIDTH
-    q = (embedded * m.scale).sum(1)
-    own = (q * m.output[target]).sum(1) + m.bias[target] - log_noise[target] - math.log(k)
-    other = q @ m.output[noise].T + m.bias[noise] - log_noise[noise] - math.log(k)
-    up = 1 / (1 + np.exp(own))  # 1 - P(data)
-    down = 1 / (1 + np.exp(-other))  # P(data) of noise
-    grad_q = up[:, None] * m.output[target] - down @ m.output[noise]
-    output, bias = _sum_rows(target, up[:, None] * q, size), np.bincount(target, up, size)
-    np.subtract.at(output, noise, down.T @ q)
-    np.subtract.at(bias, noise, down.sum(0))
-    context = sum(_sum_rows(seen[:, i], grad_q * m.scale[i], size) for i in range(CONTEXT))
-    scale = np.stack([(grad_q * embedded[:, i]).sum(0) for i in range(CONTEXT)])
-    gradient = (context / n, scale / n, output / n, bias / n)
-    new = []
-    for x, g, square in zip(m, gradient, squares, strict=True):  # Adagrad: each parameter has its own pace
-        square += g * g
-        new.append((x + rate * g / (np.sqrt(square) + 1e-6)).astype(np.float32))
-    return Model(*new)
-
-
-def positions(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and targets of a text's classes, with the end as last target and before the first token."""
-    target = np.append(classes, END)
-    padded = np.concatenate([np.full(CONTEXT, END, np.int32), classes])
+    q, classes = summed(m, seen), vocabulary.class_of[target]
+    drawn = np.searchsorted(np.cumsum(noise.share), rng.random(NOISE)).clip(max=len(noise.share) - 1)
+    up = 1 / (1 + np.exp((q * m.output[classes]).sum(1) - noise.log_class[classes] - np.float32(math.log(NOISE))))  # 1 - P(data)
+    down = 1 / (1 + np.exp(noise.log_class[drawn] + np.float32(math.log(NOISE)) - q @ m.output[drawn].T))  # P(data) of noise
+    grad = up[:, None] * m.output[classes] - down @ m.output[drawn]
+    ids, rows = np.concatenate([classes, drawn]), np.concatenate([up[:, None] * q, -(down.T @ q)])
+
+    token = target - 1 - vocabulary.groups
+    at = np.flatnonzero(token >= 0)
+    cluster = classes[at] - 1 - vocabulary.groups
+    at, cluster = at[noise.size[cluster] > 1], cluster[noise.size[cluster] > 1]
+    inner = None
+    if len(at):
+        token, q_in = token[at], q[at]
+        others = noise.inside(cluster, INNER, rng)
+        true, false = m.word[token], m.word[others]
+        up = 1 / (1 + np.exp((q_in * true).sum(1) - noise.log_word[token] - np.float32(math.log(INNER))))
+        down = 1 / (1 + np.exp(noise.log_word[others] + np.float32(math.log(INNER)) - np.einsum("nkd,nd->nk", false, q_in)))
+        grad[at] += up[:, None] * true - np.einsum("nk,nkd->nd", down, false)
+        inner = np.concatenate([token, others.ravel()]), np.concatenate([up[:, None] * q_in, (-down[:, :, None] * q_in[:, None]).reshape(-1, WIDTH + 1)])
+
+    grad = grad[:, :WIDTH]
+    scale = np.stack([(grad * m.context[seen[:, j]]).sum(0) for j in range(CONTEXT)])
+    context = seen.ravel(), (grad[:, None] * m.scale).reshape(-1, WIDTH)
+    _climb(m.output, squares.output, met.output, ids, rows, rate)
+    _climb(m.context, squares.context, met.context, *context, rate)
+    _climb(m.scale, squares.scale, met.scale, np.arange(CONTEXT), scale, rate)
+    if inner:
+        _climb(m.word, squares.word, met.word, *inner, rate)
+
+
+def positions(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and targets of a text's units, with the end as last target and before the first token."""
+    target = np.append(units, END)
+    padded = np.concatenate([np.full(CONTEXT, END, np.int32), units])
     return np.stack([padded[i : len(padded) - CONTEXT + 1 + i] for i in range(CONTEXT)], 1), target
 
 
-def log_probabilities(m: Model, contexts: np.ndarray) -> np.ndarray:
-    """Normalised natural log probabilities (contexts, classes)."""
-    out = np.empty((len(contexts), len(m.bias)), np.float32)
-    for at in range(0, len(contexts), 4096):
-        s = (m.context[contexts[at : at + 4096]] * m.scale).sum(1) @ m.output.T + m.bias
-        top = s.max(1, keepdims=True)
-        out[at : at + 4096] = s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
+def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The normalised log share of column ``at`` of each row."""
+    top = scores.max(1)
+    own = scores[np.arange(len(at)), at] - top
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(1))
+
+
+def log_probabilities(m: Model, vocabulary: Vocabulary, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Normalised natural log probability of each target unit after what was seen."""
+    out = np.empty(len(target), np.float64)
+    for lo in range(0, len(target), AT_ONCE):
+        q, unit = summed(m, seen[lo : lo + AT_ONCE]), target[lo : lo + AT_ONCE]
+        classes = vocabulary.class_of[unit]
+        found = _log_share(q @ m.output.T, classes).astype(np.float64)
+        order = np.argsort(classes, kind="stable")
+        first = np.searchsorted(classes[order], 1 + vocabulary.groups + np.arange(len(vocabulary.edge)))
+        for c in np.flatnonzero(np.diff(first)).tolist():
+            a, b = vocabulary.edge[c : c + 2]
+            own = order[first[c] : first[c + 1]]
+            found[own] += _log_share(q[own] @ m.word[a:b].T, unit[own] - 1 - vocabulary.groups - a)
+        out[lo : lo + AT_ONCE] = found
     return out
 
 
@@ -158,21 +238,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trained(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model, log_noise = shared.value
+        vocabulary, noise, model, squares = shared.value
+        model, squares = Model(*[x.copy() for x in model]), Model(*[x.copy() for x in squares])
+        met = Model(*[np.zeros(len(x), np.int64) for x in model])
         rng = np.random.default_rng(7)
-        noise_share = np.exp(log_noise)
-        noise_share /= noise_share.sum()
-        squares = [np.zeros(x.shape) for x in model]
-        seen, target, waiting, total = [], [], 0, 0
+        seen, target, waiting = [], [], 0
 
         def learn() -> None:
-            nonlocal model, seen, target, waiting
+            nonlocal seen, target, waiting
             s, t = np.concatenate(seen), np.concatenate(target)
             order = rng.permutation(len(t))
-            s, t = s[order], t[order]
             for at in range(0, len(t), BATCH):
-                noise = rng.choice(vocabulary.size, NOISE, p=noise_share)
-                model = step(model, s[at : at + BATCH], t[at : at + BATCH], noise, log_noise, squares)
+                own = order[at : at + BATCH]
+                step(model, vocabulary, noise, s[own], t[own], squares, met, rng)
             seen, target, waiting = [], [], 0
 
         for batch in batches:
@@ -181,48 +259,60 @@ def _trained(shared):
                 seen.append(s)
                 target.append(t)
                 waiting += len(t)
-                total += len(t)
                 if waiting > 64 * BATCH:
                     learn()
         if waiting:
             learn()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), *[pa.array([(x.astype(np.float64) * total).ravel()], pa.list_(pa.float64())) for x in model]], ["total", *Model._fields])
+        for part, (x, square, times) in enumerate(zip(model, squares, met, strict=True)):
+            rows = np.flatnonzero(times)
+            for lo in range(0, len(rows), 10_000):
+                own = rows[lo : lo + 10_000]
+                values = np.zeros((len(own), 2 * WIDTH + 2))
+                values[:, : x.shape[1]], values[:, WIDTH + 1 : WIDTH + 1 + x.shape[1]] = x[own], square[own]
+                columns = [pa.array(np.full(len(own), part), pa.int32()), pa.array(own, pa.int64()), pa.array(times[own])]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(v) for v in values.T.copy()], ["part", "row", "times", *PARAMETERS])
 
     return run
 
 
+#: A row's parameters with its bias, then their sums of squared gradients.
+PARAMETERS = [f"v{i}" for i in range(2 * WIDTH + 2)]
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, model, groups = shared.value
-        size = vocabulary.size
         known = np.log10(vocabulary.count + 1)
-        inside = np.where(np.arange(len(known)) < vocabulary.single, 0.0, known)
-        below = np.zeros(size)
-        below[1 : 1 + GROUPS] = np.log10(groups)
-        code = size ** np.arange(CONTEXT - 1, -1, -1)
-        ready, table = np.zeros(size**CONTEXT, bool), np.empty((size**CONTEXT, size), np.float32)
+        inside = np.where(np.arange(len(known)) < vocabulary.own, 0.0, known)
+        below = np.zeros(vocabulary.units)
+        below[1 : 1 + vocabulary.groups] = np.log10(groups)
         serial = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                tokens = tokens_of(text)
-                at, classes = vocabulary.read(tokens)
-                seen, target = positions(classes)
-                packed = seen @ code
-                if len(new := np.unique(packed[~ready[packed]])):
-                    table[new] = log_probabilities(model, new[:, None] // code % size)
-                    ready[new] = True
+
+        def scores(texts: list[tuple]) -> list[tuple]:
+            seen, target = (np.concatenate(x) for x in zip(*[positions(units) for _, _, _, units in texts], strict=True))
+            each = log_probabilities(model, vocabulary, seen, target) / math.log(10) - below[target]
+            sums = np.add.reduceat(each, np.cumsum([0, *[len(units) + 1 for _, _, _, units in texts[:-1]]]))
+            rows = []
+            for (doc, tokens, at, _), own in zip(texts, sums.tolist(), strict=True):
+                nonlocal serial
                 frequent = at[at >= 0]
-                score = table[packed, target].sum(dtype=np.float64) / math.log(10) - below[target].sum() + inside[frequent].sum()
                 # the document itself, under a token that no text has, then each of its rarer tokens
-                rows.append((serial, doc, b" %d" % serial, 1, len(tokens) + 1, len(frequent), known[frequent].sum(), score))
+                rows.append((serial, doc, b" %d" % serial, 1, len(tokens) + 1, len(frequent), known[frequent].sum(), own + inside[frequent].sum()))
                 rows += [(serial, None, t, n, 0, 0, 0.0, 0.0) for t, n in Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist()).items()]
                 serial += 1
-                if len(rows) > 200_000:
-                    yield _batch(rows, batch.schema.field(0).type)
-                    rows = []
-            yield _batch(rows, batch.schema.field(0).type)
+            return rows
+
+        for batch in batches:
+            kind, waiting, held = batch.schema.field(0).type, [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                tokens = tokens_of(text)
+                waiting.append((doc, tokens, *vocabulary.read(tokens)))
+                held += len(tokens) + 1
+                if held > AT_ONCE:
+                    yield _batch(scores(waiting), kind)
+                    waiting, held = [], 0
+            if waiting:
+                yield _batch(scores(waiting), kind)
 
     return run
 
@@ -238,53 +328,55 @@ def token_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(F.col(text).alias("t")).mapInArrow(_counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def dealt(documents: DataFrame, doc_id: str, text: str, shards: int) -> DataFrame:
-    """The texts (column ``t``) in ``shards`` partitions, the same ones in the same order whatever the layout of the
+def dealt(documents: DataFrame, doc_id: str, text: str, shards: int, slice_: int = 0, slices: int = 1) -> DataFrame:
+    """The texts (column ``t``) of a slice in ``shards`` partitions, the same ones in the same order whatever the layout of the
     input. Only documents without an id are dealt by their place, or all copies of a text would be one shard's."""
     place = F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())
     own = documents.select(F.col(text).alias("t"), F.xxhash64(doc_id, text, place).alias("h"))
-    return own.repartition(shards, "h").sortWithinPartitions("h").select("t")
+    return own.where(F.pmod("h", F.lit(slices)) == slice_).repartition(shards, "h").sortWithinPartitions("h").select("t")
 
 
 def train(documents: DataFrame, counts: DataFrame, tokens: int, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Model, np.ndarray]:
-    """Vocabulary, averaged model, and each group's smoothed total (its tokens, kinds and one for the unseen).
+    """Vocabulary, model, and each group's smoothed total (its tokens, kinds and one for the unseen).
     ``tokens`` is the sum of the counts."""
     words = counts.where(F.octet_length("token") > 0)
-    single = CLASSES - 1 - GROUPS
+    short = words.where(F.octet_length("token") <= LONGEST)
+    often = max(LEAST, math.isqrt(tokens) // OFTEN)
     # counts in steps of a 64th of a doubling; as many whole steps from the top as hold at most FREQUENT tokens
     step_of = F.floor(F.log2("n") * 64).cast("int")
-    steps = words.groupBy(step_of.alias("s")).agg(F.count("*").alias("c")).collect()
+    steps = short.groupBy(step_of.alias("s")).agg(F.count("*").alias("c")).collect()
     least, held = None, 0
     for r in sorted(steps, key=lambda r: -r["s"]):
         if (held := held + r["c"]) > FREQUENT:
             break
         least = r["s"]
-    rows = words.where(step_of >= least).collect() if least is not None else []
+    rows = short.where((F.col("n") >= often) | ((step_of >= least) if least is not None else F.lit(False))).collect()
     frequent = sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
-    vocabulary = Vocabulary(frequent, single)
-    group = F.pmod(F.crc32(F.substring("token", -2, 2)), F.lit(GROUPS))
-    totals, kinds = np.zeros(GROUPS), np.zeros(GROUPS)
+    vocabulary = Vocabulary(frequent, sum(n >= often for _, n in frequent))
+    group = F.pmod(F.crc32(F.substring("token", -2, 2)), F.lit(vocabulary.groups))
+    totals, kinds = np.zeros(vocabulary.groups), np.zeros(vocabulary.groups)
     for r in words.groupBy(group.alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         totals[r["g"]], kinds[r["g"]] = r["n"], r["k"]
-    for t, n in frequent[:single]:
-        totals[group_of(t)] -= n
-        kinds[group_of(t)] -= 1
+    for t, n in frequent[: vocabulary.own]:
+        totals[vocabulary.rare(t) - 1] -= n
+        kinds[vocabulary.rare(t) - 1] -= 1
     ends = counts.where(F.octet_length("token") == 0).agg(F.sum("n")).first()[0] or 0
-    singles = np.zeros(single)
-    singles[: vocabulary.single] = vocabulary.count[: vocabulary.single]
-    frequency = np.concatenate([[ends], totals, singles]) + 1
-    log_noise = np.log(frequency / frequency.sum())
-    model = start(vocabulary.size, np.exp(log_noise))
+    clusters = np.add.reduceat(vocabulary.count[: vocabulary.own], vocabulary.edge[:-1]) if vocabulary.own else []
+    noise = Noise(vocabulary, np.concatenate([[ends], totals, clusters]) + 1)
+    model = start(vocabulary, noise)
+    squares = Model(*[np.zeros_like(x) for x in model])
     spark = documents.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((vocabulary, model, log_noise))
-        fields = ", ".join(f"{f} array<double>" for f in Model._fields)
-        local = dealt(documents, doc_id, text, max(1, -(-tokens // SHARD))).mapInArrow(_trained(shared), f"total long, {fields}")
-        values = local.select("total", F.posexplode(F.concat(*[F.col(f) for f in Model._fields])).alias("at", "v"))
-        mean = values.groupBy("at").agg((F.sum("v") / F.sum("total")).alias("v")).toPandas().sort_values("at")["v"].to_numpy()
-        if len(mean):
-            ends_at = np.cumsum([x.size for x in model])
-            model = Model(*[part.reshape(x.shape).astype(np.float32) for x, part in zip(model, np.split(mean, ends_at[:-1]), strict=True)])
+    shards = max(1, -(-tokens // (rounds * max(SHARD, 250 * math.isqrt(tokens)))))
+    for at in range(rounds):
+        shared = spark.sparkContext.broadcast((vocabulary, noise, model, squares))
+        local = dealt(documents, doc_id, text, shards, at, rounds).mapInArrow(_trained(shared), "part int, row long, times long, " + ", ".join(f"{v} double" for v in PARAMETERS))
+        mean = local.groupBy("part", "row").agg(*[(F.sum(F.col(v) * F.col("times")) / F.sum("times")).cast("float").alias(v) for v in PARAMETERS]).toArrow()
+        part, row = np.asarray(mean["part"]), np.asarray(mean["row"])
+        values = np.stack([np.asarray(mean[v]) for v in PARAMETERS], 1)
+        for k, (x, square) in enumerate(zip(model, squares, strict=True)):
+            own = part == k
+            x[row[own]], square[row[own]] = values[own, : x.shape[1]], values[own, WIDTH + 1 : WIDTH + 1 + x.shape[1]]
+        shared.unpersist()
     return vocabulary, model, totals + kinds + 1
 
 

@@ -96,37 +96,91 @@ def test_op2(docs, texts, empty):
 def test_op2_scores_are_those_of_the_model_whatever_the_layout(spark, docs, texts):
     learnt = docs.where(~langid.held_out(F.col("doc_id"), 7, 2))
     counts = {bytes(r["token"]): r["n"] for r in lm.token_counts(learnt).collect()}
-    vocabulary, m, _ = lm.train(learnt, lm.token_counts(learnt), sum(counts.values()))
-    words = sorted((t for t in counts if t), key=lambda t: (-counts[t], t))
-    single = {t: 1 + lm.GROUPS + i for i, t in enumerate(words[: lm.CLASSES - 1 - lm.GROUPS])}
-    inside = [sum(counts[t] + 1 for t in words if t not in single and lm.group_of(t) == g) + 1 for g in range(lm.GROUPS)]
+    total = sum(counts.values())
+    vocabulary, m, _ = lm.train(learnt, lm.token_counts(learnt), total)
+    often = max(lm.LEAST, math.isqrt(total) // lm.OFTEN)
+    words = sorted((t for t in counts if t and len(t) <= lm.LONGEST and counts[t] >= often), key=lambda t: (-counts[t], t))
+    assert len(words) == vocabulary.own > 20 and len(words) <= lm.OFTEN * math.sqrt(total)
+    groups = max(8, math.isqrt(len(words)))
+    group_of = lambda t: 1 + zlib.crc32(t[-2:]) % groups
+    unit = {t: 1 + groups + i for i, t in enumerate(words)}
+    inside = [sum(counts[t] + 1 for t in counts if t and t not in unit and group_of(t) == g + 1) + 1 for g in range(groups)]
+    cluster = {w: c for c in range(len(vocabulary.edge) - 1) for w in range(vocabulary.edge[c], vocabulary.edge[c + 1])}
+    assert sorted(cluster) == list(range(len(words)))
     one, two = spark.createDataFrame(docs.orderBy("doc_id").collect(), docs.schema).repartition(1), docs.repartition(7)
     got, again = ({r["doc_id"]: r["score"] for r in lm.score(d).collect()} for d in (one, two))
     for i in list(got)[:40]:
         tokens = lm.tokens_of((texts[i] or "").encode())
-        classes = [lm.END] * lm.CONTEXT + [single.get(t, 1 + lm.group_of(t)) for t in tokens] + [lm.END]
+        units = [lm.END] * lm.CONTEXT + [unit.get(t, group_of(t)) for t in tokens] + [lm.END]
         want = 0.0
-        for k in range(lm.CONTEXT, len(classes)):
-            q = sum(m.context[classes[k - lm.CONTEXT + j]].astype(float) * m.scale[j] for j in range(lm.CONTEXT))
-            scores = q @ m.output.T.astype(float) + m.bias
-            want += (scores[classes[k]] - np.log(np.exp(scores).sum())) / math.log(10)
-        want += sum(math.log10((counts.get(t, 0) + 1) / inside[lm.group_of(t)]) for t in tokens if t not in single)
+        for k in range(lm.CONTEXT, len(units)):
+            q = np.append(sum(m.context[units[k - lm.CONTEXT + j]].astype(float) * m.scale[j] for j in range(lm.CONTEXT)), 1)
+            own = units[k] - 1 - groups
+            scores = m.output.astype(float) @ q
+            want += (scores[units[k] if own < 0 else 1 + groups + cluster[own]] - np.log(np.exp(scores).sum())) / math.log(10)
+            if own >= 0:
+                members = [w for w in cluster if cluster[w] == cluster[own]]
+                scores = m.word[members].astype(float) @ q
+                want += (scores[members.index(own)] - np.log(np.exp(scores).sum())) / math.log(10)
+        want += sum(math.log10((counts.get(t, 0) + 1) / inside[group_of(t) - 1]) for t in tokens if t not in unit)
         assert got[i] == pytest.approx(want, rel=1e-4) and got[i] == pytest.approx(again[i], rel=1e-6)
 
 
+def _lm_parts(counts):
+    vocabulary = lm.Vocabulary(counts, len(counts))
+    clusters = np.add.reduceat(vocabulary.count, vocabulary.edge[:-1])
+    noise = lm.Noise(vocabulary, np.concatenate([[50], np.full(vocabulary.groups, 5), clusters]))
+    return vocabulary, noise, lm.start(vocabulary, noise)
+
+
 def test_op2_probabilities_sum_to_one_and_learn():
     rng = np.random.default_rng(0)
-    share = np.full(lm.CLASSES, 1 / lm.CLASSES)
-    m = lm.start(lm.CLASSES, share)
-    squares = [np.zeros(x.shape) for x in m]
-    cycle = rng.integers(1, lm.CLASSES, 5000) // 32 * 32  # four classes
+    vocabulary, noise, m = _lm_parts([(b"w%d" % i, 400 - i) for i in range(300)])
+    squares, met = lm.Model(*[np.zeros_like(x) for x in m]), lm.Model(*[np.zeros(len(x), np.int64) for x in m])
+    cycle = np.resize(1 + vocabulary.groups + np.arange(0, 300, 60), 5000)  # five tokens, each after another
     seen, target = lm.positions(cycle.astype(np.int32))
-    before = lm.log_probabilities(m, seen)[np.arange(len(target)), target].mean()
-    for at in range(0, 200):
+    before = lm.log_probabilities(m, vocabulary, seen, target).mean()
+    for _ in range(200):
         i = rng.integers(0, len(target), 512)
-        m = lm.step(m, seen[i], target[i], rng.integers(0, lm.CLASSES, lm.NOISE), np.log(share), squares)
-    out = lm.log_probabilities(m, seen)
-    assert np.allclose(np.exp(out).sum(1), 1, atol=1e-4) and out[np.arange(len(target)), target].mean() > before + 1
+        lm.step(m, vocabulary, noise, seen[i], target[i], squares, met, rng)
+    assert lm.log_probabilities(m, vocabulary, seen, target).mean() > before + 1
+    every = np.arange(vocabulary.units)
+    for context in seen[:20]:
+        assert np.exp(lm.log_probabilities(m, vocabulary, np.tile(context, (len(every), 1)), every)).sum() == pytest.approx(1, abs=1e-4)
+    never = np.setdiff1d(np.arange(vocabulary.units), [*np.unique(seen)])
+    assert (met.context[never] == 0).all() and (m.context[never] == lm.start(vocabulary, noise).context[never]).all()
+
+
+def test_op2_noise_is_drawn_by_counts_inside_a_cluster():
+    vocabulary, noise, _ = _lm_parts([(b"w%d" % i, 1000 // (i + 1)) for i in range(100)])
+    for c in (0, 3, len(vocabulary.edge) - 2):
+        lo, hi = vocabulary.edge[c : c + 2]
+        drawn = noise.inside(np.full(20_000, c), 1, np.random.default_rng(c)).ravel()
+        assert drawn.min() >= lo and drawn.max() < hi
+        share = vocabulary.count[lo:hi] / vocabulary.count[lo:hi].sum()
+        assert np.allclose(np.bincount(drawn - lo, minlength=hi - lo) / 20_000, share, atol=0.02)
+
+
+def test_op2_vocabulary_grows_with_the_corpus_and_long_tokens_are_joined(spark):
+    def size(times):
+        text = " ".join(f"w{i}" for i in range(1, 400) for _ in range(1 + times * 40 // i))
+        rows = [(i, text) for i in range(3)] + [(100, ("x" * 5000 + " ") * 9)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        counts = lm.token_counts(docs)
+        vocabulary, _, _ = lm.train(docs, counts, counts.agg(F.sum("n")).first()[0])
+        assert all(len(t) <= lm.LONGEST for t in vocabulary.index)
+        return vocabulary.own, {r["doc_id"]: r["n_known"] for r in lm.score(docs).collect()}[100]
+
+    (few, known), (many, _) = size(1), size(60)
+    assert many > few > 0 and known == (0 if zlib.crc32(b"100") % 7 == 2 else 9) + 1
+
+
+def test_op2_slices_hold_every_training_text_once(docs):
+    def held(frame, slices):
+        return sorted((k, r["t"] or "") for k in range(slices) for r in lm.dealt(frame, "doc_id", "text", 3, k, slices).collect())
+
+    four = held(docs, 4)
+    assert four == held(docs.repartition(5), 4) and sorted(t for _, t in four) == sorted(t for _, t in held(docs, 1))
 
 
 def _ppm(samples, order, text):
