@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, shuffles_go
 from .tokens import _vocabulary
 
 NAME, END, PART_BYTES, SLICE, ROWS = "word_bpe_49k.json", 2, 32 << 20, 12 << 20, 2000
@@ -107,7 +107,7 @@ class Encoder:
             self.known.clear()
         found = self._learn(list(set().union(*parts).difference(self.known)))
         self.known.update(found)
-        out = [b"".join([self.known[p] for p in own]) for own in parts]
+        out = [b"".join(map(self.known.__getitem__, own)) for own in parts]
         for p in found:
             if len(p) > LONGEST:
                 del self.known[p]
@@ -177,8 +177,8 @@ def write_tokens(documents: DataFrame, folder: str, doc_id: str = "doc_id", text
     spark = documents.sparkSession
     data = _vocabulary(vocabulary or vocabulary_path())
     width = Encoder(data, by_words).width
-    encoded = _sorted_ids(documents, doc_id, text, spark.sparkContext.broadcast(data), by_words, part_bytes)
-    release(spark)  # nothing holds on to the texts' shuffle now; its files go before as much is written again
+    with shuffles_go(spark):  # the checkpoint holds all there is to know; the texts' shuffle goes before as much is written again
+        encoded = _sorted_ids(documents, doc_id, text, spark.sparkContext.broadcast(data), by_words, part_bytes)
 
     part = F.spark_partition_id().alias("part")
     parts = encoded.groupBy(part).agg(F.sum(F.col("n") + 1).alias("tokens"), F.count("*").alias("docs")).orderBy("part").collect()  # a row a partition
