@@ -175,6 +175,13 @@ def test_op2_vocabulary_grows_with_the_corpus_and_long_tokens_are_joined(spark):
     assert many > few > 0 and known == (0 if zlib.crc32(b"100") % 7 == 2 else 9) + 1
 
 
+def test_op2_without_any_frequent_token_and_without_training_texts(spark):
+    rows = [(i, f"a{i} b{i} c") for i in range(4)] + [(None, None)]
+    for d in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(2, "a b"), (None, "")], "doc_id long, text string")):
+        got = lm.score(d).collect()
+        assert len(got) == d.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
 def test_op2_slices_hold_every_training_text_once(docs):
     def held(frame, slices):
         return sorted((k, r["t"] or "") for k in range(slices) for r in lm.dealt(frame, "doc_id", "text", 3, k, slices).collect())
