@@ -29,6 +29,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -48,6 +49,8 @@ END = 0
 SHARD = 2_000_000
 #: Distinct tokens that one task adds up before it passes them on, and positions that are scored at once.
 HELD_TOKENS, AT_ONCE = 300_000, 16_384
+#: Positions whose class scores are held at once, few enough for a core's cache, and scores that need no shift in float32.
+BLOCK, SAFE = 1024, 60.0
 
 
 class Model(NamedTuple):
@@ -62,11 +65,6 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class _Index(dict):
-    def __missing__(self, token: bytes) -> int:
-        return -1
-
-
 class Vocabulary:
     """The frequent tokens with their counts, most frequent first; the first ``own`` have embeddings.
 
@@ -75,7 +73,7 @@ class Vocabulary:
     """
 
     def __init__(self, frequent: list[tuple[bytes, int]], own: int) -> None:
-        self.index = _Index((t, i) for i, (t, _) in enumerate(frequent))
+        self.index = {t: i for i, (t, _) in enumerate(frequent)}
         self.count = np.array([n for _, n in frequent], np.float64)
         self.own = own
         self.groups = max(8, math.isqrt(own))
@@ -93,10 +91,10 @@ class Vocabulary:
 
     def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Place in the list (-1: not in it) and unit of each token."""
-        at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        at = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
         units = self.unit[at] if len(self.unit) else np.zeros(len(at), np.int32)
-        for i in np.flatnonzero(at < 0).tolist():
-            units[i] = self.rare(tokens[i])
+        rare = np.flatnonzero(at < 0)
+        units[rare] = [1 + zlib.crc32(tokens[i][-2:]) % self.groups for i in rare.tolist()]
         return at, units
 
 
@@ -106,6 +104,7 @@ class Noise:
     def __init__(self, vocabulary: Vocabulary, frequency: np.ndarray) -> None:
         own = vocabulary.count[: vocabulary.own]
         self.share = frequency / frequency.sum()
+        self.upto_class = np.cumsum(self.share)
         self.log_class = np.log(self.share).astype(np.float32)
         self.upto = np.concatenate([[0.0], np.cumsum(own)])
         self.size = np.diff(vocabulary.edge)
@@ -130,21 +129,29 @@ def start(vocabulary: Vocabulary, noise: Noise, seed: int = 1) -> Model:
 def _climb(x: np.ndarray, square: np.ndarray, met: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
     """Adds up the gradients of each row and moves only those rows; Adagrad: each parameter has its own pace."""
     order = np.argsort(ids.astype(np.uint16) if len(x) <= 1 << 16 else ids, kind="stable")  # short integers are sorted by radix
-    ids = ids[order]
-    first = np.flatnonzero(np.diff(ids, prepend=-1))
-    own, g = ids[first], np.add.reduceat(rows[order], first, axis=0)
-    met[own] += np.diff(first, append=len(ids))
-    square[own] += g * g
-    x[own] += rate * g / (np.sqrt(square[own]) + 1e-6)
-
-
-def summed(m: Model, seen: np.ndarray) -> np.ndarray:
-    """The context's vector of each row of units, and a 1 for the bias."""
+    ids = ids.take(order)
+    new = np.ones(len(ids) + 1, bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:-1])
+    edges = np.flatnonzero(new)
+    own, g = ids.take(edges[:-1]), np.add.reduceat(rows.take(order, axis=0), edges[:-1], axis=0)
+    met[own] += edges[1:] - edges[:-1]
+    paced = square.take(own, axis=0)
+    paced += g * g
+    square[own] = paced
+    x[own] += rate * g / (np.sqrt(paced) + 1e-6)
+
+
+def scales(m: Model) -> np.ndarray:
+    """(CONTEXT * WIDTH, WIDTH): each position's scale on a diagonal, so that scaling and adding up are one product."""
+    return (m.scale[:, :, None] * np.eye(WIDTH, dtype=np.float32)).reshape(-1, WIDTH)
+
+
+def summed(m: Model, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context's vector of each row of units, with a 1 for the bias; and the embeddings that it was made of."""
+    met = m.context.take(seen.ravel(), axis=0).reshape(len(seen), -1)
     q = np.ones((len(seen), WIDTH + 1), np.float32)
-    q[:, :WIDTH] = m.context[seen[:, 0]] * m.scale[0]
-    for j in range(1, CONTEXT):
-        q[:, :WIDTH] += m.context[seen[:, j]] * m.scale[j]
-    return q
+    q[:, :WIDTH] = met @ scales(m)
+    return q, met
 
 
 def step(m: Model, vocabulary: Vocabulary, noise: Noise, seen: np.ndarray, target: np.ndarray, squares: Model, met: Model, rng: np.random.Generator, rate: float = RATE) -> None:
@@ -154,11 +161,13 @@ def step(m: Model, vocabulary: Vocabulary, noise: Noise, seen: np.ndarray, targe
     Each example weighs its k noises against its one true class or token by the odds of the model's unnormalised score
     to k times the noise probability.
     """
-    q, classes = summed(m, seen), vocabulary.class_of[target]
-    drawn = np.searchsorted(np.cumsum(noise.share), rng.random(NOISE)).clip(max=len(noise.share) - 1)
-    up = 1 / (1 + np.exp((q * m.output[classes]).sum(1) - noise.log_class[classes] - np.float32(math.log(NOISE))))  # 1 - P(data)
-    down = 1 / (1 + np.exp(noise.log_class[drawn] + np.float32(math.log(NOISE)) - q @ m.output[drawn].T))  # P(data) of noise
-    grad = up[:, None] * m.output[classes] - down @ m.output[drawn]
+    (q, embedded), classes = summed(m, seen), vocabulary.class_of.take(target)
+    drawn = np.searchsorted(noise.upto_class, rng.random(NOISE)).clip(max=len(noise.share) - 1)
+    own, other = m.output.take(classes, axis=0), m.output[drawn]
+    up = 1 / (1 + np.exp(np.einsum("nd,nd->n", q, own) - noise.log_class.take(classes) - np.float32(math.log(NOISE))))  # 1 - P(data)
+    down = 1 / (1 + np.exp(noise.log_class[drawn] + np.float32(math.log(NOISE)) - q @ other.T))  # P(data) of noise
+    own *= up[:, None]
+    grad = np.subtract(own, down @ other, out=own)
     ids, rows = np.concatenate([classes, drawn]), np.concatenate([up[:, None] * q, -(down.T @ q)])
 
     token = target - 1 - vocabulary.groups
@@ -167,17 +176,19 @@ def step(m: Model, vocabulary: Vocabulary, noise: Noise, seen: np.ndarray, targe
     at, cluster = at[noise.size[cluster] > 1], cluster[noise.size[cluster] > 1]
     inner = None
     if len(at):
-        token, q_in = token[at], q[at]
+        token, q_in = token[at], q.take(at, axis=0)
         others = noise.inside(cluster, INNER, rng)
-        true, false = m.word[token], m.word[others]
-        up = 1 / (1 + np.exp((q_in * true).sum(1) - noise.log_word[token] - np.float32(math.log(INNER))))
+        true, false = m.word.take(token, axis=0), m.word.take(others.ravel(), axis=0).reshape(len(at), INNER, -1)
+        up = 1 / (1 + np.exp(np.einsum("nd,nd->n", q_in, true) - noise.log_word[token] - np.float32(math.log(INNER))))
         down = 1 / (1 + np.exp(noise.log_word[others] + np.float32(math.log(INNER)) - np.einsum("nkd,nd->nk", false, q_in)))
-        grad[at] += up[:, None] * true - np.einsum("nk,nkd->nd", down, false)
+        true *= up[:, None]
+        false *= down[:, :, None]
+        grad[at] += true - false.sum(1)
         inner = np.concatenate([token, others.ravel()]), np.concatenate([up[:, None] * q_in, (-down[:, :, None] * q_in[:, None]).reshape(-1, WIDTH + 1)])
 
-    grad = grad[:, :WIDTH]
-    scale = np.stack([(grad * m.context[seen[:, j]]).sum(0) for j in range(CONTEXT)])
-    context = seen.ravel(), (grad[:, None] * m.scale).reshape(-1, WIDTH)
+    grad = np.ascontiguousarray(grad[:, :WIDTH])
+    scale = (grad.T @ embedded).reshape(WIDTH, CONTEXT, WIDTH).diagonal(axis1=0, axis2=2)
+    context = seen.ravel(), (grad @ scales(m).T).reshape(-1, WIDTH)
     _climb(m.output, squares.output, met.output, ids, rows, rate)
     _climb(m.context, squares.context, met.context, *context, rate)
     _climb(m.scale, squares.scale, met.scale, np.arange(CONTEXT), scale, rate)
@@ -193,27 +204,35 @@ def positions(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The normalised log share of column ``at`` of each row."""
-    top = scores.max(1)
-    own = scores[np.arange(len(at)), at] - top
-    scores -= top[:, None]
-    np.exp(scores, out=scores)
-    return own - np.log(scores.sum(1))
+    """The normalised log share of column ``at`` of each row. ``scores`` are overwritten.
+
+    Rows are taken as they are; those whose sum leaves the range where float32 is exact enough are shifted by their largest score.
+    """
+    own = scores[np.arange(len(at)), at]
+    kept = scores.copy() if np.abs(scores).max(initial=0) > SAFE else None
+    with np.errstate(over="ignore"):
+        sums = np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)
+    out = own - np.log(sums, where=sums > 0, out=np.zeros_like(sums))
+    if kept is not None:
+        far = np.flatnonzero(np.abs(kept).max(1) > SAFE)
+        top = kept[far].max(1)
+        out[far] = own[far] - top - np.log(np.exp(kept[far] - top[:, None]).sum(1))
+    return out
 
 
 def log_probabilities(m: Model, vocabulary: Vocabulary, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Normalised natural log probability of each target unit after what was seen."""
     out = np.empty(len(target), np.float64)
     for lo in range(0, len(target), AT_ONCE):
-        q, unit = summed(m, seen[lo : lo + AT_ONCE]), target[lo : lo + AT_ONCE]
+        q, unit = summed(m, seen[lo : lo + AT_ONCE])[0], target[lo : lo + AT_ONCE]
         classes = vocabulary.class_of[unit]
-        found = _log_share(q @ m.output.T, classes).astype(np.float64)
+        found = np.concatenate([_log_share(q[i : i + BLOCK] @ m.output.T, classes[i : i + BLOCK]) for i in range(0, len(q), BLOCK)]).astype(np.float64)
         order = np.argsort(classes, kind="stable")
         first = np.searchsorted(classes[order], 1 + vocabulary.groups + np.arange(len(vocabulary.edge)))
         for c in np.flatnonzero(np.diff(first)).tolist():
             a, b = vocabulary.edge[c : c + 2]
             own = order[first[c] : first[c + 1]]
-            found[own] += _log_share(q[own] @ m.word[a:b].T, unit[own] - 1 - vocabulary.groups - a)
+            found[own] += _log_share(q.take(own, axis=0) @ m.word[a:b].T, unit[own] - 1 - vocabulary.groups - a)
         out[lo : lo + AT_ONCE] = found
     return out
 
@@ -250,7 +269,7 @@ def _trained(shared):
             order = rng.permutation(len(t))
             for at in range(0, len(t), BATCH):
                 own = order[at : at + BATCH]
-                step(model, vocabulary, noise, s[own], t[own], squares, met, rng)
+                step(model, vocabulary, noise, s.take(own, axis=0), t.take(own), squares, met, rng)
             seen, target, waiting = [], [], 0
 
         for batch in batches:
