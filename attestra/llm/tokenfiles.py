@@ -17,6 +17,7 @@ and names are written without a shuffle. A partition takes about ``part_bytes``
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -60,6 +61,11 @@ class Encoder:
         self.normal = normalizer.normalize_str if normalizer else str
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lowers = self.normal(ascii_uppercase) == ascii_lowercase
+        # what these normalizers make of ASCII without A-Z, with single blanks between parts, is the same text
+        steps = json.loads(data).get("normalizer")
+        steps = steps.get("normalizers", [steps]) if steps else []
+        plain = lambda x: x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        self.keeps_ascii = self.lowers and all(map(plain, steps))
         self.bare = Tokenizer.from_buffer(data)
         self.bare.normalizer = Sequence([])
         vocabulary = self.tokenizer.get_vocab()
@@ -77,8 +83,9 @@ class Encoder:
     def _together(self, some: list[bytes]) -> list[bytes]:
         """The ids of each part, encoded as one text with a blank between them and dealt by the bytes that ids stand for;
         where these do not add up to the parts' own, each part is encoded alone."""
-        text = b" ".join(some).decode(errors="replace")
-        normal = self.normal(text)
+        raw = b" ".join(some)
+        text = raw.decode(errors="replace")
+        normal = text if self.keeps_ascii and raw.isascii() and raw == raw.lower() else self.normal(text)
         if all(normal.count(a) == text.count(a) for a in self.added):
             ids = self.bare.encode_batch_fast([normal], add_special_tokens=False)[0].ids
             raw, ends = self._bytes(ids), np.cumsum(self.lengths[ids])
@@ -92,7 +99,7 @@ class Encoder:
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         low = b" ".join(new).lower() if self.lowers else b""
         same = low.split(b" ") if low and not any(a.encode() in low for a in self.added) else new
-        parts, ids = list(set(same)), {}
+        parts, ids = sorted(set(same), key=bytes.isascii), {}  # those past ASCII together, so that the others need no normalizer
         for at in range(0, len(parts), TOGETHER):
             some = parts[at : at + TOGETHER]
             ids.update(zip(some, self._together(some), strict=True))
