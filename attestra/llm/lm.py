@@ -27,13 +27,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,11 +43,13 @@ from .langid import held_out
 CONTEXT, WIDTH, OFTEN, LEAST = 4, 16, 8, 5
 FREQUENT, LONGEST, NOISE, INNER, BATCH, RATE, ROUNDS = 150_000, 64, 32, 1, 2048, 0.1, 4
 FOLDS, HELD = 7, 2
-END = 0
+END, BLANK = 0, 0x20
 #: Training tokens of a shard, at least.
 SHARD = 2_000_000
 #: Distinct tokens that one task adds up before it passes them on, and positions that are scored at once.
 HELD_TOKENS, AT_ONCE = 300_000, 16_384
+#: Bytes of text that are split at once.
+PIECE = 4 << 20
 #: Positions whose class scores are held at once, few enough for a core's cache, and scores that need no shift in float32.
 BLOCK, SAFE = 1024, 60.0
 
@@ -65,6 +66,21 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """``tokens_of`` all texts of a column, in stretches of about PIECE bytes: the first text, the tokens one text after another,
+    and how many each text has. Arrow's functions for ASCII look at bytes alone and take the same blanks."""
+    texts = column.cast(pa.binary())
+    upto = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64)) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)] if len(texts) else []
+    for at, end in zip(cuts, cuts[1:], strict=False):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts[at:end].view(pa.string())))
+        tokens = parts.flatten().view(pa.binary())
+        some = np.asarray(pc.binary_length(tokens)) > 0  # beside a blank at either end there is an empty part
+        ends = np.cumsum(np.asarray(pc.list_value_length(parts).fill_null(0)), dtype=np.int64)
+        lengths = np.diff(np.append(0, np.cumsum(some, dtype=np.int64))[ends], prepend=0)
+        yield at, tokens if some.all() else tokens.filter(pa.array(some)), lengths
+
+
 class Vocabulary:
     """The frequent tokens with their counts, most frequent first; the first ``own`` have embeddings.
 
@@ -73,7 +89,7 @@ class Vocabulary:
     """
 
     def __init__(self, frequent: list[tuple[bytes, int]], own: int) -> None:
-        self.index = {t: i for i, (t, _) in enumerate(frequent)}
+        self.listed = pa.array([t for t, _ in frequent], pa.binary())
         self.count = np.array([n for _, n in frequent], np.float64)
         self.own = own
         self.groups = max(8, math.isqrt(own))
@@ -84,18 +100,28 @@ class Vocabulary:
         self.classes = self.groups + len(self.edge)
         self.units = 1 + self.groups + own
         self.class_of = np.concatenate([np.arange(1 + self.groups), 1 + self.groups + clusters]).astype(np.int32)
-        self.unit = np.array([1 + self.groups + i if i < own else self.rare(t) for i, (t, _) in enumerate(frequent)], np.int32)
+        self.unit = np.array([1 + self.groups + i if i < own else self.rare(t) for i, (t, _) in enumerate(frequent)] + [END], np.int32)
+        # the group by the last two bytes; a token has no blank, so one before the last byte says that there is no other
+        self.tail = np.array([self.rare(bytes([k >> 8, k & 255])[k >> 8 == BLANK :]) for k in range(1 << 16)], np.int32)
+
+    @property
+    def index(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.listed.to_pylist())}
 
     def rare(self, token: bytes) -> int:
         return 1 + zlib.crc32(token[-2:]) % self.groups
 
-    def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the list (-1: not in it) and unit of each token."""
-        at = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
-        units = self.unit[at] if len(self.unit) else np.zeros(len(at), np.int32)
-        rare = np.flatnonzero(at < 0)
-        units[rare] = [1 + zlib.crc32(tokens[i][-2:]) % self.groups for i in rare.tolist()]
-        return at, units
+    def read(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Place in the list (-1: not in it) and unit of each token, and the tokens that are not in it."""
+        at = np.asarray(pc.index_in(tokens, value_set=self.listed).fill_null(-1))
+        units, rare = self.unit.take(at, mode="wrap"), np.flatnonzero(at < 0)
+        others = tokens.take(pa.array(rare))
+        if len(others):
+            _, upto, text = others.buffers()
+            upto, text = np.frombuffer(upto, np.int32)[others.offset :][: len(others) + 1], np.frombuffer(text, np.uint8)
+            before = np.where(np.diff(upto) > 1, text.take(upto[1:] - 2, mode="wrap"), BLANK)
+            units[rare] = self.tail.take(before.astype(np.int32) << 8 | text.take(upto[1:] - 1))
+        return at, units, others
 
 
 class Noise:
@@ -127,18 +153,24 @@ def start(vocabulary: Vocabulary, noise: Noise, seed: int = 1) -> Model:
 
 
 def _climb(x: np.ndarray, square: np.ndarray, met: np.ndarray, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
-    """Adds up the gradients of each row and moves only those rows; Adagrad: each parameter has its own pace."""
+    """Adds up the gradients of each row and moves only those rows; Adagrad: each parameter has its own pace.
+    ``rows`` have an even number of columns, of which x may lack the last: two are added up at a time, as a complex number."""
     order = np.argsort(ids.astype(np.uint16) if len(x) <= 1 << 16 else ids, kind="stable")  # short integers are sorted by radix
     ids = ids.take(order)
     new = np.ones(len(ids) + 1, bool)
     np.not_equal(ids[1:], ids[:-1], out=new[1:-1])
     edges = np.flatnonzero(new)
-    own, g = ids.take(edges[:-1]), np.add.reduceat(rows.take(order, axis=0), edges[:-1], axis=0)
+    own, g = ids.take(edges[:-1]), np.add.reduceat(rows.view(np.complex64).take(order, axis=0), edges[:-1], axis=0).view(np.float32)[:, : x.shape[1]]
     met[own] += edges[1:] - edges[:-1]
-    paced = square.take(own, axis=0)
-    paced += g * g
+    paced = g * g
+    paced += square.take(own, axis=0)
     square[own] = paced
-    x[own] += rate * g / (np.sqrt(paced) + 1e-6)
+    np.sqrt(paced, out=paced)
+    paced += 1e-6
+    np.divide(g, paced, out=paced)
+    paced *= rate
+    paced += x.take(own, axis=0)
+    x[own] = paced
 
 
 def scales(m: Model) -> np.ndarray:
@@ -146,14 +178,23 @@ def scales(m: Model) -> np.ndarray:
     return (m.scale[:, :, None] * np.eye(WIDTH, dtype=np.float32)).reshape(-1, WIDTH)
 
 
-def summed(m: Model, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context's vector of each row of units, with a 1 for the bias; and the embeddings that it was made of."""
+def summed(m: Model, seen: np.ndarray, scaled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The context's vector of each row of units, with a 1 for the bias; and the embeddings that it was made of.
+    ``scaled``: the model's ``scales``, if they are at hand."""
     met = m.context.take(seen.ravel(), axis=0).reshape(len(seen), -1)
     q = np.ones((len(seen), WIDTH + 1), np.float32)
-    q[:, :WIDTH] = met @ scales(m)
+    q[:, :WIDTH] = met @ (scales(m) if scaled is None else scaled)
     return q, met
 
 
+def _odds(scores: np.ndarray, noise: np.ndarray, k: int) -> np.ndarray:
+    """1 / (1 + k * noise / exp(score)), with the logarithms of noise; in place of the scores."""
+    np.subtract(noise + np.float32(math.log(k)), scores, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
+
+
 def step(m: Model, vocabulary: Vocabulary, noise: Noise, seen: np.ndarray, target: np.ndarray, squares: Model, met: Model, rng: np.random.Generator, rate: float = RATE) -> None:
     """One ascent step on a batch, in place: data against noise classes that the batch shares, and against noise tokens
     of each target's own cluster.
@@ -161,98 +202,119 @@ def step(m: Model, vocabulary: Vocabulary, noise: Noise, seen: np.ndarray, targe
     Each example weighs its k noises against its one true class or token by the odds of the model's unnormalised score
     to k times the noise probability.
     """
-    (q, embedded), classes = summed(m, seen), vocabulary.class_of.take(target)
+    scaled, n, width = scales(m), len(target), WIDTH + 1
+    (q, embedded), classes = summed(m, seen, scaled), vocabulary.class_of.take(target)
     drawn = np.searchsorted(noise.upto_class, rng.random(NOISE)).clip(max=len(noise.share) - 1)
     own, other = m.output.take(classes, axis=0), m.output[drawn]
-    up = 1 / (1 + np.exp(np.einsum("nd,nd->n", q, own) - noise.log_class.take(classes) - np.float32(math.log(NOISE))))  # 1 - P(data)
-    down = 1 / (1 + np.exp(noise.log_class[drawn] + np.float32(math.log(NOISE)) - q @ other.T))  # P(data) of noise
+    up = 1 - _odds(np.einsum("nd,nd->n", q, own), noise.log_class.take(classes), NOISE)  # 1 - P(data)
+    down = _odds(q @ other.T, noise.log_class[drawn], NOISE)  # P(data) of noise
     own *= up[:, None]
     grad = np.subtract(own, down @ other, out=own)
-    ids, rows = np.concatenate([classes, drawn]), np.concatenate([up[:, None] * q, -(down.T @ q)])
+    ids, rows = np.concatenate([classes, drawn]), np.zeros((n + NOISE, width + width % 2), np.float32)
+    np.multiply(q, up[:, None], out=rows[:n, :width])
+    np.negative(down.T @ q, out=rows[n:, :width])
 
     token = target - 1 - vocabulary.groups
     at = np.flatnonzero(token >= 0)
-    cluster = classes[at] - 1 - vocabulary.groups
-    at, cluster = at[noise.size[cluster] > 1], cluster[noise.size[cluster] > 1]
+    cluster = classes.take(at) - 1 - vocabulary.groups
+    several = noise.size.take(cluster) > 1
+    at, cluster = at[several], cluster[several]
     inner = None
     if len(at):
-        token, q_in = token[at], q.take(at, axis=0)
+        token, q_in = token.take(at), q.take(at, axis=0)
         others = noise.inside(cluster, INNER, rng)
         true, false = m.word.take(token, axis=0), m.word.take(others.ravel(), axis=0).reshape(len(at), INNER, -1)
-        up = 1 / (1 + np.exp(np.einsum("nd,nd->n", q_in, true) - noise.log_word[token] - np.float32(math.log(INNER))))
-        down = 1 / (1 + np.exp(noise.log_word[others] + np.float32(math.log(INNER)) - np.einsum("nkd,nd->nk", false, q_in)))
+        up = 1 - _odds(np.einsum("nd,nd->n", q_in, true), noise.log_word.take(token), INNER)
+        down = _odds(np.einsum("nkd,nd->nk", false, q_in), noise.log_word.take(others), INNER)
         true *= up[:, None]
         false *= down[:, :, None]
-        grad[at] += true - false.sum(1)
-        inner = np.concatenate([token, others.ravel()]), np.concatenate([up[:, None] * q_in, (-down[:, :, None] * q_in[:, None]).reshape(-1, WIDTH + 1)])
+        true -= false.sum(1) if INNER > 1 else false[:, 0]
+        grad[at] += true
+        moved = np.zeros((len(at) * (1 + INNER), width + width % 2), np.float32)
+        np.multiply(q_in, up[:, None], out=moved[: len(at), :width])
+        np.multiply(q_in[:, None], -down[:, :, None], out=moved[len(at) :].reshape(len(at), INNER, -1)[:, :, :width])
+        inner = np.concatenate([token, others.ravel()]), moved
 
     grad = np.ascontiguousarray(grad[:, :WIDTH])
     scale = (grad.T @ embedded).reshape(WIDTH, CONTEXT, WIDTH).diagonal(axis1=0, axis2=2)
-    context = seen.ravel(), (grad @ scales(m).T).reshape(-1, WIDTH)
     _climb(m.output, squares.output, met.output, ids, rows, rate)
-    _climb(m.context, squares.context, met.context, *context, rate)
-    _climb(m.scale, squares.scale, met.scale, np.arange(CONTEXT), scale, rate)
+    _climb(m.context, squares.context, met.context, seen.ravel(), (grad @ scaled.T).reshape(-1, WIDTH), rate)
+    _climb(m.scale, squares.scale, met.scale, np.arange(CONTEXT), np.ascontiguousarray(scale), rate)
     if inner:
         _climb(m.word, squares.word, met.word, *inner, rate)
 
 
-def positions(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and targets of a text's units, with the end as last target and before the first token."""
-    target = np.append(units, END)
-    padded = np.concatenate([np.full(CONTEXT, END, np.int32), units])
-    return np.stack([padded[i : len(padded) - CONTEXT + 1 + i] for i in range(CONTEXT)], 1), target
+def positions(units: np.ndarray, lengths: np.ndarray | list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and targets of a text's units, with the end as last target and before the first token. With ``lengths``,
+    of as many texts whose units stand one after another."""
+    n = np.array([len(units)] if lengths is None else lengths, np.int64)
+    text = np.arange(len(n))
+    padded = np.full(len(units) + CONTEXT * (len(n) + 1), END, np.int32)  # as many ends before each text and after the last
+    padded[np.arange(len(units)) + np.repeat(CONTEXT * (1 + text), n)] = units
+    at = np.arange(len(units) + len(n)) + np.repeat(CONTEXT + (CONTEXT - 1) * text, n + 1)
+    seen = np.empty((len(at), CONTEXT), np.int32)
+    for i in range(CONTEXT):
+        seen[:, i] = padded.take(at - (CONTEXT - i))
+    return seen, padded.take(at)
 
 
-def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The normalised log share of column ``at`` of each row. ``scores`` are overwritten.
+def _log_share(scores: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """The normalised log share of column ``at`` of each row. ``room``: an array of the shape of ``scores`` to work in.
 
     Rows are taken as they are; those whose sum leaves the range where float32 is exact enough are shifted by their largest score.
     """
     own = scores[np.arange(len(at)), at]
-    kept = scores.copy() if np.abs(scores).max(initial=0) > SAFE else None
-    with np.errstate(over="ignore"):
-        sums = np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)
-    out = own - np.log(sums, where=sums > 0, out=np.zeros_like(sums))
-    if kept is not None:
-        far = np.flatnonzero(np.abs(kept).max(1) > SAFE)
-        top = kept[far].max(1)
-        out[far] = own[far] - top - np.log(np.exp(kept[far] - top[:, None]).sum(1))
+    with np.errstate(over="ignore", divide="ignore"):
+        sums = np.exp(scores, out=room) @ np.ones(scores.shape[1], np.float32)
+        out = own - np.log(sums)
+    far = np.flatnonzero(~((sums > math.exp(-SAFE)) & (sums < math.exp(SAFE))))
+    if len(far):
+        top = scores[far].max(1)
+        out[far] = own[far] - top - np.log(np.exp(scores[far] - top[:, None]).sum(1))
     return out
 
 
 def log_probabilities(m: Model, vocabulary: Vocabulary, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Normalised natural log probability of each target unit after what was seen."""
-    out = np.empty(len(target), np.float64)
+    out, scaled, room = np.empty(len(target), np.float64), scales(m), np.empty((2, BLOCK, len(m.output)), np.float32)
     for lo in range(0, len(target), AT_ONCE):
-        q, unit = summed(m, seen[lo : lo + AT_ONCE])[0], target[lo : lo + AT_ONCE]
-        classes = vocabulary.class_of[unit]
-        found = np.concatenate([_log_share(q[i : i + BLOCK] @ m.output.T, classes[i : i + BLOCK]) for i in range(0, len(q), BLOCK)]).astype(np.float64)
-        order = np.argsort(classes, kind="stable")
-        first = np.searchsorted(classes[order], 1 + vocabulary.groups + np.arange(len(vocabulary.edge)))
+        unit = target[lo : lo + AT_ONCE]
+        q, found, classes = np.empty((len(unit), WIDTH + 1), np.float32), out[lo : lo + AT_ONCE], vocabulary.class_of.take(unit)
+        for i in range(0, len(unit), BLOCK):
+            own = summed(m, seen[lo + i : min(lo + i + BLOCK, lo + len(unit))], scaled)[0]
+            q[i : i + BLOCK] = own
+            found[i : i + BLOCK] = _log_share(np.matmul(own, m.output.T, out=room[0, : len(own)]), classes[i : i + BLOCK], room[1, : len(own)])
+        order = np.argsort(classes.astype(np.uint16) if len(m.output) <= 1 << 16 else classes, kind="stable")
+        first = np.searchsorted(classes.take(order), 1 + vocabulary.groups + np.arange(len(vocabulary.edge)))
+        order, first = order[first[0] :], first - first[0]  # those in clusters, one cluster after another
+        q, place, shares = q.take(order, axis=0), unit.take(order) - 1 - vocabulary.groups, np.empty(len(order))
         for c in np.flatnonzero(np.diff(first)).tolist():
-            a, b = vocabulary.edge[c : c + 2]
-            own = order[first[c] : first[c + 1]]
-            found[own] += _log_share(q.take(own, axis=0) @ m.word[a:b].T, unit[own] - 1 - vocabulary.groups - a)
-        out[lo : lo + AT_ONCE] = found
+            (a, b), (i, j) = vocabulary.edge[c : c + 2], first[c : c + 2]
+            shares[i:j] = _log_share(q[i:j] @ m.word[a:b].T, place[i:j] - a)
+        found[order] += shares
     return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts of this partition, and its number of texts as the count of the empty token."""
-    found: Counter = Counter()
+    found, rows, texts = [], 0, 0
 
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
-        found.clear()
-        return batch
+    def summed_up() -> pa.Table:
+        return pa.concat_tables(found).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            found.update(tokens_of(text))
-            found[b""] += 1
-            if len(found) > HELD_TOKENS:
-                yield out()
-    yield out()
+        texts += len(batch)
+        for _, tokens, _ in pieces(batch.column(0)):
+            found.append(pa.table(tokens.value_counts().flatten(), ["token", "n"]))
+            rows += len(found[-1])
+            if rows > 2 * HELD_TOKENS:
+                found = [summed_up()]
+                rows = len(found[0])
+                if rows > HELD_TOKENS:
+                    yield from found.pop().to_batches()
+                    rows = 0
+    found.append(pa.table({"token": pa.array([b""]), "n": pa.array([texts], pa.int64())}))
+    yield from summed_up().to_batches()
 
 
 def _trained(shared):
@@ -261,25 +323,24 @@ def _trained(shared):
         model, squares = Model(*[x.copy() for x in model]), Model(*[x.copy() for x in squares])
         met = Model(*[np.zeros(len(x), np.int64) for x in model])
         rng = np.random.default_rng(7)
-        seen, target, waiting = [], [], 0
+        units, waiting = [], 0
 
         def learn() -> None:
-            nonlocal seen, target, waiting
-            s, t = np.concatenate(seen), np.concatenate(target)
+            nonlocal units, waiting
+            s, t = positions(np.concatenate(units), list(map(len, units)))
             order = rng.permutation(len(t))
             for at in range(0, len(t), BATCH):
                 own = order[at : at + BATCH]
                 step(model, vocabulary, noise, s.take(own, axis=0), t.take(own), squares, met, rng)
-            seen, target, waiting = [], [], 0
+            units, waiting = [], 0
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                s, t = positions(vocabulary.read(tokens_of(text))[1])
-                seen.append(s)
-                target.append(t)
-                waiting += len(t)
-                if waiting > 64 * BATCH:
-                    learn()
+            for _, tokens, lengths in pieces(batch.column(0)):
+                for own in np.split(vocabulary.read(tokens)[1], np.cumsum(lengths)[:-1]):
+                    units.append(own)
+                    waiting += len(own) + 1
+                    if waiting > 64 * BATCH:
+                        learn()
         if waiting:
             learn()
         for part, (x, square, times) in enumerate(zip(model, squares, met, strict=True)):
@@ -301,47 +362,41 @@ PARAMETERS = [f"v{i}" for i in range(2 * WIDTH + 2)]
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, model, groups = shared.value
-        known = np.log10(vocabulary.count + 1)
+        # by place; the last one, at -1, is nothing
+        known = np.append(np.log10(vocabulary.count + 1), 0.0)
         inside = np.where(np.arange(len(known)) < vocabulary.own, 0.0, known)
         below = np.zeros(vocabulary.units)
         below[1 : 1 + vocabulary.groups] = np.log10(groups)
         serial = TaskContext.get().partitionId() << 40
 
-        def scores(texts: list[tuple]) -> list[tuple]:
-            seen, target = (np.concatenate(x) for x in zip(*[positions(units) for _, _, _, units in texts], strict=True))
-            each = log_probabilities(model, vocabulary, seen, target) / math.log(10) - below[target]
-            sums = np.add.reduceat(each, np.cumsum([0, *[len(units) + 1 for _, _, _, units in texts[:-1]]]))
-            rows = []
-            for (doc, tokens, at, _), own in zip(texts, sums.tolist(), strict=True):
-                nonlocal serial
-                frequent = at[at >= 0]
-                # the document itself, under a token that no text has, then each of its rarer tokens
-                rows.append((serial, doc, b" %d" % serial, 1, len(tokens) + 1, len(frequent), known[frequent].sum(), own + inside[frequent].sum()))
-                rows += [(serial, None, t, n, 0, 0, 0.0, 0.0) for t, n in Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist()).items()]
-                serial += 1
-            return rows
-
         for batch in batches:
-            kind, waiting, held = batch.schema.field(0).type, [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                tokens = tokens_of(text)
-                waiting.append((doc, tokens, *vocabulary.read(tokens)))
-                held += len(tokens) + 1
-                if held > AT_ONCE:
-                    yield _batch(scores(waiting), kind)
-                    waiting, held = [], 0
-            if waiting:
-                yield _batch(scores(waiting), kind)
+            for first, tokens, lengths in pieces(batch.column(1)):
+                docs, texts = batch.column(0)[first : first + len(lengths)], np.arange(len(lengths))
+                places, units, others = vocabulary.read(tokens)
+                text = np.repeat(texts, lengths)
+                at = np.full(len(tokens) + len(docs), -1)
+                at[np.arange(len(tokens)) + text] = places
+                seen, target = positions(units, lengths)
+                each = log_probabilities(model, vocabulary, seen, target) / math.log(10) - below.take(target) + inside[at]
+                starts = np.cumsum(lengths + 1) - lengths - 1
+                # a row for each document, under a token that no text has, then one for each of its rarer tokens
+                rare = others.dictionary_encode()
+                kinds = max(1, len(rare.dictionary))
+                pairs, times = np.unique(text[places < 0] * kinds + np.asarray(rare.indices), return_counts=True)
+                columns = [
+                    serial + np.concatenate([texts, pairs // kinds]),
+                    pa.concat_arrays([docs, pa.nulls(len(pairs), docs.type)]),
+                    pa.concat_arrays([pa.array([b" %d" % r for r in (serial + texts).tolist()], pa.binary()), rare.dictionary.take(pa.array(pairs % kinds))]),
+                    np.concatenate([np.ones(len(docs), np.int64), times]),
+                ]
+                for sums in (lengths + 1, np.add.reduceat((at >= 0).astype(np.int64), starts), np.add.reduceat(known[at], starts), np.add.reduceat(each, starts)):
+                    columns.append(np.concatenate([sums, np.zeros(len(pairs), sums.dtype)]))
+                serial += len(docs)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "id", "token", "n", "tokens", "known", "base", "score"])
 
     return run
 
 
-def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int64(), id_type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "id", "token", "n", "tokens", "known", "base", "score"])
-
-
 def token_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """(token, n) over all texts; the empty token stands for the end of a text, of which each row has one."""
     return documents.select(F.col(text).alias("t")).mapInArrow(_counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
