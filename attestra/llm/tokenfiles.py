@@ -22,7 +22,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
-from string import ascii_lowercase, ascii_uppercase
+from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits, punctuation
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -37,6 +37,10 @@ from .tokens import _vocabulary
 NAME, END, PART_BYTES, SLICE, ROWS = "word_bpe_49k.json", 2, 32 << 20, 12 << 20, 2000
 #: Cached parts of texts that a Python worker keeps at most, the longest that it keeps, and how many are encoded at once.
 CACHED, LONGEST, TOGETHER = 1_000_000, 64, 20_000
+#: Pre-tokenizers that always cut between an ASCII letter or digit and an ASCII mark other than '.
+APART = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+#: 1 for ASCII letters and digits, 2 for those marks, 0 for all other bytes.
+KINDS = bytes(1 if chr(b) in ascii_letters + digits else 2 if chr(b) in punctuation and chr(b) != "'" else 0 for b in range(256))
 
 
 def vocabulary_path() -> str:
@@ -48,7 +52,8 @@ def vocabulary_path() -> str:
 class Encoder:
     """A tokenizers file. ``by_words`` says that the tokenizer drops blanks and never looks across one; then each
     distinct part between the six ASCII blanks is encoded once and kept, which gives the same ids as whole texts in a fraction
-    of the time. What differs in A-Z only is encoded once if the tokenizer lowers letters itself."""
+    of the time. What differs in A-Z only is encoded once if the tokenizer lowers letters itself, and a word apart from the
+    marks behind it if the tokenizer cuts there."""
 
     def __init__(self, data: bytes, by_words: bool = True) -> None:
         from tokenizers import Tokenizer
@@ -62,17 +67,19 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lowers = self.normal(ascii_uppercase) == ascii_lowercase
         # what these normalizers make of ASCII without A-Z, with single blanks between parts, is the same text
-        steps = json.loads(data).get("normalizer")
+        file = json.loads(data)
+        steps = file.get("normalizer")
         steps = steps.get("normalizers", [steps]) if steps else []
         plain = lambda x: x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
         self.keeps_ascii = self.lowers and all(map(plain, steps))
+        self.marks_apart = self.keeps_ascii and (file.get("pre_tokenizer") or {}).get("pretokenizers") == APART
         self.bare = Tokenizer.from_buffer(data)
         self.bare.normalizer = Sequence([])
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token.removesuffix("</w>"))  # a character of a token stands for a byte
-        self.by_words, self.known = by_words, {}
+        self.by_words, self.known = by_words, {b"": b""}  # beside a blank at either end of a text there is an empty part
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -97,28 +104,54 @@ class Encoder:
         return self._alone(some)
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        low = b" ".join(new).lower() if self.lowers else b""
-        same = low.split(b" ") if low and not any(a.encode() in low for a in self.added) else new
-        parts, ids = sorted(set(same), key=bytes.isascii), {}  # those past ASCII together, so that the others need no normalizer
+        parts, ids = sorted(new, key=bytes.isascii), {}  # those past ASCII together, so that the others need no normalizer
         for at in range(0, len(parts), TOGETHER):
             some = parts[at : at + TOGETHER]
             ids.update(zip(some, self._together(some), strict=True))
-        return dict(zip(new, map(ids.__getitem__, same), strict=True))
+        return ids
+
+    def _simpler(self, texts: pa.Array) -> pa.Array:
+        """Texts of the same ids with fewer distinct parts: lowered, and with a blank between a word and the marks behind it.
+        Added tokens are taken as they stand, so texts of a stretch that holds one are left alone."""
+        low = pc.ascii_lower(texts)
+        _, upto, data = low.buffers()
+        upto = np.frombuffer(upto, np.int32)[low.offset :][: len(low) + 1]
+        raw = data.to_pybytes()[upto[0] : upto[-1]] if data else b""
+        if not self.lowers or any(a.encode() in raw for a in self.added):
+            return texts
+        if not self.marks_apart or len(raw) > 1 << 30:
+            return low
+        kind = np.frombuffer(raw.translate(KINDS), np.uint8)
+        at = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+        upto = upto - upto[0]
+        upto = (upto + np.searchsorted(at, upto)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(low), pa.py_buffer(upto), pa.py_buffer(np.insert(np.frombuffer(raw, np.uint8), at, ord(" "))))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, as bytes, without an end."""
-        if not self.by_words:
-            return self._alone([t or b"" for t in texts])
-        parts = [(t or b"").split() for t in texts]
+        return self.encode_column(pa.array(texts, pa.binary())).to_pylist()
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """``encode`` for a binary column. Arrow splits the texts, lists their distinct parts and joins what these stand for;
+        only distinct parts become Python objects."""
+        texts = texts.fill_null(b"")
+        if not self.by_words or not len(texts):
+            return pa.array(self._alone(texts.to_pylist()), pa.binary())
+        parts = pc.ascii_split_whitespace(self._simpler(texts.view(pa.string())))  # Arrow's functions for ASCII look at bytes alone
+        coded = parts.flatten().view(pa.binary()).dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
         if len(self.known) > CACHED:
-            self.known.clear()
-        found = self._learn(list(set().union(*parts).difference(self.known)))
+            self.known = {b"": b""}
+        ids = list(map(self.known.get, kinds))
+        new = [i for i, x in enumerate(ids) if x is None]
+        found = self._learn([kinds[i] for i in new])
+        for i in new:
+            ids[i] = found[kinds[i]]
         self.known.update(found)
-        out = [b"".join(map(self.known.__getitem__, own)) for own in parts]
         for p in found:
             if len(p) > LONGEST:
                 del self.known[p]
-        return out
+        return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, pa.array(ids, pa.binary()).take(coded.indices)), b"")
 
 
 _loaded: dict[int, Encoder] = {}
@@ -136,9 +169,9 @@ def _encoded(shared, id_: int, by_words: bool):
             upto = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64)) // SLICE
             cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(batch)]
             for at, end in zip(cuts, cuts[1:], strict=False):
-                ids = encoder.encode(texts[at:end].to_pylist())
-                n = pa.array([len(x) // encoder.width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], n, pa.array(ids, pa.binary())], ["name", "n", "ids"])
+                ids = encoder.encode_column(texts[at:end])
+                n = pa.array(np.asarray(pc.binary_length(ids), np.int64) // encoder.width)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], n, ids], ["name", "n", "ids"])
 
     return run
 
