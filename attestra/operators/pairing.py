@@ -13,6 +13,9 @@ find. Walking the rows one by one would be one task; here each round decides eve
 
 Counts by path's end and by base name stand for the files behind them. No request is expanded to the files of a name, so a
 name that every row lists and every folder has makes no square. A round works on what the last one left open.
+
+Both sides of each join grow with rows or files, and Spark takes an exploded side for as small as what it came from: the
+hints keep it from sending such a side through the driver to every task.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ def requests(rows: DataFrame, files: DataFrame) -> DataFrame:
     prefixes = own.where("stem <> ''").select("path", "name", F.explode(F.transform(cuts, lambda i: F.substring("stem", F.lit(1), i))).alias("id"))
     loose = rows.where((F.size("images") == 0) & (F.col("application_id") != "")).groupBy(F.lower("application_id").alias("id")).agg(F.min("row_number").alias("row_number"))
     none = F.lit(None).cast("string")
-    return listed.unionByName(loose.join(prefixes, "id").select("row_number", F.lit(0).alias("ord"), none.alias("listed"), "name", none.alias("want"), "path"))
+    return listed.unionByName(loose.join(prefixes.hint("merge"), "id").select("row_number", F.lit(0).alias("ord"), none.alias("listed"), "name", none.alias("want"), "path"))
 
 
 def _claims(free: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,9 +73,9 @@ def _claims(free: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     them are left alone by all other ends."""
     bare = free.select(F.col("name").alias("want"), F.lit(NEVER).alias("row")).distinct()  # counted for every name
     asked = open_.where("want is not null").select("want", F.col("row_number").alias("row")).unionByName(bare).groupBy("want").agg(F.min("row").alias("row"))
-    ends = free.select("path", F.explode(F.array_distinct("ends")).alias("want")).join(asked, "want")
+    ends = free.select("path", F.explode(F.array_distinct("ends")).alias("want")).join(asked.hint("merge"), "want")
     named = open_.where("want is null").groupBy("path").agg(F.min("row_number").alias("row"))
-    claim = ends.select("path", "want", "row").unionByName(named.join(free.select("path"), "path", "left_semi").select("path", F.lit(None).cast("string").alias("want"), "row"))
+    claim = ends.select("path", "want", "row").unionByName(named.join(free.select("path").hint("merge"), "path", "left_semi").select("path", F.lit(None).cast("string").alias("want"), "row"))
     # a file has as many claims here as its path has folders, and one more
     claims = claim.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row", "want"))).alias("all"))
     first = claims.select("path", F.col("all")[0]["row"].alias("first"))
@@ -86,18 +89,18 @@ def _round(open_: DataFrame, free: DataFrame) -> DataFrame:
     """The open requests with ``file``, what each finds now, ``why`` it finds none, and whether this is ``decided``."""
     first, ends = _claims(free, open_)
     names = ends.select(F.col("want").alias("name"), F.col("n").alias("all"), F.col("one").alias("only"), F.col("safe").alias("safe_name"))
-    listed = open_.where("want is not null").join(ends, "want", "left").join(names, "name", "left")
+    listed = open_.where("want is not null").join(ends.hint("merge"), "want", "left").join(names.hint("merge"), "name", "left")
     n, of_name = F.coalesce("n", F.lit(0)), F.coalesce("all", F.lit(0))
     listed = listed.withColumn("file", F.when(n == 1, F.col("one")).when((n == 0) & (of_name == 1), F.col("only"))).withColumn("why", F.when(F.col("file").isNull(), F.when((n > 1) | (of_name > 1), "ambiguous").otherwise("not found")))
     listed = listed.withColumn("sure", ((n > 1) & (F.col("row_number") < F.col("safe"))) | ((n == 0) & (of_name > 1) & (F.col("row_number") < F.col("safe_name")))).withColumn("by_path", n == 1)
-    named = open_.where("want is null").join(free.select("path"), "path", "left_semi").withColumns({"file": F.col("path"), "why": F.lit(None).cast("string"), "sure": F.lit(False), "by_path": F.lit(True)})
+    named = open_.where("want is null").join(free.select("path").hint("merge"), "path", "left_semi").withColumns({"file": F.col("path"), "why": F.lit(None).cast("string"), "sure": F.lit(False), "by_path": F.lit(True)})
     columns = [*open_.columns, "file", "why", "sure", "by_path"]
-    found = listed.select(columns).unionByName(named.select(columns)).join(first.withColumnRenamed("path", "file"), "file", "left")
+    found = listed.select(columns).unionByName(named.select(columns)).join(first.withColumnRenamed("path", "file").hint("merge"), "file", "left")
     found = _kept(found.withColumn("secure", F.coalesce(F.col("by_path") & (F.col("first") == F.col("row_number")), F.lit(False))).drop("first", "by_path"))
     row = F.col("row_number")
     bounds = found.groupBy("name").agg(F.min(F.when(F.col("file").isNotNull(), row)).alias("taker"), F.min(F.when(F.col("want").isNotNull() & ~F.col("secure") & ~F.col("sure"), row)).alias("unsure"))
     before = F.col("secure") & (row < F.coalesce("unsure", F.lit(NEVER)))
-    return found.join(bounds, "name").withColumn("decided", F.col("sure") | before | (row <= F.coalesce("taker", F.lit(NEVER)))).drop("taker", "unsure", "sure", "secure")
+    return found.join(bounds.hint("merge"), "name").withColumn("decided", F.col("sure") | before | (row <= F.coalesce("taker", F.lit(NEVER)))).drop("taker", "unsure", "sure", "secure")
 
 
 def pair(rows: DataFrame, files: DataFrame) -> Pairing:
@@ -113,7 +116,7 @@ def pair(rows: DataFrame, files: DataFrame) -> Pairing:
         seen = _kept(_round(open_, free))
         done.append(seen.where("decided").select("row_number", "ord", "listed", "file", "why"))
         open_ = seen.where("not decided").select(open_.columns)
-        free = _kept(free.join(done[-1].where("file is not null").select(F.col("file").alias("path")), "path", "left_anti"))
+        free = _kept(free.join(done[-1].where("file is not null").select(F.col("file").alias("path")).hint("merge"), "path", "left_anti"))
     if not done:
         done = [open_.select("row_number", "ord", "listed", F.col("path").alias("file"), F.col("path").alias("why"))]
     all_ = reduce(DataFrame.unionByName, done)
