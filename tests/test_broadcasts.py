@@ -15,6 +15,6 @@ def small_broadcasts(spark):
     spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
-@pytest.mark.parametrize("name", ["batch_pairs"])
+@pytest.mark.parametrize("name", ["batch_pairs", "unpaired_cases"])
 def test_no_table_is_broadcast(spark, small_broadcasts, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 1000
