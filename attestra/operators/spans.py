@@ -38,7 +38,7 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
     placed = grouped.withColumn("row_order", F.array_sort(F.aggregate("by_x", start, place)["out"]))
     order = placed.select("item_id", "image_index", "row", F.posexplode("row_order").alias("in_row", "ln")).select("item_id", "image_index", F.col("ln.line_seq").alias("line_seq"), "row", "in_row")
-    ranked = rows.drop("rank", "fresh", "tol", "row").join(order, ["item_id", "image_index", "line_seq"])
+    ranked = rows.drop("rank", "fresh", "tol", "row").join(order.hint("merge"), ["item_id", "image_index", "line_seq"])
     ranked = ranked.withColumn("ro_pos", F.row_number().over(image.orderBy("row", "in_row")))
     first = F.min("line_seq").over(image)
     return ranked.withColumn("image_pos", first).drop("row", "in_row")
@@ -47,12 +47,12 @@ def reading_order(lines: DataFrame) -> DataFrame:
 def spans(ordered: DataFrame, most: int = MOST_LINES) -> DataFrame:
     """Single lines and joins of up to ``most`` consecutive ones whose centres go down by at most 2.5 median heights.
 
-    Columns: item_id, image_pos, ro_pos, n_lines, text, lines (array of image_index, line_seq, box, text).
+    Columns: item_id, image_pos, ro_pos, n_lines, text, lines (array of image_index, line_seq, text).
     """
     at = Window.partitionBy("item_id", "image_index").orderBy("ro_pos")
     median = F.median("h").over(Window.partitionBy("item_id", "image_index"))
     limit = 2.5 * F.when(median == 0, 1.0).otherwise(median)
-    one = F.struct("image_index", "line_seq", "box", "text")
+    one = F.struct("image_index", "line_seq", "text")
     rows = ordered.withColumn("limit", limit)
     joined = [F.array(one)]
     goes_on = F.lit(True)
@@ -72,12 +72,12 @@ def best_spans(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     asked = wanted.withColumn("want_key", key(F.col("expected")))
     read = candidates.withColumn("read_key", key(F.col("text")))
-    pairs = asked.select("item_id", "want_key").join(read.select("item_id", "read_key"), "item_id").select("want_key", "read_key").distinct()
+    pairs = asked.select("item_id", "want_key").join(read.select("item_id", "read_key").hint("merge"), "item_id").select("want_key", "read_key").distinct()
     scored = pairs.withColumn("score", score_texts("want_key", "read_key"))
-    met = asked.join(read, "item_id").join(scored, ["want_key", "read_key"])
+    met = asked.join(read.hint("merge"), "item_id").join(scored.hint("merge"), ["want_key", "read_key"])
     order = F.struct((-F.col("score")).alias("s"), "n_lines", "image_pos", "ro_pos")
     best = met.groupBy("item_id", "check_id", "ord").agg(F.min_by(F.struct("text", "score", "lines", "read_key"), order).alias("best"))
-    out = asked.join(best, ["item_id", "check_id", "ord"], "left")
+    out = asked.join(best.hint("merge"), ["item_id", "check_id", "ord"], "left")
     found = F.col("best.text")
     return out.select(
         *wanted.columns, found.alias("found"), F.col("best.score").alias("score"), F.col("best.lines").alias("lines"),
