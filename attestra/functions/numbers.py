@@ -16,6 +16,9 @@ PERCENT = (
     rf"(?iU){_NUMBER}\s*%\s*(?:alc\.?\s*)?by\s*vol",
 )
 PROOF = r"(?iU)(?<!\d)(\d{2,3}(?:[.,]\d)?)\s*(?:°\s*)?proof"
+# What every statement of alcohol has, and every volume; look-alikes of digits, as ``fold_digits`` has them.
+ANY_ALCOHOL = r"(?iU)%|proof|by\s*vol"
+ANY_VOLUME = r"(?iU)[0-9oqdil|!sbzg]\s*(?:fl\.?\s*oz|fluid\s*oun|oun|oz|mill|ml|centi|cl|lit(?:er|re)|ltr|(?-i:l)(?![a-z])|(?-i:L)(?![acefhjkmnprt-y])|pint|pt|quart|qt|gal)"
 BARE = rf"(?U)^\s*{_NUMBER}\s*%?\s*$"
 # Units and their millilitres.
 UNITS = {"ml": 1.0, "milliliter": 1.0, "millilitre": 1.0, "cl": 10.0, "centiliter": 10.0, "centilitre": 10.0, "l": 1000.0, "liter": 1000.0, "litre": 1000.0, "ltr": 1000.0, "floz": 29.5735295625, "oz": 29.5735295625, "ounce": 29.5735295625, "fluidounce": 29.5735295625, "pt": 473.176473, "pint": 473.176473, "qt": 946.352946, "quart": 946.352946, "gal": 3785.411784, "gallon": 3785.411784}
@@ -49,8 +52,9 @@ def parse_alcohol(text: Column, allow_bare: bool = False) -> Column:
         percent = F.coalesce(r["stated"], F.bround(r["proof"] / 2, 2), r["bare"])
         return F.when(percent.isNotNull(), F.struct(percent.alias("percent"), r["proof"].alias("proof"), (r["stated"].isNull() & r["proof"].isNotNull()).alias("derived")))
 
-    # most texts state nothing: a plain look for a digit spares them the patterns
-    return F.when(text.rlike("[0-9]"), let(let(fold_digits(text), read), settled))
+    # most texts state nothing: a plain look for a digit and a sign spares them the patterns
+    may = text.rlike("[0-9]") if allow_bare else text.rlike("[0-9]") & text.rlike(ANY_ALCOHOL)
+    return F.when(may, let(let(fold_digits(text), read), settled))
 
 
 def consistent(alcohol: Column) -> Column:
@@ -76,7 +80,9 @@ def parse_volumes(text: Column) -> Column:
 
     # held against the limits before it is rounded, half to even
     some = F.filter(F.transform(each, one), lambda v: (v["ml"] > 0) & (v["ml"] <= 60_000))
-    return F.transform(some, lambda v: F.struct(F.bround(v["ml"], 2).alias("ml"), v["raw"].alias("raw"), v["unit"].alias("unit")))
+    found = F.transform(some, lambda v: F.struct(F.bround(v["ml"], 2).alias("ml"), v["raw"].alias("raw"), v["unit"].alias("unit")))
+    may = text.isNull() | (text.rlike("[0-9]") & text.rlike(ANY_VOLUME))
+    return F.when(may, found).otherwise(F.array().cast("array<struct<ml:double,raw:string,unit:string>>"))
 
 
 def volumes_match(wanted: Column, read: Column, tolerance: float = 0.01) -> Column:

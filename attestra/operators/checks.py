@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from ..functions.countries import country_named
 from ..functions.text import company_forms, fold, fold_company, has_responsibility_prefix
 from .party import registered_party
 from .spans import MISMATCH_AT, REVIEW_AT, best_spans, spans, status_of
+from .stored import stored
 
+#: Stores a table that several parts of a check read.
+Keep = Callable[[DataFrame], DataFrame]
 COLUMNS = ["item_id", "check_id", "status", "expected", "found", "score", "note", "evidence"]
 # Fixed value: phrases before a country of origin.
 ORIGIN_PREFIX = r"(?i)^\s*(?:product of|produce of|made in|produced in|distilled in|bottled in|imported from|country of origin:?)\s+"
@@ -52,11 +57,11 @@ def alcohol_checks(apps: DataFrame, lines: DataFrame) -> DataFrame:
     read = lines.withColumn("a", N.parse_alcohol(F.col("text"))).where("a is not null")
     own = apps.select("item_id", "beverage_type", "class_type", "alcohol_content", N.parse_alcohol(F.col("alcohol_content"), allow_bare=True).alias("want"))
     fits = N.alcohol_matches(F.col("want.percent"), F.col("a.percent"))
-    per = read.join(own.select("item_id", "want"), "item_id").groupBy("item_id").agg(
+    per = read.join(own.select("item_id", "want").hint("merge"), "item_id").groupBy("item_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("a.percent").isNotNull() & ~F.col("a.derived"), F.bround("a.percent", 1)))).alias("distinct"), F.array_sort(F.collect_set("a.proof")).alias("proofs"),
         F.min_by(F.struct("a", "text"), F.struct(F.col("a.derived").alias("d"), (~fits).alias("m"), "line_seq")).alias("first"), F.array_sort(F.collect_list(F.struct("line_seq", _line_struct().alias("ln")))).alias("seen"))
     whole = lines.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "text"))), lambda x: x["text"]), " ").alias("all_text"))
-    out = own.join(per, "item_id", "left").join(whole, "item_id", "left")
+    out = own.join(per.hint("merge"), "item_id", "left").join(whole.hint("merge"), "item_id", "left")
     split = F.when(F.col("first").isNull(), N.parse_alcohol(F.col("all_text")))  # a statement that wraps in mid-phrase
     out = out.withColumn("split", split)
     percent = F.coalesce(F.col("first.a.percent"), F.col("split.percent"))
@@ -90,8 +95,8 @@ def net_checks(apps: DataFrame, lines: DataFrame, tolerance: float = 0.01) -> Da
     own = apps.select("item_id", "beverage_type", F.nullif("net_contents", F.lit("")).alias("net_contents")).withColumn("want", F.get(N.parse_volumes(F.col("net_contents")), F.lit(0)))
     read = lines.select("item_id", "line_seq", _line_struct().alias("ln"), F.posexplode(N.parse_volumes(F.col("text"))).alias("k", "v"))
     fits = F.coalesce(N.volumes_match(F.col("want.ml"), F.col("v.ml"), tolerance), F.lit(False))
-    first = read.join(own.select("item_id", "want"), "item_id").groupBy("item_id").agg(F.min_by(F.struct("v", "ln", fits.alias("fits")), F.struct((~fits).alias("m"), "line_seq", "k")).alias("r"))
-    out = own.join(first, "item_id", "left")
+    first = read.join(own.select("item_id", "want").hint("merge"), "item_id").groupBy("item_id").agg(F.min_by(F.struct("v", "ln", fits.alias("fits")), F.struct((~fits).alias("m"), "line_seq", "k")).alias("r"))
+    out = own.join(first.hint("merge"), "item_id", "left")
     read_ = F.col("r.v.raw")
     given, known, got = F.col("net_contents").isNotNull(), F.col("want").isNotNull(), F.col("r").isNotNull()
     status = F.when(~given | ~known | ~got, "needs_review").when(F.col("r.fits"), "match").otherwise("mismatch")
@@ -104,18 +109,18 @@ def net_checks(apps: DataFrame, lines: DataFrame, tolerance: float = 0.01) -> Da
     return net.unionByName(odd.select(*_row("standard_of_fill", F.lit("needs_review"), F.col("net_contents"), none, F.lit(None), F.lit("no authorised size"), _no_evidence())))
 
 
-def origin_checks(apps: DataFrame, lines: DataFrame, ordered: DataFrame, review_at: int = REVIEW_AT, mismatch_at: int = MISMATCH_AT) -> DataFrame:
+def origin_checks(apps: DataFrame, lines: DataFrame, ordered: DataFrame, review_at: int = REVIEW_AT, mismatch_at: int = MISMATCH_AT, keep: Keep = stored) -> DataFrame:
     """Country of origin. An issue needs a line that names another country; what cannot be told is a question."""
     asked = apps.where(F.col("country_of_origin") != "")
-    bare = spans(ordered.withColumn("text", F.regexp_replace("text", ORIGIN_PREFIX, "")))
+    bare = spans(ordered.join(asked.select("item_id").hint("merge"), "item_id", "left_semi").withColumn("text", F.regexp_replace("text", ORIGIN_PREFIX, "")))
     wanted = asked.select("item_id", F.lit("country_of_origin").alias("check_id"), F.lit(0).alias("ord"), F.col("country_of_origin").alias("expected"))
     status, note = status_of(review_at, mismatch_at)
-    best = best_spans(wanted, bare).withColumn("raw", status).withColumn("note", note).withColumn("want", country_named(F.col("expected")))
+    best = keep(best_spans(wanted, bare).withColumn("raw", status).withColumn("note", note).withColumn("want", country_named(F.col("expected"))))
     stated = lines.where(F.col("text").rlike(ORIGIN_PREFIX)).withColumn("place", F.regexp_replace("text", ORIGIN_PREFIX, ""))
     stated = stated.withColumn("named", country_named(F.col("place"))).withColumn("strict", country_named(F.col("place"), states=False)).withColumn("ln", _line_struct())
     first = lambda when: F.min_by(F.when(when, F.struct("ln", "strict")), F.when(when, F.col("line_seq")))
-    per = stated.join(best.select("item_id", "want"), "item_id").groupBy("item_id").agg(first(F.col("named") == F.col("want")).alias("same"), first(F.col("strict").isNotNull() & F.coalesce(F.col("strict") != F.col("want"), F.lit(True))).alias("other"), F.min_by("ln", "line_seq").alias("any"))
-    out = best.join(per, "item_id", "left")
+    per = stated.join(best.select("item_id", "want").hint("merge"), "item_id").groupBy("item_id").agg(first(F.col("named") == F.col("want")).alias("same"), first(F.col("strict").isNotNull() & F.coalesce(F.col("strict") != F.col("want"), F.lit(True))).alias("other"), F.min_by("ln", "line_seq").alias("any"))
+    out = best.join(per.hint("merge"), "item_id", "left")
     weak = F.col("raw").isin("mismatch", "not_found")
     georgia = (F.col("want") == "United States") & (F.col("other.strict") == "Georgia")
     kind = F.when(~weak, "text").when(F.col("same").isNotNull(), "same").when(F.col("other").isNotNull() & F.coalesce(georgia, F.lit(False)), "georgia").when(F.col("other").isNotNull() & F.col("want").isNotNull(), "other").when(F.col("any").isNotNull(), "unknown").otherwise("none")
@@ -124,8 +129,8 @@ def origin_checks(apps: DataFrame, lines: DataFrame, ordered: DataFrame, review_
     by_kind = F.create_map(*[F.lit(x) for x in ("same", "match", "georgia", "needs_review", "other", "mismatch", "unknown", "needs_review", "none", "needs_review")])
     # the span's lines as printed, prefix and all
     keyed = out.withColumn("line", line).withColumn("seqs", F.transform("lines", lambda x: x["line_seq"]))
-    printed = keyed.select("item_id", F.posexplode("seqs").alias("p", "line_seq")).join(lines.select("item_id", "line_seq", _line_struct().alias("ln")), ["item_id", "line_seq"]).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "ln"))), lambda x: x["ln"]).alias("printed"))
-    done = keyed.join(printed, "item_id", "left")
+    printed = keyed.select("item_id", F.posexplode("seqs").alias("p", "line_seq")).join(lines.select("item_id", "line_seq", _line_struct().alias("ln")).hint("merge"), ["item_id", "line_seq"]).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "ln"))), lambda x: x["ln"]).alias("printed"))
+    done = keyed.join(printed.hint("merge"), "item_id", "left")
     found = F.coalesce(F.col("line.text"), F.array_join(F.transform("printed", lambda x: x["text"]), " "))
     score = F.when(F.col("kind") == "same", 100.0).otherwise(F.col("score").cast("double"))
     checked = done.select(*_row("country_of_origin", F.coalesce(F.try_element_at(by_kind, "kind"), F.col("raw")), F.col("expected"), F.when(found != "", found), score, F.when(F.col("kind") == "text", F.col("note")).otherwise(F.concat(F.lit("origin line: "), "kind")), F.when(F.col("line").isNotNull(), _evidence(F.array("line"))).otherwise(_evidence(F.col("printed")))))
@@ -135,7 +140,7 @@ def origin_checks(apps: DataFrame, lines: DataFrame, ordered: DataFrame, review_
     return checked.unionByName(open_.select(*_row("country_of_origin", status, none, none, F.lit(None), F.when(F.col("imported"), "imported, no country given").otherwise("not given"), _no_evidence())))
 
 
-def bottler_checks(apps: DataFrame, lines: DataFrame, ordered: DataFrame, review_at: int = REVIEW_AT, mismatch_at: int = MISMATCH_AT) -> DataFrame:
+def bottler_checks(apps: DataFrame, lines: DataFrame, ordered: DataFrame, review_at: int = REVIEW_AT, mismatch_at: int = MISMATCH_AT, keep: Keep = stored) -> DataFrame:
     """Bottler as registered against as printed: whole line and each name are tried without responsibility phrase and
     corporate forms, the best read wins, and city and state must stand near it."""
     asked = apps.where(F.col("bottler") != "").select("item_id", "bottler", registered_party("bottler").alias("party"))
@@ -149,17 +154,17 @@ def bottler_checks(apps: DataFrame, lines: DataFrame, ordered: DataFrame, review
     best = best.withColumn("status", status)
     rank = F.when(F.col("status") == "match", 0).when(F.col("status") == "needs_review", 1).when(F.col("status") == "mismatch", 2).otherwise(3)
     one = best.groupBy("item_id").agg(F.min_by(F.struct("status", "score", "lines", "note"), F.struct(rank.alias("r"), (-F.coalesce("score", F.lit(0))).alias("s"), "ord")).alias("b"))
-    own = asked.join(one, "item_id", "left").select("item_id", "bottler", "party", "b.*")
+    own = keep(asked.join(one.hint("merge"), "item_id", "left").select("item_id", "bottler", "party", "b.*"))
     numbered = lines.withColumn("idx", F.row_number().over(Window.partitionBy("item_id").orderBy("line_seq")))
-    hit = own.select("item_id", F.posexplode(F.transform("lines", lambda x: x["line_seq"])).alias("p", "line_seq")).join(numbered, ["item_id", "line_seq"])
-    printed = hit.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", _line_struct().alias("ln")))), lambda x: x["ln"]).alias("printed"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.collect_set("image_index").alias("images"))
-    address = own.select("item_id", fold(F.col("party.city")).alias("city"), F.col("party.state_forms").alias("forms")).where("city is not null and size(forms) > 0").join(printed, "item_id", "left").join(numbered.select("item_id", "idx", "image_index", fold(F.col("text")).alias("t")), "item_id")
+    hit = own.select("item_id", F.posexplode(F.transform("lines", lambda x: x["line_seq"])).alias("p", "line_seq")).join(numbered.hint("merge"), ["item_id", "line_seq"])
+    printed = keep(hit.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", _line_struct().alias("ln")))), lambda x: x["ln"]).alias("printed"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.collect_set("image_index").alias("images")))
+    address = own.select("item_id", fold(F.col("party.city")).alias("city"), F.col("party.state_forms").alias("forms")).where("city is not null and size(forms) > 0").join(printed.hint("merge"), "item_id", "left").join(numbered.select("item_id", "idx", "image_index", fold(F.col("text")).alias("t")).hint("merge"), "item_id")
     has_city = F.contains("t", "city")
     has_state = F.exists("forms", lambda f: F.regexp_like(F.col("t"), F.concat(F.lit(r"\b\Q"), f, F.lit(r"\E\b"))))
     near = F.coalesce(F.col("idx").between(F.col("lo") - _NEAR[0], F.col("hi") + _NEAR[1]) & F.array_contains("images", F.col("image_index")), F.lit(False))
     seen = address.groupBy("item_id").agg((F.bool_or(has_city & has_state) | (F.bool_or(has_city & near) & F.bool_or(has_state & near))).alias("address"))
     first = lines.where(has_responsibility_prefix(F.col("text"))).groupBy("item_id").agg(F.min_by(_line_struct(), "line_seq").alias("deed"))
-    out = own.join(printed, "item_id", "left").join(seen, "item_id", "left").join(first, "item_id", "left")
+    out = own.join(printed.hint("merge"), "item_id", "left").join(seen.hint("merge"), "item_id", "left").join(first.hint("merge"), "item_id", "left")
     found = F.array_join(F.transform("printed", lambda x: x["text"]), " ")
     want, got = company_forms(F.col("bottler")), company_forms(found)
     inside_of = lambda a, b: F.size(F.array_except(a, b)) == 0
@@ -184,7 +189,7 @@ def verdicts(items: DataFrame, checks: DataFrame, warning: DataFrame, images: Da
     listed = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(order.alias("o"), "check_id")))), lambda x: x["check_id"])
     done = F.col("status").isin("match", "info") | ((F.col("status") == "not_checked") & F.col("check_id").isin("bottler", "country_of_origin")) | (F.col("check_id") == "standard_of_fill")
     per = checks.groupBy("item_id").agg(listed(F.col("status").isin("mismatch", "not_found")).alias("issues"), listed(F.col("status") == "needs_review").alias("reviews"), F.bool_and(done).alias("complete"))
-    out = items.select("item_id").join(per, "item_id", "left").join(warning, "item_id", "left")
+    out = items.select("item_id").join(per.hint("merge"), "item_id", "left").join(warning.hint("merge"), "item_id", "left")
     kind = F.coalesce(F.col("warning.assessment"), F.lit("absent"))
     bad = kind.isin("absent", "wording")
     ask = ~bad & (kind != "not_required") & ((kind == "noise") | (F.col("warning.caps") == "needs_review") | (F.col("warning.bold") == "needs_review"))
@@ -192,7 +197,7 @@ def verdicts(items: DataFrame, checks: DataFrame, warning: DataFrame, images: Da
     out = out.withColumn("issues", with_warning("issues", bad)).withColumn("reviews", with_warning("reviews", ask))
     readable = F.lit(False)
     if images is not None:
-        out = out.join(images.groupBy("item_id").agg(F.bool_or("readable").alias("any_readable")), "item_id", "left")
+        out = out.join(images.groupBy("item_id").agg(F.bool_or("readable").alias("any_readable")).hint("merge"), "item_id", "left")
         readable = F.coalesce(~F.col("any_readable"), F.lit(False))
     ready = F.col("complete") & ((kind == "not_required") | F.coalesce("warning.exact", F.lit(False)))
     verdict = F.when(readable, "unreadable").when(F.size("issues") > 0, "issues_found").when(F.size("reviews") > 0, "needs_review").when(ready, "ready_for_approval").otherwise("needs_review")

@@ -20,7 +20,6 @@ hints keep it from sending such a side through the driver to every task.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 from typing import NamedTuple
 
@@ -28,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, stem
+from .stored import shared_folder
 
 NEVER, SPREAD = (1 << 62), 64
 
@@ -39,12 +39,7 @@ class Pairing(NamedTuple):
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

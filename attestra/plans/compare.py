@@ -1,8 +1,8 @@
-"""The whole comparison of applications with the lines read from their labels, as one lazy plan."""
+"""The whole comparison of applications with the lines read from their labels, part by part."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +10,43 @@ from pyspark.sql import functions as F
 from ..functions.numbers import parse_alcohol
 from ..operators import checks as C
 from ..operators.spans import reading_order, spans
+from ..operators.stored import discard, stored
 from ..operators.warning import warnings
 
 
-class Comparison(NamedTuple):
-    checks: DataFrame
-    warning: DataFrame
-    verdicts: DataFrame
+class Comparison:
+    """Tables ``checks``, ``warning`` and ``verdicts``, each computed and stored when it is first asked for."""
+
+    def __init__(self, apps: DataFrame, lines: DataFrame, images: DataFrame | None) -> None:
+        self.apps, self.images, self._stored = apps, images, []
+        self.ordered = self._kept(reading_order(lines.where("text is not null")))
+        # the table that is stored has the lines already, but for those without a text
+        self.lines = self.ordered.select(lines.columns).unionByName(lines.where("text is null"))
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        self._stored.append(stored(df))
+        return self._stored[-1]
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        apps, lines, ordered = self.apps, self.lines, self.ordered
+        parts = [C.text_checks(apps, spans(ordered)), C.alcohol_checks(apps, lines), C.net_checks(apps, lines), C.bottler_checks(apps, lines, ordered, keep=self._kept), C.origin_checks(apps, lines, ordered, keep=self._kept)]
+        return reduce(DataFrame.unionByName, map(self._kept, parts))
+
+    @cached_property
+    def warning(self) -> DataFrame:
+        stated = parse_alcohol(F.col("alcohol_content"), allow_bare=True)["percent"]
+        weak = self.apps.select("item_id", F.coalesce(stated < 0.5, F.lit(False)).alias("weak"))
+        found = self._kept(warnings(self.apps, self.ordered))
+        return found.join(weak.hint("merge"), "item_id").select("item_id", F.when(F.col("weak"), F.col("warning").withField("assessment", F.lit("not_required"))).otherwise(F.col("warning")).alias("warning"))
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return C.verdicts(self.apps, self.checks, self.warning, self.images)
+
+    def discard(self) -> None:
+        """Removes what is stored, when nothing reads it any more."""
+        discard(*self._stored)
 
 
 def compare(apps: DataFrame, lines: DataFrame, images: DataFrame | None = None) -> Comparison:
@@ -25,16 +55,7 @@ def compare(apps: DataFrame, lines: DataFrame, images: DataFrame | None = None)
     ``line_seq`` numbers an item's lines in the order they were read. An item without lines still gets all its checks.
     Below 0.5 % alcohol no warning is required.
     """
-    ordered = reading_order(lines.where("text is not null"))
-    candidates = spans(ordered)
-    parts = [C.text_checks(apps, candidates), C.alcohol_checks(apps, lines), C.net_checks(apps, lines), C.bottler_checks(apps, lines, ordered), C.origin_checks(apps, lines, ordered)]
-    checks = parts[0]
-    for p in parts[1:]:
-        checks = checks.unionByName(p)
-    stated = parse_alcohol(F.col("alcohol_content"), allow_bare=True)["percent"]
-    weak = apps.select("item_id", F.coalesce(stated < 0.5, F.lit(False)).alias("weak"))
-    found = warnings(apps, ordered).join(weak, "item_id").select("item_id", F.when(F.col("weak"), F.col("warning").withField("assessment", F.lit("not_required"))).otherwise(F.col("warning")).alias("warning"))
-    return Comparison(checks, found, C.verdicts(apps, checks, found, images))
+    return Comparison(apps, lines, images)
 
 
 def extract(lines: DataFrame) -> DataFrame:

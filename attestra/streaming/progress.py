@@ -98,7 +98,9 @@ def stream_verdicts(lines: DataFrame, apps: DataFrame, out: str, checkpoint: str
             return
         due = read.groupBy("item_id").agg(F.max("revision").alias("revision"), F.bool_or("complete").alias("complete"))
         items = apps.join(due, "item_id", "left_semi")
-        compare(items, read.drop("revision", "complete")).verdicts.join(due, "item_id").write.mode("overwrite").parquet(f"{out}/verdicts/batch={number}")
+        found = compare(items, read.drop("revision", "complete"))
+        found.verdicts.join(due, "item_id").write.mode("overwrite").parquet(f"{out}/verdicts/batch={number}")
+        found.discard()
 
     # batches without lines are for times that are up; where the number of images is unknown, nothing waits for one
     conf, name = lines.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
