@@ -86,7 +86,7 @@ def compare_cases(spark, sf_dir):
     of = lambda check: F.max(F.when(F.col("check_id") == check, F.col("status")))
     names = {"brand": "brand_name", "class": "class_type", "alcohol": "alcohol_content", "net": "net_contents", "bottler": "bottler", "origin": "country_of_origin"}
     per = found.checks.groupBy("item_id").agg(*[of(check).alias(n) for n, check in names.items()])
-    out = per.join(found.warning, "item_id").join(found.verdicts.select("item_id", "verdict"), "item_id")
+    out = per.join(found.warning.hint("merge"), "item_id").join(found.verdicts.select("item_id", "verdict").hint("merge"), "item_id")
     return out.select("item_id", *names, "warning.assessment", "warning.caps", F.col("warning.type_weight_reading").alias("reading"), "verdict")
 
 
