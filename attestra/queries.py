@@ -169,7 +169,7 @@ def latency_percentiles(spark, sf_dir):
 def field_match_rates(spark, sf_dir):
     apps = fixtures.applications(spark, sf_dir)
     checks = compare(apps, fixtures.label_lines(spark, sf_dir)).checks.where("status <> 'not_checked'")
-    rows = checks.join(apps.select("item_id", F.col("beverage_type").alias("beverage")), "item_id").select("beverage", "check_id", "status")
+    rows = checks.join(apps.select("item_id", F.col("beverage_type").alias("beverage")).hint("merge"), "item_id").select("beverage", "check_id", "status")
     return E.field_rates(rows, "beverage")
 
 
