@@ -81,5 +81,5 @@ def look_at(checks: DataFrame, warning: DataFrame) -> DataFrame:
     w = F.col("warning")
     text = F.when(w["assessment"] == "not_required", None).when(~w["present"], "warning: missing").when(~w["exact"], "warning: wording not exact").when(w["caps"] != "match", "warning: not all capitals")
     bold = F.when(w["present"] & (w["bold"] == "needs_review"), F.when(w["type_weight_reading"] == "same", "warning: may not be bold").otherwise("warning: confirm bold type"))
-    return warning.join(per, "item_id", "left").select("item_id", F.concat_ws("; ", "texts", text, bold).alias("what_to_look_at"))
+    return warning.join(per.hint("merge"), "item_id", "left").select("item_id", F.concat_ws("; ", "texts", text, bold).alias("what_to_look_at"))
 
